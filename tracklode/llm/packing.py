@@ -40,7 +40,7 @@ from .common import Memo, id_field, map_rows, materialize, struct
 #: The splitting pattern in the tokenizer file; fixed value.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces of one length that share a row-number task.
-ROWS_PER_SALT = 20_000
+ROWS_PER_SALT = 2_000
 
 
 class WordIds:
@@ -60,8 +60,17 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.find = regex.compile(WORD_PATTERN).findall
-        self.pieces = Memo(self.whole)
-        self.words = Memo(self.word)
+        # The file's byte-level step writes each byte as one character: printable ones as they are, the others from U+0100 on.
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in printable]
+        self.bytewise = {b: b for b in printable} | {b: 0x100 + k for k, b in enumerate(others)}
+        self.pieces = Memo(self.piece)
+        self.words = Memo(self.word, 1_000_000)
+
+    def piece(self, text: str) -> bytes:
+        """Ids of one normalized piece, by the tokenizer's merges alone."""
+        tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.bytewise))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
