@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: Bytes of an Arrow batch on its way to Python.  Spark's default of 64 MB is held several times over, in the JVM and in each worker.
+BATCH_BYTES = 4 << 20
 #: Rows turned into Python objects at a time; an Arrow batch may hold more.
 SLICE_ROWS = 128
 
@@ -37,6 +39,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_BYTES where it is larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: T.StructType) -> DataFrame:
     """Apply a column-wise function to small slices of each Arrow batch.
 
@@ -44,6 +54,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     are set up once.  Only ``SLICE_ROWS`` rows are Python objects at a time.
     """
     names, out = df.columns, arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
