@@ -25,16 +25,16 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, arrow_schema, id_field, map_rows, materialize, struct
+from .buckets import apart, bucket_pairs
+from .common import Memo, id_field, map_rows, materialize, struct
 from .graph import components
 
-SIDE, HALF, PIVOTS = 9, 2, 4
+SIDE, HALF, PIVOTS = 9, 2, 2
 #: Half-keys (of 2 * SIDE) in which a candidate has to agree; at a similarity of 0.8 fewer agree about once in 100,000 pairs.
 AGREE = 4
 
@@ -118,55 +118,6 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(pairs).alias("key"), "hi")
 
 
-def bucket_pairs(keys: DataFrame) -> DataFrame:
-    """``a, b, large``: candidates of all buckets; ``large`` marks those with a member beyond the pivots.
-
-    Rows arrive sorted by key, so a bucket is one run.  Only its first PIVOTS
-    members are held, however long it is.
-    """
-    schema = struct(("a", "bigint"), ("b", "bigint"), ("large", "boolean"))
-    out = arrow_schema(schema)
-
-    def run(batches):
-        key, firsts, count = None, np.zeros(0, np.int64), 0
-        for batch in batches:
-            ks, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(ks):
-                continue
-            edges = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
-            sizes = np.diff(np.r_[edges, len(ks)])
-            carried = len(firsts) if ks[0] == key else 0
-            seen = count if ks[0] == key else 0
-            # Members held from the batch before stand in front of this batch's first run.
-            h = np.r_[firsts[:carried], hs]
-            starts = np.r_[0, edges[1:] + carried]
-            skip = np.zeros(len(edges), np.int64)
-            skip[0] = carried
-            total = sizes + skip
-            a, b, large = [], [], []
-            for p in range(PIVOTS):
-                # every member after place p pairs with the member at place p
-                n = np.maximum(total - np.maximum(p + 1, skip), 0)
-                which = np.repeat(np.arange(len(edges)), n)
-                if not len(which):
-                    continue
-                within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.maximum(p + 1, skip)[which]
-                a.append(h[starts[which] + p])
-                b.append(h[starts[which] + within])
-                grown = within.copy()
-                grown[which == 0] += seen - carried
-                large.append(grown >= PIVOTS)
-            if a:
-                a, b, large = map(np.concatenate, (a, b, large))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(large)], schema=out)
-            last = total[-1]
-            at = starts[-1]
-            count = int(last) + (seen - carried if len(edges) == 1 else 0)
-            key, firsts = ks[-1], h[at : at + min(int(last), PIVOTS)].copy()
-
-    return keys.repartition("key").sortWithinPartitions("key", "hi").mapInArrow(run, schema)
-
-
 def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """``a, b`` (digests) of the pairs (``a, b`` as 64-bit ids) whose sets reach the similarity."""
     num, den = share
@@ -217,6 +168,20 @@ def rest_pairs(sets: DataFrame, own: DataFrame, share: tuple[int, int]) -> DataF
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def outsiders(large: DataFrame, label: DataFrame) -> DataFrame:
+    """``hi, label, minor`` of the classes in large buckets of more than one component.
+
+    A pivot stands for its buckets.  ``minor`` marks what lies outside the most
+    frequent component around a pivot: of two classes that were not compared,
+    and are still apart, at least one is so marked.
+    """
+    side = lambda x: label.select(F.col("hi").alias(x), F.col("label").alias(f"l{x}"))
+    around = materialize(large.select("a", "b").join(side("b"), "b").unionByName(large.select("a").distinct().join(side("a"), "a").select(F.col("a").alias("b"), "a", F.col("la").alias("lb"))), "around")
+    main = around.groupBy("a", "lb").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "lb")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    mixed = around.join(main.select("a", F.col("main.lb").alias("main")), "a")
+    return mixed.groupBy(F.col("b").alias("hi")).agg(F.first("lb").alias("label"), F.max(F.col("lb") != F.col("main")).alias("minor"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` of each row; similarity is share[0] / share[1] or more."""
     num, den = share
@@ -225,7 +190,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     classes = linked.groupBy("cid").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_hash")).alias("row"), F.first("hi").alias("hi"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     classes = materialize(classes.withColumn("low", F.col("row.id")), "classes")
 
-    found = bucket_pairs(table_keys(classes)).groupBy("a", "b").agg(F.max("large").alias("large"))
+    found = bucket_pairs(table_keys(classes), PIVOTS).groupBy("a", "b").agg(F.max("large").alias("large"))
     side = lambda x: classes.select(F.col("hi").alias(x), F.col("n").alias(f"n{x}"), F.col("halves").alias(f"h{x}"))
     agree = F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda x: x))
     found = materialize(found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "large", ((den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (agree >= AGREE)).alias("likely")), "candidates")
@@ -241,14 +206,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     links = materialize(links.unionByName(confirm(apart(likely, label), sets, share)), "confirmed")
     label = materialize(labels(classes, components(links)), "labels")
 
-    # Large buckets whose members are in more than one component: compare exactly what is apart from a pivot with all members.
-    large = found.filter("large")
-    loose = materialize(apart(large, label), "loose")
-    if not loose.isEmpty():
-        pivots = loose.select("a").distinct()
-        minor = loose.select(F.col("b").alias("hi")).distinct().withColumn("minor", F.lit(True))
-        own = pivots.select(F.col("a").alias("hi")).unionByName(large.join(pivots, "a", "left_semi").select(F.col("b").alias("hi"))).distinct()
-        own = materialize(label.join(own, "hi", "left_semi").join(minor, "hi", "left").select("hi", "label", F.coalesce("minor", F.lit(False)).alias("minor")), "loose")
+    # Large buckets with more than one component: compare exactly what is outside a bucket's main component with all its members.
+    own = materialize(outsiders(found.filter("large"), label), "outsiders")
+    if not own.isEmpty():
         sets = materialize(needed_sets(docs, classes, own.select("hi"), width, text_col, id_col), "sets")
         links = materialize(links.unionByName(confirm(rest_pairs(sets, own, share), sets, share)), "confirmed")
     joined = components(links)
@@ -266,9 +226,3 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 def labels(classes: DataFrame, joined: DataFrame) -> DataFrame:
     """``hi, label`` of the classes; a class without links is its own label."""
     return classes.select("hi", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("hi", F.coalesce("label", "cid").alias("label"))
-
-
-def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs whose two sides have different labels."""
-    side = lambda x: label.select(F.col("hi").alias(x), F.col("label").alias(f"l{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter("la <> lb").select("a", "b")
