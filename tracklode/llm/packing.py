@@ -64,8 +64,8 @@ class WordIds:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in printable]
         self.bytewise = {b: b for b in printable} | {b: 0x100 + k for k, b in enumerate(others)}
-        self.pieces = Memo(self.piece)
-        self.words = Memo(self.word, 1_000_000)
+        self.pieces = Memo(self.piece, 400_000)
+        self.words = Memo(self.word, 500_000)
 
     def piece(self, text: str) -> bytes:
         """Ids of one normalized piece, by the tokenizer's merges alone."""
