@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -94,14 +94,3 @@ class Memo(dict):
             self.clear()
         self[key] = value = self.compute(key)
         return value
-
-
-def chunks(values: Iterable, size: int) -> Iterator[list]:
-    part: list = []
-    for v in values:
-        part.append(v)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part

@@ -19,12 +19,13 @@ result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_field, map_rows, struct
+from .common import id_field, map_rows, small_batches, struct
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 2_000
@@ -121,6 +122,19 @@ def score(texts: list[str | None], labels: list[str], table: np.ndarray) -> tupl
     return names, scores
 
 
+def by_size(texts: list[str | None]):
+    """The texts in order, in parts of about BATCH_CHARS code points."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size > BATCH_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -132,16 +146,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
         def f(cols):
             names: list[str] = []
             scores: list[float] = []
-            texts: list = []
-            size = 0
-            for t in [*cols["__text"], None]:
-                if texts and (size > BATCH_CHARS or len(names) + len(texts) == len(cols["__text"])):
-                    a, b = score(texts, labels, table)
-                    names += a
-                    scores += b
-                    texts, size = [], 0
-                texts.append(t)
-                size += len(t or "")
+            for part in by_size(cols["__text"]):
+                a, b = score(part, labels, table)
+                names += a
+                scores += b
             return {c: cols[c] for c in keep} | {"lang_pred": names, "score": scores}
 
         return f
@@ -157,3 +165,22 @@ def identify(docs: DataFrame, text_col: str = "text", label_col: str = "lang", i
     """Fit on the rows that are not held out, predict all: ``id_col, held_out, lang_pred, score``."""
     model = fit(docs.filter(~held_out(id_col)), text_col, label_col, id_col)
     return predict(docs, model, text_col, (id_col,)).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+
+
+def accept(docs: DataFrame, least: float = 0.5, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is recognised with a score of ``least`` or more.
+
+    Only the text goes to Python.  Texts without letters have score 0.
+    """
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out(id_col)), text_col, label_col, id_col))
+
+    @F.pandas_udf("double")
+    def certainty(texts: pd.Series) -> pd.Series:
+        labels, table = shared.value
+        found: list[float] = []
+        for part in by_size(texts.tolist()):
+            found += score(part, labels, table)[1]
+        return pd.Series(found, dtype="float64")
+
+    return docs.filter(certainty(F.col(text_col)) >= least)

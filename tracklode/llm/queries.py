@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, minhash, packing, pii, quality
+from . import bpe, chat, html, language, lines, minhash, packing, pii, quality, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,17 +28,33 @@ def op4_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op5_html(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_chat(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op9_lines(spark, sf_dir):
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_deleted")
+
+
+def op10_vectors(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_bpe, op3_language, op4_minhash, op6_packing, op8_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_bpe, op3_language, op4_minhash, op5_html, op6_packing, op7_chat, op8_quality, op9_lines, op10_vectors)}
 
 
 def oracle_sql():
-    return {"op8_quality": quality.SQL}
+    return {"op8_quality": quality.SQL, "op10_vectors": vectors.SQL}
