@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,6 +48,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task and idles beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: T.StructType) -> DataFrame:
     """Apply a column-wise function to small slices of each Arrow batch.
 
@@ -63,6 +73,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
                 part = batch.slice(at, SLICE_ROWS)
                 made = f({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[x.name], x.type) for x in out], schema=out)
+        del f
+        give_back()
 
     return df.mapInArrow(run, schema)
 

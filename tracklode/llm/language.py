@@ -35,7 +35,7 @@ MAX_LANGUAGES = 64
 #: n-grams that count as independent evidence; longer texts are scaled to as many.
 EVIDENCE = 40.0
 #: Code points of texts that are scored in one numpy batch.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 100_000
 
 _other = regex.compile(r"[^\p{L}\p{M}]+")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import apart, bucket_pairs
-from .common import Memo, id_field, map_rows, materialize, struct
+from .common import id_field, map_rows, materialize, struct
 from .graph import components
 
 SIDE, HALF, PIVOTS = 9, 2, 2
@@ -54,13 +54,12 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.words = Memo(xxhash.xxh3_64_intdigest, 400_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         width = min(self.width, len(words))
         n = len(words) - width + 1
         out = np.full(n, width, np.uint64)

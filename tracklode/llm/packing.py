@@ -26,7 +26,6 @@ import json
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -91,12 +90,7 @@ class WordIds:
         return b"".join(out)
 
 
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
-def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id", encoder=word_ids) -> DataFrame:
+def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id", encoder=WordIds) -> DataFrame:
     """Pieces of every text: ``id_col, piece, start, length, ids_crc32``."""
     schema = T.StructType([id_field(docs, id_col), *struct(("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"))])
     end = np.array([end_id], "<u4").tobytes()
@@ -164,7 +158,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int
     return bins
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id", encoder=word_ids) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id", encoder=WordIds) -> DataFrame:
     """Pieces with their places: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``."""
     return place(cut(docs, tokenizer_path, capacity, end_id, text_col, id_col, encoder), capacity, id_col)
 
