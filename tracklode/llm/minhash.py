@@ -150,20 +150,27 @@ def rest_pairs(sets: DataFrame, own: DataFrame, share: tuple[int, int]) -> DataF
     """Exact candidates among classes that large buckets left in different components.
 
     ``own`` has ``hi, label, minor``; minor rows are those outside their
-    bucket's main component.  Two sets with similarity t share one of the
-    n - ceil(t n) + 1 rarest shingles of each, in one order for all.
+    bucket's main component.  Shingles stand in one order for all sets, rare
+    ones first.  Two sets of x and y shingles that reach similarity t have
+    t / (1 + t) * (x + y) in common, so after their first common shingle, at
+    places p and q, at least that many less one must remain in both.
     """
     num, den = share
     each = sets.join(own, "hi").withColumn("n", F.size("members")).select("hi", "label", "minor", "n", F.explode("members").alias("s"))
     each = materialize(each, "shingles")
     often = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    prefix = each.join(often, "s").groupBy("hi", "label", "minor", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("m"))  # at most one text's shingles
-    # Shingles of one document only come first in the order and match nothing.
-    take = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("m"))
-    prefix = materialize(prefix.withColumn("take", take.cast("int")).filter("take > 0").select("hi", "label", "minor", "n", F.explode(F.slice("m", F.lit(1), F.col("take"))).alias("m")).select("hi", "label", "minor", "n", F.col("m.s").alias("s")), "prefixes")
-    left = prefix.filter("minor").select("s", F.col("hi").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    right = prefix.select("s", F.col("hi").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), "minor")
-    pairs = left.join(right, "s").filter((F.col("lx") != F.col("ly")) & (den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")) & (~F.col("minor") | (F.col("x") < F.col("y"))))
+    # Shingles of one set alone come first in the order and match nothing; the others follow by frequency.
+    ordered = each.join(often, "s").groupBy("hi", "label", "minor", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("m"))  # at most one text's shingles
+    placed = ordered.select("hi", "label", "minor", "n", F.posexplode("m").alias("k", "m"), F.size("m").alias("shared"))
+    placed = placed.select("hi", "label", "minor", "n", F.col("m.s").alias("s"), (F.col("n") - F.col("shared") + F.col("k") + 1).alias("p"))
+    # No partner has fewer than t * n shingles, so no common shingle may first stand beyond n - t * n + 1.
+    prefix = materialize(placed.filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1), "prefixes")
+    left = prefix.filter("minor").select("s", F.col("hi").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    right = prefix.select("s", F.col("hi").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("p").alias("py"), "minor")
+    enough = (num + den) * (1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))) >= num * (F.col("nx") + F.col("ny"))
+    sized = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
+    once = ~F.col("minor") | (F.col("x") < F.col("y"))
+    pairs = left.join(right, (left["s"] == right["s"]) & (F.col("lx") != F.col("ly")) & sized & enough & once)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
