@@ -122,7 +122,8 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", count
     """``docs`` without the lines of repeated runs; ``count_col`` gets the number of deleted lines."""
     gone = deletions(docs, text_col, id_col).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
-    joined = docs.join(gone, same, "left")
+    # A merge join at every size: the texts move once, by key, and the plan does not change as the deletions grow.
+    joined = docs.join(gone.hint("merge"), same, "left")
     lines = F.split(text_col, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
