@@ -5,23 +5,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_schema, struct
 
 
 def bucket_pairs(keys: DataFrame, pivots: int, keep=None) -> DataFrame:
-    """``a, b, large``: every member of a bucket with each of the bucket's first ``pivots`` members.
+    """``a, b, large, likely``: every member of a bucket with each of the bucket's first ``pivots`` members.
 
     ``keys`` has ``key, hi`` and maybe further bigint columns.  A bucket of n
     gives at most pivots * n pairs and one of up to pivots + 1 members all of
     them; ``large`` marks pairs whose second member stands beyond the pivots.
     ``keep(x, y)`` gets the further columns of both sides and says which pairs
-    to give; large ones are given in any case, as later steps look at them.
+    are likely; others are given only if they are large, as later steps look
+    at them.
 
     Rows arrive sorted by key, so a bucket is one run.  Only its first members
     are held, however long it is.
     """
-    schema = struct(("a", "bigint"), ("b", "bigint"), ("large", "boolean"))
+    schema = struct(("a", "bigint"), ("b", "bigint"), ("large", "boolean"), ("likely", "boolean"))
     out = arrow_schema(schema)
 
     def run(batches):
@@ -51,20 +53,18 @@ def bucket_pairs(keys: DataFrame, pivots: int, keep=None) -> DataFrame:
                 place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
                 a, b = rows[starts[which] + p], rows[starts[which] + place]
                 large = place + np.where(which == 0, gap, 0) >= pivots
-                if keep is not None:
-                    chosen = keep(a[:, 2:], b[:, 2:]) | large
-                    a, b, large = a[chosen], b[chosen], large[chosen]
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 1]), pa.array(b[:, 1]), pa.array(large)], schema=out)
+                likely = keep(a[:, 2:], b[:, 2:]) if keep else np.ones(len(a), bool)
+                some = likely | large
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a[:, 1], b[:, 1], large, likely)], schema=out)
             last = int(total[-1])
             before = last + (gap if len(edges) == 1 else 0)
             key, held = ks[-1], rows[starts[-1] : starts[-1] + min(last, pivots)].copy()
 
-    return keys.repartition("key").sortWithinPartitions("key", "hi").mapInArrow(run, schema)
+    pairs = keys.repartition("key").sortWithinPartitions("key", "hi").mapInArrow(run, schema)
+    return pairs.groupBy("a", "b").agg(F.max("large").alias("large"), F.max("likely").alias("likely"))
 
 
 def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """``a, b`` of the pairs whose sides have different labels; ``label`` has ``hi, label``."""
-    from pyspark.sql import functions as F
-
     side = lambda x: label.select(F.col("hi").alias(x), F.col("label").alias(f"l{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter("la <> lb").select("a", "b")

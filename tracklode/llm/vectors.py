@@ -164,9 +164,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, vec_col: str = "embeddi
     classes = materialize(one, "vectors")
 
     keys = materialize(table_rows(classes), "tables")
-    found = bucket_pairs(keys, PIVOTS, near).groupBy("a", "b").agg(F.max("large").alias("large"))
-    found = materialize(found, "candidates")
-    links = materialize(confirm(found, classes, least), "links")
+    found = materialize(bucket_pairs(keys, PIVOTS, near), "candidates")
+    links = materialize(confirm(found.filter("likely"), classes, least), "links")
     label = materialize(labels(classes, components(links)), "labels")
 
     # Buckets with members beyond the pivots that are not in one component: compare what is apart from a pivot with all members.
