@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 from collections import Counter
 
@@ -71,69 +70,57 @@ TARGETS = {
 SPECIALS = {"verification_candidate": 20, "already_resolved_candidate": 20, "high_history_similarity": 20, "action_level_disagreement_related": 15}
 
 
-def choose(units: list[dict], count: int, seed: int) -> list[str]:
-    """Ids of a pilot sample, one unit a trajectory, by the deficits of its strata.
+def greedy_pilot(units: DataFrame, count: int, seed: int) -> DataFrame:
+    """``unit_id, place``: a pilot sample, one unit a trajectory, by the deficits of its strata.
 
     Rare single-query units come first, then units near known disagreements up
     to their quota (which may pass ``count``), then always the unit that fills
-    the largest deficits; ties go to the greater seeded hash.
+    the largest deficits; ties go to the greater seeded hash.  Each choice
+    depends on all before it, so each is one grouped maximum over the units:
+    the driver holds the chosen rows and the strata's counts, nothing else.
     """
+    spark = units.sparkSession
+    columns = ["unit_id", "trajectory_id", "source_action_query_count", "action_idx", "leaks", *TARGETS, *SPECIALS]
+    pool = units.select(*columns).persist()
+    chosen: list = []
     have = {name: Counter() for name in TARGETS}
     special: Counter = Counter()
-    chosen: list[str] = []
-    used: set[str] = set()
-    key = lambda n, u: hashlib.sha256(f"{n}:{u['unit_id']}".encode()).hexdigest()
 
-    def take(u: dict) -> None:
-        chosen.append(u["unit_id"])
-        used.add(u["trajectory_id"])
+    def take(u) -> None:
+        chosen.append(u)
         for name in TARGETS:
             have[name][u[name]] += 1
         special.update(name for name in SPECIALS if u[name])
 
-    for u in sorted((u for u in units if u["source_action_query_count"] == 1), key=lambda u: key(seed, u)):
-        if len(chosen) < count and u["trajectory_id"] not in used:
-            take(u)
+    def unused(df: DataFrame) -> DataFrame:
+        return df.filter(~F.col("trajectory_id").isin([u["trajectory_id"] for u in chosen])) if chosen else df
+
+    def first_by_key(df: DataFrame, n: int, limit: int) -> list:
+        """The first unit of each trajectory in the order of a seeded hash."""
+        keyed = df.withColumn("__key", seeded_key(n, "unit_id"))
+        first = keyed.groupBy("trajectory_id").agg(F.min_by(F.struct(*columns, "__key"), "__key").alias("u")).select("u.*")
+        return first.orderBy("__key").limit(limit).collect()  # at most `limit` rows
+
+    for u in first_by_key(pool.filter("source_action_query_count = 1"), seed, count):
+        take(u)
     related = "action_level_disagreement_related"
-    for u in sorted((u for u in units if u[related] and not u["leaks"]), key=lambda u: key(seed + 1, u)):
-        if special[related] >= SPECIALS[related]:
-            break
-        if u["trajectory_id"] not in used:
+    quota = SPECIALS[related] - special[related]
+    if quota > 0:
+        for u in first_by_key(unused(pool.filter(F.col(related) & ~F.col("leaks"))), seed + 1, quota):
             take(u)
-
-    def worth(u: dict) -> float:
-        total = 0.0
+    while len(chosen) < count:
+        worth = F.lit(0.0)
         for name, goal in TARGETS.items():
-            target = goal[u[name]]
-            total += max(0, target - have[name][u[name]]) / max(1, target)
+            of = F.lit(None).cast("double")
+            for value, target in goal.items():
+                of = F.when(F.col(name) == value, max(0, target - have[name][value]) / max(1, target)).otherwise(of)
+            worth = worth + of
         for name, target in SPECIALS.items():
-            if u[name]:
-                total += 1.5 * max(0, target - special[name]) / max(1, target)
-        return total + 0.02 * (u["action_idx"] > 1)
-
-    safe = [u for u in units if not u["leaks"]]
-    while len(chosen) < count:
-        left = [u for u in safe if u["trajectory_id"] not in used]
-        if not left:
+            worth = worth + F.when(F.col(name), 1.5 * max(0, target - special[name]) / max(1, target)).otherwise(0.0)
+        worth = worth + F.when(F.col("action_idx") > 1, 0.02).otherwise(0.0)
+        best = unused(pool.filter(~F.col("leaks"))).agg(F.max_by(F.struct(*columns), F.struct(worth.alias("worth"), seeded_key(seed + len(chosen), "unit_id").alias("tie"))).alias("u")).first()["u"]
+        if best is None:
             raise ValueError("too few trajectories for the requested count")
-        n = seed + len(chosen)
-        take(max(left, key=lambda u: (worth(u), key(n, u))))
-    return chosen
-
-
-def greedy_pilot(units: DataFrame, count: int, seed: int) -> DataFrame:
-    """``unit_id, place``: the pilot sample.  Each choice depends on all before it.
-
-    Units with equal strata and trajectory differ only in their hash, and a
-    trajectory gives one unit at most, so the ids of the units, not their
-    texts, are what one task reads.
-    """
-    import pandas as pd
-
-    columns = ["unit_id", "trajectory_id", "source_action_query_count", "action_idx", "leaks", *TARGETS, *SPECIALS]
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        ids = choose(table.sort_values("unit_id").to_dict("records"), count, seed)
-        return pd.DataFrame({"unit_id": ids, "place": range(len(ids))})
-
-    return units.select(*columns).groupBy(F.lit(0)).applyInPandas(run, "unit_id string, place long")
+        take(best)
+    pool.unpersist()
+    return spark.createDataFrame([(u["unit_id"], k) for k, u in enumerate(chosen)], "unit_id string, place long")

@@ -44,7 +44,7 @@ def read_event_files(spark: SparkSession, path: str) -> DataFrame:
     A file is read as one value to number its lines; event files hold one
     trajectory each.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     lines = files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("seq", "line")).filter(F.trim("line") != "")
     fields = ("event_type", "trajectory_id", "question_id", "payload")
     return lines.select("file", F.col("seq").cast("bigint").alias("seq"), *(F.get_json_object("line", f"$.{c}").alias(c) for c in fields), F.get_json_object("line", "$.timestamp").try_cast("double").alias("timestamp"))

@@ -43,10 +43,12 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -
     return stream.sparkSession.table(name)
 
 
-def guard(steps: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Duplicate and stagnation diagnostics of ``key, seq, query, observation`` rows, in order of arrival.
+def guard(steps: DataFrame, silent_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Duplicate and stagnation diagnostics of ``key, seq, query, observation, ts`` rows, in order of arrival.
 
-    Equal to the batch operator when a trajectory's rows arrive in order.
+    ``ts`` carries the watermark; a trajectory's state goes once the watermark
+    has passed its last event by ``silent_ms``.  Equal to the batch operator
+    when a trajectory's rows arrive in order.
     """
     import xxhash
 
@@ -66,10 +68,11 @@ def guard(steps: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
             seen.add(o)
             out.append((key[0], r.seq, again, known, stagnant, stagnant >= 3))
         state.update((list(queries), list(seen), stagnant))
-        state.setTimeoutDuration(timeout_ms)
+        last = int(rows["ts"].max().timestamp() * 1000) + silent_ms
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "seq", "duplicate_query", "duplicate_observation", "stagnant_steps", "terminate_suggested"])
 
-    return steps.groupBy("key").applyInPandasWithState(run, GUARD, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return steps.groupBy("key").applyInPandasWithState(run, GUARD, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_once(path: str, key: str) -> Callable[[DataFrame, int], None]:
