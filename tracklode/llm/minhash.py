@@ -30,6 +30,7 @@ import math
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,8 @@ SIDE, HALF, PIVOTS = 9, 2, 2
 #: Bits of each half-key in the sketch that comes with a table row, and in how many of the 2 * SIDE a likely pair agrees.
 #: At a similarity of 0.8, 12 agree on average and fewer than 5 about once in 50,000 pairs.
 FIELD, AGREE = 3, 5
+#: Candidates of a class that are confirmed before all its others.
+FIRST_LOOK = 32
 #: Sizes are compared as logarithms of this base; similarity 0.8 allows a ratio of 1.25, under 5 steps.
 SIZE_BASE = 1.05
 
@@ -174,7 +177,7 @@ def needed_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int,
     return map_rows(texts.select("__text"), make, schema)
 
 
-def rest_pairs(sets: DataFrame, own: DataFrame, share: tuple[int, int]) -> DataFrame:
+def rest_pairs(sets: DataFrame, own: DataFrame, share: tuple[int, int], best: bool = False) -> DataFrame:
     """Exact candidates among classes that large buckets left in different components.
 
     ``own`` has ``hi, label, minor``; minor rows are those outside their
@@ -182,6 +185,10 @@ def rest_pairs(sets: DataFrame, own: DataFrame, share: tuple[int, int]) -> DataF
     ones first.  Two sets of x and y shingles that reach similarity t have
     t / (1 + t) * (x + y) in common, so after their first common shingle, at
     places p and q, at least that many less one must remain in both.
+
+    With ``best``, each minor class gives only the FIRST_LOOK candidates with
+    which it shares the most shingles so far: as links are for components, the
+    other candidates need no look where these join the two components.
     """
     num, den = share
     each = sets.join(own, "hi").withColumn("n", F.size("members")).select("hi", "label", "minor", "n", F.explode("members").alias("s"))
@@ -197,8 +204,11 @@ def rest_pairs(sets: DataFrame, own: DataFrame, share: tuple[int, int]) -> DataF
     right = prefix.select("s", F.col("hi").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("p").alias("py"), "minor")
     enough = (num + den) * (1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))) >= num * (F.col("nx") + F.col("ny"))
     sized = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    once = ~F.col("minor") | (F.col("x") < F.col("y"))
+    once = F.lit(best) | ~F.col("minor") | (F.col("x") < F.col("y"))
     pairs = left.join(right, (left["s"] == right["s"]) & (F.col("lx") != F.col("ly")) & sized & enough & once)
+    if best:
+        order = W.partitionBy("x").orderBy(F.desc("common"), "y")
+        pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("common")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FIRST_LOOK)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -240,6 +250,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     own = materialize(outsiders(found.filter("large"), label), "outsiders")
     if not own.isEmpty():
         sets = materialize(needed_sets(docs, classes, own.select("hi"), width, text_col, id_col), "sets")
+        links = materialize(links.unionByName(confirm(rest_pairs(sets, own, share, best=True), sets, share)), "confirmed")
+        label = labels(classes, components(links))
+        own = materialize(own.drop("label").join(label, "hi").select("hi", "label", "minor"), "outsiders")
         links = materialize(links.unionByName(confirm(rest_pairs(sets, own, share), sets, share)), "confirmed")
     joined = components(links)
 
