@@ -164,7 +164,7 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
             weights[kind] = BARRIER
         else:
             weights[kind] = -min(3.0, max(0.05, 0.5 - odds))
-    return {"word": 1.0, "article": BARRIER, "/article": BARRIER, "main": BARRIER, "/main": BARRIER} | weights
+    return {"word": 3.0, "article": BARRIER, "/article": BARRIER, "main": BARRIER, "/main": BARRIER} | weights
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

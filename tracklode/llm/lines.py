@@ -120,13 +120,15 @@ def deletions(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", count_col: str | None = None) -> DataFrame:
     """``docs`` without the lines of repeated runs; ``count_col`` gets the number of deleted lines."""
-    gone = deletions(docs, text_col, id_col).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    gone = deletions(docs, text_col, id_col)
+    whole = docs.select(F.struct("*").alias("row"))  # packed, so that no column of the caller's can clash
+    text = F.col("row").getField(text_col)
+    same = F.col("row").getField(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("text_hash"))
     # A merge join at every size: the texts move once, by key, and the plan does not change as the deletions grow.
-    joined = docs.join(gone.hint("merge"), same, "left")
-    lines = F.split(text_col, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+    joined = whole.join(gone.hint("merge"), same, "left")
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    made = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
-    extra = [F.coalesce(F.size("__gone"), F.lit(0)).alias(count_col)] if count_col else []
-    return made.select(*docs.columns, *extra)
+    row = F.col("row").withField(text_col, F.when(F.col("gone").isNull(), text).otherwise(left))
+    extra = [F.coalesce(F.size("gone"), F.lit(0)).alias(count_col)] if count_col else []
+    return joined.select(row.alias("row"), *extra).select("row.*", *([count_col] if count_col else []))

@@ -262,11 +262,13 @@ def redact_text(text: str, spans: list) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by the name of its kind; null text stays null."""
-    others = tuple(c for c in docs.columns if c != text_col)
-    found = find(docs, text_col, others, with_text=True)
-    schema = T.StructType([*(id_field(docs, c) for c in others), T.StructField(text_col, T.StringType())])
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("__others"), text_col)  # so that no column of the caller's can clash
+    found = find(packed, text_col, ("__others",), with_text=True)
+    schema = T.StructType([id_field(found, "__others"), T.StructField("__redacted", T.StringType())])
 
     def make():
-        return lambda cols: {c: cols[c] for c in others} | {text_col: [t if t is None else redact_text(t, s) for t, s in zip(cols["__text"], cols["spans"], strict=True)]}
+        return lambda cols: {"__others": cols["__others"], "__redacted": [t if t is None else redact_text(t, s) for t, s in zip(cols["__text"], cols["spans"], strict=True)]}
 
-    return map_rows(found.select(*others, "__text", "spans"), make, schema).select(*docs.columns)
+    made = map_rows(found.select("__others", "__text", "spans"), make, schema)
+    return made.select(*(F.col("__redacted").alias(c) if c == text_col else F.col("__others").getField(c).alias(c) for c in docs.columns))
