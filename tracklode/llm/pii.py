@@ -24,11 +24,13 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import id_field, map_rows, materialize, struct
+from .common import SLICE_ROWS, id_field, map_rows, materialize, small_batches, struct
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -165,20 +167,40 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
 MENTION = ("start", "end", "kind", "instance", "patterns")
 
 
+def annotation(texts: list[str | None]) -> tuple[list, list]:
+    """Base spans and mentions of texts, as lists of dicts."""
+    base = [base_spans(t or "") for t in texts]
+    found = [mentions(t or "", b) for t, b in zip(texts, base, strict=True)]
+    return [[{"start": a, "kind": k, "end": e} for a, k, e in b] for b in base], [[dict(zip(MENTION, m, strict=True)) for m in ms] for ms in found]
+
+
 def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """One pass over the texts: base spans and mentions of each row."""
+    """One pass over the texts: base spans and mentions of each row.
+
+    With the text wanted back, only the text goes to Python and all columns
+    stay in the JVM.
+    """
     fields = struct(("base", "array<struct<start:int,kind:int,end:int>>"), ("mentions", "array<struct<start:int,end:int,kind:int,instance:string,patterns:array<string>>>"))
-    schema = T.StructType([*(id_field(docs, c) for c in keep), *fields, *([T.StructField("__text", T.StringType())] if with_text else [])])
+    if with_text:
+        small_batches(docs.sparkSession)
+        kind = to_arrow_type(fields)
+
+        def read(texts: pa.Array) -> pa.Array:
+            parts = [pa.array([], kind)]
+            for at in range(0, len(texts), SLICE_ROWS):
+                base, found = annotation(texts.slice(at, SLICE_ROWS).to_pylist())
+                parts.append(pa.array([{"base": b, "mentions": m} for b, m in zip(base, found, strict=True)], kind))
+            return pa.concat_arrays(parts)
+
+        noted = docs.select(*keep, F.col(text_col).alias("__text"), F.arrow_udf(read, fields)(F.col(text_col)).alias("__found"))
+        return noted.select(*keep, "__found.base", "__found.mentions", "__text")
+
+    schema = T.StructType([*(id_field(docs, c) for c in keep), *fields])
 
     def make():
         def f(cols):
-            base = [base_spans(t or "") for t in cols["__text"]]
-            found = [mentions(t or "", b) for t, b in zip(cols["__text"], base, strict=True)]
-            return {c: cols[c] for c in keep} | {
-                "base": [[{"start": a, "kind": k, "end": e} for a, k, e in b] for b in base],
-                "mentions": [[dict(zip(MENTION, m, strict=True)) for m in ms] for ms in found],
-                "__text": cols["__text"],
-            }
+            base, found = annotation(cols["__text"])
+            return {c: cols[c] for c in keep} | {"base": base, "mentions": found}
 
         return f
 
@@ -265,10 +287,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("__others"), text_col)  # so that no column of the caller's can clash
     found = find(packed, text_col, ("__others",), with_text=True)
-    schema = T.StructType([id_field(found, "__others"), T.StructField("__redacted", T.StringType())])
 
-    def make():
-        return lambda cols: {"__others": cols["__others"], "__redacted": [t if t is None else redact_text(t, s) for t, s in zip(cols["__text"], cols["spans"], strict=True)]}
+    def write(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([redact_text(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    made = map_rows(found.select("__others", "__text", "spans"), make, schema)
-    return made.select(*(F.col("__redacted").alias(c) if c == text_col else F.col("__others").getField(c).alias(c) for c in docs.columns))
+    # Texts without spans, and null ones, do not go to Python again.
+    clean = found.filter(F.size("spans") == 0).select("__others", "__text")
+    marked = found.filter(F.size("spans") > 0).select("__others", F.arrow_udf(write, T.StringType())("__text", "spans").alias("__text"))
+    made = clean.unionByName(marked)
+    return made.select(*(F.col("__text").alias(c) if c == text_col else F.col("__others").getField(c).alias(c) for c in docs.columns))
