@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch on its way to Python.  Spark's default of 64 MB is held several times over, in the JVM and in each worker.
 BATCH_BYTES = 4 << 20
+#: Rows of a Parquet batch: whole texts make Spark's default of 4096 rows tens of MB, in arrays that grow by doubling.
+BATCH_ROWS = 512
 #: Rows turned into Python objects at a time; an Arrow batch may hold more.
 SLICE_ROWS = 128
 
@@ -34,6 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     where ``df`` holds generated ids.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
@@ -41,7 +44,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_BYTES where it is larger."""
+    """Lower the session's Arrow batch size to BATCH_BYTES, and its Parquet batches to BATCH_ROWS, where they are larger."""
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(spark.conf.get(key)).lower().removesuffix("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:

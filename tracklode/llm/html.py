@@ -47,6 +47,8 @@ DROPPED_NAMES = frozenset(
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 _tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>""", re.S)
+#: A tag that the page ends in.
+_unended = re.compile("<[a-zA-Z/!?]")
 _attribute = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _split = re.compile("[^a-z0-9]+")
 
@@ -78,7 +80,7 @@ def events(html: str) -> list[tuple]:
     at, n = 0, len(html)
     while at < n:
         m = _tag.search(html, at)
-        text = html[at : m.start() if m else n]
+        text = html[at : m.start()] if m else _unended.split(html[at:], 1)[0]
         if text and drop_at is None:
             made.append(("word", text, inside > 0))
         if not m:
