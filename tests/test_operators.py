@@ -142,6 +142,12 @@ def test_stagnation(spark):
     assert [r["stagnant_steps"] for r in got] == [0, 1, 2, 3, 0, 1] and [r["terminate_suggested"] for r in got] == [False] * 3 + [True] + [False] * 2
 
 
+def test_budgets(spark):
+    df = spark.createDataFrame([("t", 1, 100, 5.0, "search"), ("t", 2, 500, 5.0, "answer"), ("t", 3, 10, 900.0, "answer"), ("u", 1, 1, 1.0, "search")], "k string, i int, tokens int, seconds double, kind string")
+    assert [tuple(r) for r in windows.budget_stop(df, ["k"], ["i"], tokens=600, seconds=540).collect()] == [("t", 2, "tokens")]
+    assert [tuple(r) for r in windows.early_answers(df, ["k"], ["i"], "kind", "seconds").collect()] == [("t", 2, 5.0)]
+
+
 def test_replay_audit(spark):
     df = spark.createDataFrame([("t", 0, [1], [2]), ("t", 1, [1, 2, 3], [4]), ("t", 2, [1, 9, 3, 4], [5])], "t string, g int, input_ids array<int>, generated_ids array<int>")
     bad = windows.replay_audit(df, "t", "g").collect()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.algebra import mean_or_zero, percentile_or_zero, ratio_or_zero
 from ..functions.text import _c
 
+#: Reported quantiles, ranges of rounds and length limits; fixed values.
 QUANTILES = (0.50, 0.75, 0.90, 0.95, 0.99)
 ROUND_BUCKETS = ((1, 3), (4, 6), (7, 12), (13, 20), (21, 30), (31, None))
 TOKEN_LIMITS = (4096, 8192, 12288, 16384, 24576, 32768)

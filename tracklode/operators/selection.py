@@ -61,6 +61,7 @@ def sample_strata(df: DataFrame, stratum: str, order: str, k: int, seed: int) ->
     return ranked.join(F.broadcast(chosen), [stratum, "__at"], "left_semi").drop("__at")  # at most k rows a stratum
 
 
+#: Wanted numbers by stratum and by special trait of the pilot sample; fixed values.
 TARGETS = {
     "action_position": {"early": 40, "middle": 40, "late": 40},
     "query_position": {"single": 4, "first": 38, "middle": 40, "last": 38},

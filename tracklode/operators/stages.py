@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.algebra import ratio_or_zero
 from .expect import ExpectationError, require, require_rows
 
+#: Stages and the columns each row must have; fixed values.
 STAGES = ("Base", "SFT", "DPO", "GRPO")
 REQUIRED = ("question_id", "answer_em", "answer_f1", "task_success", "search_action_count", "search_query_count", "valid_query_count", "repeated_query_count", "retrieval_success_count", "process_scores", "trajectory_reward", "termination_reason")
 

@@ -19,6 +19,7 @@ from ..functions.text import observation_fragments, reasoning_text, wrapper_form
 from .windows import redundancy, redundancy_pass
 
 MESSAGES = "array<struct<role:string,content:string>>"
+#: Prefix of the codes of failed reconstruction; fixed value.
 FAILED = "reconstruction_failed:"
 
 

@@ -76,6 +76,27 @@ def replay_audit(records: DataFrame, by: str, order: str, state: str = "input_id
     return expected.withColumn("first_difference", at).drop("__e").filter(F.col("first_difference").isNotNull())
 
 
+def budget_stop(rows: DataFrame, by: list[str], order: list[str], **limits: float) -> DataFrame:
+    """Where each trajectory ends by a budget: the first row at which the running sum of a named column reaches its limit.
+
+    Trajectories that stay under all limits are absent.  ``reason`` names the
+    first column, in the order given, that is used up at that row.
+    """
+    upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sums = {f"__{c}": F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto) for c in limits}
+    reason = F.coalesce(*(F.when(F.col(f"__{c}") >= limit, F.lit(c)) for c, limit in limits.items()))
+    over = rows.withColumns(sums).withColumn("reason", reason).filter("reason IS NOT NULL")
+    return over.groupBy(*by).agg(F.min_by(F.struct(*order, "reason"), F.struct(*order)).alias("stop")).select(*by, "stop.*")
+
+
+def early_answers(rows: DataFrame, by: list[str], order: list[str], kind: str, elapsed: str, min_rounds: int = 3, min_seconds: float = 120.0) -> DataFrame:
+    """The first answer of each trajectory that comes before so many rounds and seconds: it would be sent back once."""
+    w = W.partitionBy(*by).orderBy(*order)
+    numbered = rows.withColumn("round", F.row_number().over(w)).filter(F.col(kind) == "answer")
+    first = numbered.groupBy(*by).agg(F.min_by(F.struct("round", elapsed), "round").alias("a")).select(*by, "a.*")
+    return first.filter((F.col("round") < min_rounds) & (F.col(elapsed) < min_seconds))
+
+
 def action_position(index, total) -> Column:
     i, n = _c(index), _c(total)
     return F.when((i == 1) | (3 * i <= n), "early").when(3 * i >= 2 * n, "late").otherwise("middle")
