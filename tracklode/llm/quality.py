@@ -24,6 +24,8 @@ BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 #: A line of prose ends in one of these.
 LINE_ENDS = (".", "!", "?", ":", ";", ",", '"', "'", ")", "]", "”", "’", "»", "…", "。", "！", "？")
+#: A line that is cut off is prose all the same if a sentence ends in it.
+INNER_ENDS = (". ", "! ", "? ")
 SEPARATORS = ("|", "»", "›", "•")
 NAVIGATION_WORDS = frozenset("home about contact login logout search menu next previous back top help sitemap share register subscribe".split())
 BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "lorem ipsum", "click here", "sign up for our")
@@ -33,7 +35,7 @@ MIN_WORDS = 50
 def line_passes(line: str, words: list[bytes]) -> bool:
     """The rules that need only the line itself."""
     stripped = line.strip(BLANKS)
-    if not stripped.endswith(LINE_ENDS):
+    if not stripped.endswith(LINE_ENDS) and not any(end in stripped for end in INNER_ENDS):
         return False
     n_symbols = sum(map(line.count, SYMBOLS))
     if n_symbols and 10 * n_symbols > sum(len(w.decode()) for w in words):
@@ -122,7 +124,7 @@ rep AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest([i, i + 1, i + 2
 l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
 l1 AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth, regexp_extract_all(line, '[^ \t\n\v\f\r]+') AS ws FROM l0),
 l2 AS (SELECT r, nth, len(ws) AS n,
-    regexp_matches(line, '[.!?:;,"'')\]”’»…。！？][ \t\v\f\r]*$')
+    (regexp_matches(line, '[.!?:;,"'')\]”’»…。！？][ \t\v\f\r]*$') OR regexp_matches(regexp_replace(line, '^[ \t\v\f\r]+|[ \t\v\f\r]+$', '', 'g'), '[.!?] '))
     AND 10 * len(regexp_extract_all(line, '[#*$%&|<>]')) <= length(regexp_replace(line, '[ \t\v\f\r]', '', 'g'))
     AND len(regexp_extract_all(line, '[|»›•]')) < 2
     AND NOT (len(ws) <= 8 AND len(list_filter(ws, lambda x: NOT list_contains({_sql_list(sorted(NAVIGATION_WORDS))}, trim(lower(x), '.,:;!?')))) = 0)
