@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import algebra as A
 from ..functions import protocol
 from ..functions import text as X
-from ..operators import joins, profiles, selection, stages, trajectories, units, vectors, windows
+from ..operators import joins, overlap, profiles, selection, stages, trajectories, units, vectors, windows
 from ..operators.expect import violations
 from ..streaming import streams
 
@@ -196,6 +196,16 @@ def em_f1_pairs(spark, d):
     return pairs.select("doc_id", "item_id", X.exact_match(answer, "golds").alias("em"), F.round(X.token_f1(answer, "golds"), 9).alias("f1"))
 
 
+@query()
+def em_f1_whole(spark, d):
+    """Whole texts against every item: all pairs with a common token, or with equal texts; the others score 0."""
+    bag = X.qa_normalize("text")
+    n, p, g = F.col("both").cast("double"), F.col("n_doc"), F.col("n_item")
+    pairs = overlap.overlaps(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id", bag, bag)
+    f1 = F.when((p == 0) & (g == 0), 1.0).when(n == 0, 0.0).otherwise(2 * (n / p) * (n / g) / (n / p + n / g))
+    return pairs.select("doc_id", "item_id", F.col("same").cast("double").alias("em"), F.round(f1, 9).alias("f1"))
+
+
 WORDS = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1))"
 JACCARD = "CASE WHEN len({0}) > 0 AND len({1}) > 0 THEN len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) ELSE 0 END"
 
