@@ -45,3 +45,15 @@ def test_em_f1_whole(spark, tmp_path):
         assert sorted((got - want).elements()) == sorted((want - got).elements()) == []
         if d != DATA:
             assert got[(2, 107, 1.0, 1.0)] == 1 and any(k[:2] == (1, 107) for k in got) and got[(3, 108, 1.0, 1.0)] == 1
+
+
+def test_word_jaccard_whole(spark, tmp_path):
+    words = lambda x: {w for w in re.findall(r"\w+", (x or "").lower()) if len(w) > 1}
+    for d in (fixture(spark, tmp_path, **SMALL), DATA):
+        docs, items = texts(spark, d)
+        docs, items = [(i, words(x)) for i, x in docs], [(i, words(x)) for i, x in items]
+        want = Counter((i, j, round(round(len(a & b) / len(a | b), 9), 6), round(round(len(a & b) / len(b), 9), 6)) for i, a in docs for j, b in items if a & b)
+        got = Counter((r["doc_id"], r["item_id"], round(r["jaccard"], 6), round(r["coverage"], 6)) for r in catalog.word_jaccard_whole(spark, d).collect())
+        assert sorted((got - want).elements()) == sorted((want - got).elements()) == []
+        if d != DATA:
+            assert any(k[:2] == (1, 107) and k[3] == 1.0 for k in got)

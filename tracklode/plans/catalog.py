@@ -218,6 +218,15 @@ def word_jaccard(spark, d):
     return pairs.select("doc_id", "item_id", F.round(X.jaccard("text", "item"), 9).alias("jaccard"), F.round(X.term_coverage("item", section), 9).alias("coverage"))
 
 
+@query()
+def word_jaccard_whole(spark, d):
+    """Every document against every item: all pairs with a common word; the others have 0 in both columns."""
+    bag = F.array_join(X.word_set("text"), " ")
+    pairs = overlap.overlaps(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id", bag, bag).filter("both > 0")
+    n, a, b = F.col("both"), F.col("n_doc"), F.col("n_item")
+    return pairs.select("doc_id", "item_id", F.round(n / (a + b - n), 9).alias("jaccard"), F.round(n / b, 9).alias("coverage"))
+
+
 def turn_words(spark, d):
     return t(spark, d, "conversations").withColumn("fragments", X.word_set("text"))
 
