@@ -5,6 +5,7 @@ from collections import Counter
 
 from conftest import DATA
 
+from tracklode.llm import html
 from tracklode.plans import catalog
 
 
@@ -57,3 +58,11 @@ def test_word_jaccard_whole(spark, tmp_path):
         assert sorted((got - want).elements()) == sorted((want - got).elements()) == []
         if d != DATA:
             assert any(k[:2] == (1, 107) and k[3] == 1.0 for k in got)
+
+
+def test_html_long_attribute_values():
+    for n in (3_000, 5_000, 1_000_000):
+        for quote in "'\"":
+            page = f"<p>one</p><div data-props={quote}{'<b>x</b> > ' * (n // 11)}{quote}>two</div>"
+            assert html.main_text(page, html.weigh({})) == "one\ntwo"
+    assert [k for k, *_ in html.events("<p title='>a</p>")] == ["p", "word", "/p"]  # never closed: the tag ends at the next >

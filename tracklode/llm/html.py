@@ -46,7 +46,9 @@ DROPPED_NAMES = frozenset(
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-_tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>""", re.S)
+_name = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_stop = re.compile("[<>\"']")
+_angle = re.compile("[<>]")
 #: A tag that the page ends in.
 _unended = re.compile("<[a-zA-Z/!?]")
 _attribute = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -70,6 +72,35 @@ def dropped(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def next_tag(html: str, at: int, last: dict[str, int]) -> tuple[int, int, str, str, str] | None:
+    """Start, end, "/" of a closing tag, name and attributes of the next tag; the name of comments and declarations is empty.
+
+    Quoted values may have any length and any characters but their quote.  A
+    tag with a quote that is never closed (``last`` has the last place of each
+    quote) or that meets ``<`` outside of values ends at the next ``>`` if no
+    ``<`` stands before it; otherwise its ``<`` is text.
+    """
+    while (at := html.find("<", at)) >= 0:
+        m = _name.match(html, at)
+        if m:
+            stop = _stop.search(html, m.end())
+            while stop and stop[0] in last and stop.start() < last[stop[0]]:
+                stop = _stop.search(html, html.find(stop[0], stop.end()) + 1)
+            if not stop or stop[0] != ">":
+                stop = _angle.search(html, m.end())
+            if stop and stop[0] == ">":
+                return at, stop.end(), m[1], m[2], html[m.end() : stop.start()]
+        elif html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            return at, end + 3 if end >= 0 else len(html), "", "", ""
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at + 2)
+            if end >= 0:
+                return at, end + 1, "", "", ""
+        at += 1
+    return None
+
+
 def events(html: str) -> list[tuple]:
     """(kind, text, inside): kind is "word" with its text, or a tag's name, "/name" or "-name" of a dropped container."""
     made: list[tuple] = []
@@ -78,15 +109,15 @@ def events(html: str) -> list[tuple]:
     drop_at = None  # depth of the dropped container
     inside = 0
     at, n = 0, len(html)
+    last = {quote: html.rfind(quote) for quote in "\"'"}
     while at < n:
-        m = _tag.search(html, at)
-        text = html[at : m.start()] if m else _unended.split(html[at:], 1)[0]
+        tag = next_tag(html, at, last)
+        text = html[at : tag[0]] if tag else _unended.split(html[at:], 1)[0]
         if text and drop_at is None:
             made.append(("word", text, inside > 0))
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        _, at, closing, name, attributes = tag
         if not name:
             continue
         name = name.lower()
