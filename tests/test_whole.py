@@ -66,3 +66,16 @@ def test_html_long_attribute_values():
             page = f"<p>one</p><div data-props={quote}{'<b>x</b> > ' * (n // 11)}{quote}>two</div>"
             assert html.main_text(page, html.weigh({})) == "one\ntwo"
     assert [k for k, *_ in html.events("<p title='>a</p>")] == ["p", "word", "/p"]  # never closed: the tag ends at the next >
+
+
+def test_events_hold_whole_turns(spark, tmp_path):
+    """The next turn and the question are whole in observations, answers and gold answers, and a repeat after 200 characters counts."""
+    said = "first words " * 30 + "\n2. the same late result\n3. another late result"
+    turns = [(7, 0, "user", "a question of more than twenty characters"), (7, 1, "assistant", "look for this one thing"), (7, 2, "user", said), (7, 3, "assistant", "and for that other thing"), (7, 4, "user", "other " * 60 + said)]
+    d = fixture(spark, tmp_path, conversations=(turns, "conv_id long, turn long, role string, text string"))
+    c = catalog.candidates(spark, d).first()
+    assert c["structural_valid"] and c["golden_answers"] == [turns[0][3]] and c["final"]["answer"] == turns[0][3]
+    assert [s["observation"].count(x[3]) for s, x in zip(c["steps"], (turns[2], turns[4]), strict=True)] == [2, 2]
+    assert catalog.step_redundancy(spark, d).first()["reject_reason"] == "redundancy_gt_1"
+    for u in catalog.pilot_units(spark, d).collect():
+        assert u["current_query_result"].endswith("3. another late result")

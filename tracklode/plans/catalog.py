@@ -492,7 +492,7 @@ def synthetic_events(spark, d):
     turns = turns.withColumn("round", F.row_number().over(w).cast("bigint"))
     ask = F.array_join(F.slice(F.split("text", r"[ \n]+"), 1, 4), " ")
     queries = F.array(ask, F.concat(ask, F.lit(" "), F.element_at(F.array(*map(F.lit, TOPICS)), (F.pmod("turn", F.lit(3)) + 1).cast("int"))))
-    body = lambda q: F.concat(F.lit("Search results for: "), q, F.lit("\n1. "), F.left("next", F.lit(200)))
+    body = lambda q: F.concat(F.lit("Search results for: "), q, F.lit("\n1. "), F.col("next"))
     shown = F.array_join(F.transform("queries", body), "\n\n")
     turns = turns.withColumn("queries", queries).withColumn("observation", F.replace(shown, F.lit("\n\n\n"), F.lit("\n")))
     call = F.to_json(F.struct(F.lit("search").alias("name"), F.struct(F.col("queries").alias("query")).alias("arguments")))
@@ -511,9 +511,9 @@ def synthetic_events(spark, d):
     each = turns.select(F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("trajectory_id"), F.explode(log).alias("e")).select("trajectory_id", "e.*")
     ids = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question")).withColumn("trajectory_id", F.concat(F.lit("t"), F.col("conv_id").cast("string")))
     start = ids.select("trajectory_id", F.lit(0).cast("bigint").alias("seq"), F.lit("trajectory_start").alias("event_type"), F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))).alias("messages_snapshot"))).alias("payload"))
-    finish = ids.select("trajectory_id", F.lit(10_000_000).cast("bigint").alias("seq"), F.lit("trajectory_finish").alias("event_type"), F.to_json(F.struct(F.left("question", F.lit(20)).alias("answer"))).alias("payload"))
+    finish = ids.select("trajectory_id", F.lit(10_000_000).cast("bigint").alias("seq"), F.lit("trajectory_finish").alias("event_type"), F.to_json(F.struct(F.col("question").alias("answer"))).alias("payload"))
     counts = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
-    res = ids.join(counts, "conv_id", "left").select("trajectory_id", F.col("conv_id").cast("string").alias("question_id"), "question", F.array(F.left("question", F.lit(20))).alias("golden_answers"), F.lit("").alias("prediction"), F.coalesce("n", F.lit(0)).alias("search_actions"), (2 * F.coalesce("n", F.lit(0))).alias("search_queries"), F.coalesce("n", F.lit(0)).alias("rounds"))
+    res = ids.join(counts, "conv_id", "left").select("trajectory_id", F.col("conv_id").cast("string").alias("question_id"), "question", F.array("question").alias("golden_answers"), F.lit("").alias("prediction"), F.coalesce("n", F.lit(0)).alias("search_actions"), (2 * F.coalesce("n", F.lit(0))).alias("search_queries"), F.coalesce("n", F.lit(0)).alias("rounds"))
     return each.unionByName(start).unionByName(finish), res
 
 
