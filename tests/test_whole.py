@@ -79,3 +79,14 @@ def test_events_hold_whole_turns(spark, tmp_path):
     assert catalog.step_redundancy(spark, d).first()["reject_reason"] == "redundancy_gt_1"
     for u in catalog.pilot_units(spark, d).collect():
         assert u["current_query_result"].endswith("3. another late result")
+
+
+def test_parsers_whole(spark, tmp_path):
+    said = [(1, 0, "user", "nested {a {b} c}\nand {d}"), (1, 1, "assistant", "one long call\nof\nthree lines"), (1, 2, "user", "short"), (1, 3, "assistant", "word " * 500 + "\nlast")]
+    d = fixture(spark, tmp_path, conversations=(said, "conv_id long, turn long, role string, text string"))
+    got = {r["turn"]: r for r in catalog.parsers_whole(spark, d).collect()}
+    for _, k, role, text in said:
+        assert (got[k]["boxed"], got[k]["value"], got[k]["answer"]) == (text, text, text)
+        assert got[k]["kind"] == ("search" if role == "assistant" else "answer")
+        if role == "assistant":
+            assert got[k]["call"] == text

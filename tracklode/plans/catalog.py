@@ -604,6 +604,16 @@ def actions(spark, d):
     return a.select("conv_id", "turn", "a.kind", F.when(F.col("a.kind") == "search", F.col("a.query")).otherwise(F.col("a.answer")).alias("value"))
 
 
+@query()
+def parsers_whole(spark, d):
+    """Whole texts of all turns through the parsers of tool calls, boxed answers, actions and answers."""
+    wrap = lambda a, b: F.concat(F.lit(a), F.col("text"), F.lit(b))
+    raw = F.when(F.col("role") == "assistant", wrap("<search> ", " </search>")).otherwise(wrap("<answer> ", " </answer>"))
+    c = t(spark, d, "conversations").withColumn("a", protocol.action(raw))
+    value = F.when(F.col("a.kind") == "search", F.col("a.query")).otherwise(F.col("a.answer"))
+    return c.select("conv_id", "turn", protocol.tool_call(wrap("<tool_call>", "")).alias("call"), X.boxed_answer(wrap("so \\boxed{", "} ends")).alias("boxed"), F.col("a.kind").alias("kind"), value.alias("value"), X.clean_answer(wrap('  The answer is "', '" ')).alias("answer"))
+
+
 @query("SELECT g AS generation_idx, 0::BIGINT AS failures FROM (SELECT DISTINCT turn AS g FROM conversations WHERE turn > 0)")
 def replay_audit(spark, d):
     """Turns as generations whose state is all that was said before: no transition may fail."""
