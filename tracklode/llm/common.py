@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +20,39 @@ BATCH_ROWS = 512
 SLICE_ROWS = 128
 
 
+_local_root: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one is made only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder of this process;
+    on a cluster each executor would write to its own disk, so that raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tracklode-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local_root:
+        _local_root.append(tempfile.mkdtemp(prefix="tracklode-"))
+    return _local_root[0]
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (``__`` for dots) for the time of a block."""
+    before = {k: spark.conf.get(k.replace("__", "."), None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k.replace("__", "."), v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k.replace("__", "."))
+            else:
+                spark.conf.set(k.replace("__", "."), v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -33,21 +60,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts lineage: whatever reads the result needs neither the executors
     nor the shuffle files that made it, and sees one fixed set of rows even
-    where ``df`` holds generated ids.
+    where ``df`` holds generated ids.  The shuffle files are freed once the
+    table is written; the table goes with ``release``, or with the application.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = min(BATCH_ROWS, int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))
+    with settings(spark, spark__sql__parquet__columnarReaderBatchSize=str(rows), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    fs, where = file_system(spark, path)
+    fs.deleteOnExit(where)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for table in tables:
+        fs, where = file_system(table.sparkSession, table._scratch)
+        fs.delete(where, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_BYTES, and its Parquet batches to BATCH_ROWS, where they are larger."""
-    rows = "spark.sql.parquet.columnarReaderBatchSize"
-    if int(spark.conf.get(rows)) > BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
+    """Lower the session's Arrow batch size to BATCH_BYTES where it is larger; it stays so, as results are computed after an operator returns."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(spark.conf.get(key)).lower().removesuffix("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:

@@ -13,8 +13,9 @@ full shingle sets.
    half-key, are dropped before they are written; the rest are confirmed on
    full sets.
 4. Classes of larger buckets that did not all end up in one component are
-   compared by an exact prefix-filtered join (every two sets that reach the
-   threshold share one of their rarest shingles), only across components.
+   compared exactly, block by block, only across components: what stands
+   outside the main component around a pivot meets all that stands around it,
+   and nothing but links leaves a pair of blocks.
 5. Components of confirmed links.
 
 A text without words, a null text or a null id is linked with nothing; its
@@ -28,22 +29,22 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import apart, bucket_pairs
-from .common import id_field, map_rows, materialize, struct
+from .common import arrow_schema, id_field, map_rows, materialize, release, struct
 from .graph import components
 
 SIDE, HALF, PIVOTS = 9, 2, 2
 #: Bits of each half-key in the sketch that comes with a table row, and in how many of the 2 * SIDE a likely pair agrees.
 #: At a similarity of 0.8, 12 agree on average and fewer than 5 about once in 50,000 pairs.
 FIELD, AGREE = 3, 5
-#: Candidates of a class that are confirmed before all its others.
-FIRST_LOOK = 32
+#: Classes and shingles of a block in the exact comparison around a pivot.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Sizes are compared as logarithms of this base; similarity 0.8 allows a ratio of 1.25, under 5 steps.
 SIZE_BASE = 1.05
 
@@ -177,43 +178,8 @@ def needed_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int,
     return map_rows(texts.select("__text"), make, schema)
 
 
-def rest_pairs(sets: DataFrame, own: DataFrame, share: tuple[int, int], best: bool = False) -> DataFrame:
-    """Exact candidates among classes that large buckets left in different components.
-
-    ``own`` has ``hi, label, minor``; minor rows are those outside their
-    bucket's main component.  Shingles stand in one order for all sets, rare
-    ones first.  Two sets of x and y shingles that reach similarity t have
-    t / (1 + t) * (x + y) in common, so after their first common shingle, at
-    places p and q, at least that many less one must remain in both.
-
-    With ``best``, each minor class gives only the FIRST_LOOK candidates with
-    which it shares the most shingles so far: as links are for components, the
-    other candidates need no look where these join the two components.
-    """
-    num, den = share
-    each = sets.join(own, "hi").withColumn("n", F.size("members")).select("hi", "label", "minor", "n", F.explode("members").alias("s"))
-    each = materialize(each, "shingles")
-    often = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    # Shingles of one set alone come first in the order and match nothing; the others follow by frequency.
-    ordered = each.join(often, "s").groupBy("hi", "label", "minor", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("m"))  # at most one text's shingles
-    placed = ordered.select("hi", "label", "minor", "n", F.posexplode("m").alias("k", "m"), F.size("m").alias("shared"))
-    placed = placed.select("hi", "label", "minor", "n", F.col("m.s").alias("s"), (F.col("n") - F.col("shared") + F.col("k") + 1).alias("p"))
-    # No partner has fewer than t * n shingles, so no common shingle may first stand beyond n - t * n + 1.
-    prefix = materialize(placed.filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1), "prefixes")
-    left = prefix.filter("minor").select("s", F.col("hi").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("p").alias("px"))
-    right = prefix.select("s", F.col("hi").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("p").alias("py"), "minor")
-    enough = (num + den) * (1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))) >= num * (F.col("nx") + F.col("ny"))
-    sized = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    once = F.lit(best) | ~F.col("minor") | (F.col("x") < F.col("y"))
-    pairs = left.join(right, (left["s"] == right["s"]) & (F.col("lx") != F.col("ly")) & sized & enough & once)
-    if best:
-        order = W.partitionBy("x").orderBy(F.desc("common"), "y")
-        pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("common")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FIRST_LOOK)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def outsiders(large: DataFrame, label: DataFrame) -> DataFrame:
-    """``hi, label, minor`` of the classes in large buckets of more than one component.
+    """``a, hi, label, minor`` of the classes around each pivot ``a`` of large buckets, where they lie in more than one component.
 
     A pivot stands for its buckets.  ``minor`` marks what lies outside the most
     frequent component around a pivot: of two classes that were not compared,
@@ -223,7 +189,70 @@ def outsiders(large: DataFrame, label: DataFrame) -> DataFrame:
     around = materialize(large.select("a", "b").join(side("b"), "b").unionByName(large.select("a").distinct().join(side("a"), "a").select(F.col("a").alias("b"), "a", F.col("la").alias("lb"))), "around")
     main = around.groupBy("a", "lb").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "lb")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
     mixed = around.join(main.select("a", F.col("main.lb").alias("main")), "a")
-    return mixed.groupBy(F.col("b").alias("hi")).agg(F.first("lb").alias("label"), F.max(F.col("lb") != F.col("main")).alias("minor"))
+    return mixed.select("a", F.col("b").alias("hi"), F.col("lb").alias("label"), (F.col("lb") != F.col("main")).alias("minor"))
+
+
+def block_links(own: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``a, b`` (digests): confirmed links between components around each pivot, by pairs of blocks.
+
+    The minor classes around a pivot meet all classes around it.  Both sides
+    are dealt into blocks of about BLOCK classes and BLOCK_SHINGLES shingles,
+    so a pivot with very many classes is spread over tasks; a pair of blocks is
+    compared through the sorted shingles of one side, and only links come out,
+    one for a minor class and a component.
+    """
+    each = own.join(sets, "hi").select("a", "hi", "label", "minor", "cid", "members")
+    each = materialize(each, "around_sets")
+    blocks = lambda rows, weight: F.greatest(F.ceil(rows / BLOCK), F.ceil(weight / BLOCK_SHINGLES), F.lit(1))
+    n = F.size("members")
+    only = lambda c: F.sum(F.when(F.col("minor"), c).otherwise(0))
+    sizes = each.groupBy("a").agg(blocks(only(F.lit(1)), only(n)).alias("left"), blocks(F.count("*"), F.sum(n)).alias("right"))
+    each = each.join(sizes, "a")
+    place = lambda c: F.pmod(F.xxhash64("hi"), F.col(c)).alias("own")
+    other = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)).alias("other")
+    columns = ["a", "hi", "label", "minor", "cid", "members"]
+    left = each.filter("minor").select(*columns, place("left"), other("right")).select(*columns, F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("is_left"))
+    right = each.select(*columns, place("right"), other("left")).select(*columns, F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("is_left"))
+    schema = struct(("a", "binary"), ("b", "binary"))
+    out = arrow_schema(schema)
+    num, den = share
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("is_left").to_numpy()
+        xs, ys = table.filter(pa.array(side)).combine_chunks(), table.filter(pa.array(~side)).combine_chunks()
+        found: list[tuple[bytes, bytes]] = []
+        if len(xs) and len(ys):
+            x_label, x_cid, y_cid = xs.column("label").to_pylist(), xs.column("cid").to_pylist(), ys.column("cid").to_pylist()
+            codes: dict[bytes, int] = {}
+            y_label = np.array([codes.setdefault(v, len(codes)) for v in ys.column("label").to_pylist()])
+            x_hi, y_hi, y_minor = xs.column("hi").to_numpy(), ys.column("hi").to_numpy(), ys.column("minor").to_numpy()
+            y_values, y_at = flat(ys.column("members"))
+            y_size = np.diff(y_at)
+            owner = np.repeat(np.arange(len(ys)), y_size)
+            order = np.argsort(y_values, kind="stable")
+            y_values, owner = y_values[order], owner[order]
+            x_values, x_at = flat(xs.column("members"))
+            low, high = np.searchsorted(y_values, x_values, "left"), np.searchsorted(y_values, x_values, "right")
+            for k in range(len(xs)):
+                lo, n_hits = low[x_at[k] : x_at[k + 1]], (high - low)[x_at[k] : x_at[k + 1]]
+                hits = np.arange(n_hits.sum()) + np.repeat(lo - (np.cumsum(n_hits) - n_hits), n_hits)
+                both = np.bincount(owner[hits], minlength=len(ys))
+                linked = den * both >= num * (len(lo) + y_size - both)
+                # Of two minor classes either meets the other once as the left side.
+                linked &= (y_label != codes.get(x_label[k], -1)) & (~y_minor | (x_hi[k] < y_hi))
+                hit = np.flatnonzero(linked)
+                for y in hit[np.unique(y_label[hit], return_index=True)[1]]:
+                    found.append((x_cid[k], y_cid[y]))
+        return pa.Table.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], schema=out)
+
+    return left.unionByName(right).groupBy("a", "i", "j").applyInArrow(compare, schema)
+
+
+def flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and borders of a column of lists."""
+    whole = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.array([len(x) for x in whole], np.int64) if whole.null_count else np.diff(whole.offsets.to_numpy())
+    return whole.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -249,11 +278,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     # Large buckets with more than one component: compare exactly what is outside a bucket's main component with all its members.
     own = materialize(outsiders(found.filter("large"), label), "outsiders")
     if not own.isEmpty():
-        sets = materialize(needed_sets(docs, classes, own.select("hi"), width, text_col, id_col), "sets")
-        links = materialize(links.unionByName(confirm(rest_pairs(sets, own, share, best=True), sets, share)), "confirmed")
-        label = labels(classes, components(links))
-        own = materialize(own.drop("label").join(label, "hi").select("hi", "label", "minor"), "outsiders")
-        links = materialize(links.unionByName(confirm(rest_pairs(sets, own, share), sets, share)), "confirmed")
+        sets = materialize(needed_sets(docs, classes, own.select("hi").distinct(), width, text_col, id_col), "sets")
+        links = materialize(links.unionByName(block_links(own, sets, share)), "confirmed")
     joined = components(links)
 
     lows = classes.select("cid", "low").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
