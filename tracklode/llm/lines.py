@@ -1,134 +1,292 @@
 """Operator 9: line dedup by winnowing over line hashes.
 
-Lines are compared without blanks at their ends.  A gram is the shortest run
-of whole lines from a given line on that has ``NOISE`` words; among the grams
-inside each shortest run of ``GUARANTEE`` words the one with the least hash
-(the last of equals) becomes a fingerprint.  So:
+Passages that repeat seldom fill whole lines: of the benchmark passages in the
+fixture documents nearly all begin and end inside one.  So lines are hashed as
+if the text were wrapped anew at every word: the line of a word is the run of
+``NOISE`` words from it on, whatever line ends stand between.  Of each
+``WINDOW`` such lines in a row the one with the least hash is a fingerprint,
+and a document with fewer of them still has one.  So:
 
-- every run of whole lines with ``GUARANTEE`` or more words that stood in the
-  corpus before shares a fingerprint with its first occurrence and is found;
+- every run of ``NOISE + WINDOW - 1`` = 50 or more words that stood in the
+  corpus before shares a fingerprint with an earlier place and is found;
 - nothing with fewer than ``NOISE`` words in a row is ever removed.
 
-Fingerprints are joined with the first occurrence of their gram (a grouped
-minimum, so a passage in a third of all documents makes one row per document,
-never pairs), each match is extended both ways while lines agree, and the
-lines of later runs are deleted.  Documents stand in order of (id, hash of the
-text); within a document later lines are later, so a document that repeats
-itself keeps the first run.
+Positions are joined with the first occurrence of their line (a grouped
+minimum, so a passage in a third of all documents makes one row per document
+and fingerprint, never pairs).  Fingerprints that touch make one match, which
+is extended both ways word by word: less than ``WINDOW`` words to either side
+can be missing, as there would be another fingerprint beyond them, so only so
+many words of context are fetched.  Where the line of an outer fingerprint
+recurs in its first document, these few words may stay.
+
+Documents stand in order of (id, hash of the text); within a document later
+places are later, so a document that repeats itself keeps the first run.  Equal
+hashes in one window go to the last of them; of neighbouring fingerprints with
+one hash only so many stay that their lines touch, so a text of equal lines has
+few.  Of a line that is cut only the repeated words go; a line whose words all
+go, goes with its end.
 
 Null text stays null, an empty text stays empty, and a text may become empty.
 Rows with equal id and text are one document and are treated alike; null ids
-come first.  An empty table gives an empty result.  Other columns are passed
-through by ``dedup`` whatever their names.
+come first.  Texts of any length are read whole, in steps of ``STEP`` bytes,
+and cost in proportion to their words.  An empty table gives an empty result.
+Other columns are passed through by ``dedup`` whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_field, map_rows, materialize, struct
+from .common import arrow_schema, id_field, map_rows, materialize, release, struct
 
-NOISE, GUARANTEE = 30, 50
+NOISE, WINDOW = 26, 25
+#: Bytes that are hashed at a time.
+STEP = 1 << 18
 BLANKS = " \t\n\v\f\r"
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_rng = np.random.default_rng(20240302)
+#: A value for each byte; blanks count for nothing.
+_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(BLANKS.encode())] = True
+_VALUE[_SPACE] = 0
+_BASE = 0x5851F42D4C957F2D
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_space = re.compile(rb"[ \t\n\v\f\r]")
+_word = re.compile(r"[^ \t\n\v\f\r]+")
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, b, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word, by differences of one running polynomial over the bytes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    parts, at = [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        end = _space.search(raw, at + STEP) if at + STEP < len(raw) else None
+        stop = end.start() if end else len(raw)
+        b = np.frombuffer(raw, np.uint8, stop - at, at)
+        up, down = powers(len(b) + 1)
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_VALUE[b] * up[: len(b)], out=total[1:])
+        edges = np.flatnonzero(np.diff(np.r_[True, _SPACE[b], True]))
+        first, after = edges[::2], edges[1::2]
+        parts.append(mix((total[after] - total[first]) * down[first]))
+        at = stop
+    return np.concatenate(parts)
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
-    """(gram hash, first line) of the selected grams."""
-    upto = np.concatenate([[0], np.cumsum(words)])
-    n = len(words)
-    # First line after the shortest run of so many words from line i; n + 1 if there is none.
-    after = lambda k: np.searchsorted(upto, upto[:-1] + k, side="left")
-    gram_end, run_end = after(NOISE), after(GUARANTEE)
-    raw = hashes.tobytes()
-    grams = [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * int(gram_end[i])]) - (1 << 63) if gram_end[i] <= n else None for i in range(n)]
-    last_inside = np.searchsorted(gram_end, run_end, side="right")  # grams that start before this line end inside the run
-    chosen = set()
-    for i in range(n):
-        if run_end[i] > n:
-            break
-        chosen.add(min(range(i, max(i + 1, int(last_inside[i]))), key=lambda m: (grams[m], -m)))
-    return [(grams[m], m) for m in sorted(chosen)]
+
+def line_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of the NOISE words from each word on, put together from runs of 1, 2, 4, ... words."""
+    if len(words) < NOISE:
+        return np.zeros(0, np.uint64)
+    n, run, size, done, out = len(words) - NOISE + 1, words, 1, 0, None
+    while True:
+        if NOISE & size:
+            piece = run[done : done + n]
+            out = piece if out is None else mix(out * _MIX + piece)
+            done += size
+        if done == NOISE:
+            return out
+        run = mix(run[:-size] * _MIX + run[size:])
+        size *= 2
+
+
+def winnow(hashes: np.ndarray) -> np.ndarray:
+    """Places of the least hash in each WINDOW of places; the last of equals."""
+    n = len(hashes)
+    if n <= WINDOW:
+        return np.array([n - 1 - int(hashes[::-1].argmin())] if n else [], np.int64)
+    least = np.empty(n - WINDOW + 1, np.int64)
+    for at in range(0, len(least), STEP):
+        view = np.lib.stride_tricks.sliding_window_view(hashes[at : at + STEP + WINDOW - 1], WINDOW)
+        least[at : at + len(view)] = WINDOW - 1 - view[:, ::-1].argmin(1) + np.arange(at, at + len(view))
+    chosen = least[np.r_[True, least[1:] != least[:-1]]]
+    edges = np.flatnonzero(np.r_[True, hashes[chosen[1:]] != hashes[chosen[:-1]], True])
+    if len(edges) <= len(chosen):
+        chosen = np.concatenate([thinned(chosen[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    return chosen
+
+
+def thinned(equal: np.ndarray) -> np.ndarray:
+    """Of places with one hash the first two, the last, and so many between that their lines touch."""
+    if len(equal) < 4:
+        return equal
+    kept = [equal[0], equal[1]]
+    for place, after in zip(equal[2:-1], equal[3:], strict=True):
+        if after - kept[-1] > NOISE:
+            kept.append(place)
+    return np.array([*kept, equal[-1]])
 
 
 def scan(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """``id, text_hash, hashes, prints`` of each row with a text."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *struct(("text_hash", "bigint"), ("hashes", "array<bigint>"), ("prints", "array<struct<gram:bigint,pos:int>>"))])
+    """``id, text_hash, words, prints`` of each row with a text; words are 32 bits of their hashes."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *struct(("text_hash", "bigint"), ("words", "array<int>"), ("prints", "array<struct<gram:bigint,pos:int>>"))])
+    kinds = arrow_schema(schema)
 
     def make():
         def f(cols):
-            hashes, prints = [], []
+            words, grams, places = [], [], []
             for text in cols["__text"]:
-                lines = [x.strip(BLANKS) for x in text.split("\n")]
-                h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines)).view(np.int64)
-                words = np.fromiter((len(x.encode().split()) for x in lines), np.int64, len(lines))
-                hashes.append(h)
-                prints.append([{"gram": g, "pos": p} for g, p in fingerprints(h, words)])
-            return {"id": cols["id"], "text_hash": cols["text_hash"], "hashes": hashes, "prints": prints}
+                h = word_hashes(text)
+                lines = line_hashes(h)
+                at = winnow(lines)
+                words.append(h.astype(np.uint32).view(np.int32))
+                grams.append(lines[at].view(np.int64))
+                places.append(at.astype(np.int32))
+            pair = pa.StructArray.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(places))], fields=list(kinds.field("prints").type.value_type))
+            return {"id": cols["id"], "text_hash": cols["text_hash"], "words": listed(words), "prints": pa.ListArray.from_arrays(borders(places), pair)}
 
         return f
 
     return map_rows(docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("text_hash")), make, schema)
 
 
-def extend(matches: DataFrame, lines: DataFrame) -> DataFrame:
-    """``doc, start, end``: each match (``doc, pos, first_doc, first_pos``) extended both ways while lines agree."""
-    own = lines.select("doc", F.col("hashes").alias("h"))
-    first = lines.select(F.col("doc").alias("first_doc"), F.col("hashes").alias("f"))
-    both = matches.groupBy("doc", "first_doc").agg(F.collect_list(F.struct("pos", "first_pos")).alias("at"))  # at most one document's lines
-    both = both.join(own, "doc").join(first, "first_doc")
-    schema = struct(("doc", "bigint"), ("start", "int"), ("end", "int"))
+def borders(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32))
+
+
+def listed(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(borders(parts), pa.array(np.concatenate(parts)))
+
+
+CONTEXT = "before:array<int>,after:array<int>"
+RUN = "start:int,end:int,left_doc:bigint,left_pos:int,right_doc:bigint,right_pos:int," + CONTEXT
+
+
+def runs_and_contexts(wanted: DataFrame) -> DataFrame:
+    """``doc, id, text_hash, runs, asked`` of documents with matches ``own`` or whose places ``asked`` other documents match.
+
+    A run is a row of fingerprints that touch.  The words before it (nearest
+    first) and after it come along, and those around each place that is asked for.
+    """
+    schema = T.StructType([wanted.schema[c] for c in ("doc", "id", "text_hash")] + list(struct(("runs", f"array<struct<{RUN}>>"), ("asked", f"array<struct<pos:int,{CONTEXT}>>"))))
 
     def make():
+        def around(words, start, end):
+            return {"before": words[max(0, start - WINDOW + 1) : start][::-1], "after": words[end : end + WINDOW - 1]}
+
         def f(cols):
-            out = {"doc": [], "start": [], "end": []}
-            for doc, at, h, first in zip(cols["doc"], cols["at"], cols["h"], cols["f"], strict=True):
-                done: dict[int, int] = {}  # by shift, the end of the last run
-                for p, q in sorted((x["pos"], x["first_pos"]) for x in at):
-                    if done.get(p - q, -1) > p:
-                        continue
-                    a, b = p, p
-                    while a > 0 and a - p + q > 0 and h[a - 1] == first[a - 1 - p + q]:
-                        a -= 1
-                    while b < len(h) and b - p + q < len(first) and h[b] == first[b - p + q]:
-                        b += 1
-                    done[p - q] = b
-                    for n, v in (("doc", doc), ("start", a), ("end", b)):
-                        out[n].append(v)
-            return out
+            runs, asked = [], []
+            for words, own, places in zip(cols["words"], cols["own"], cols["asked"], strict=True):
+                mine: list[dict] = []
+                for m in sorted(own or (), key=lambda m: m["pos"]):
+                    right = {"end": m["pos"] + NOISE, "right_doc": m["first_doc"], "right_pos": m["first_pos"]}
+                    if mine and m["pos"] <= mine[-1]["end"]:
+                        mine[-1] |= right
+                    else:
+                        mine.append({"start": m["pos"], "left_doc": m["first_doc"], "left_pos": m["first_pos"], **right})
+                runs.append([r | around(words, r["start"], r["end"]) for r in mine])
+                asked.append([{"pos": p, **around(words, p, p + NOISE)} for p in places or ()])
+            return {c: cols[c] for c in ("doc", "id", "text_hash")} | {"runs": runs, "asked": asked}
 
         return f
 
-    return map_rows(both.select("doc", "at", "h", "f"), make, schema)
+    return map_rows(wanted.select("doc", "id", "text_hash", "words", "own", "asked"), make, schema)
+
+
+def agree(x, y) -> F.Column:
+    """How many elements two arrays have in common from the start."""
+    n = F.least(F.size(x), F.size(y))
+    same = F.array_position(F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: p == q), False)
+    return F.when(same == 0, n).otherwise(same.cast("int") - 1)
 
 
 def deletions(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """``id, text_hash, gone``: the lines (from 0) to delete in documents that repeat earlier runs."""
-    lines = scan(docs, text_col, id_col).dropDuplicates(["id", "text_hash"]).withColumn("doc", F.monotonically_increasing_id())
-    lines = materialize(lines, "lines")
-    prints = lines.select("id", "text_hash", "doc", F.explode("prints").alias("p")).select("id", "text_hash", "doc", "p.*")
+    """``id, text_hash, gone``: ranges of words (from 0, end exclusive) to delete in documents that repeat earlier runs."""
+    lines = materialize(scan(docs, text_col, id_col).withColumn("doc", F.xxhash64("id", "text_hash")), "lines")
+    prints = lines.select("id", "text_hash", "doc", F.explode("prints").alias("p")).select("id", "text_hash", "doc", "p.gram", "p.pos")
     first = prints.groupBy("gram").agg(F.min(F.struct("id", "text_hash", "pos", "doc")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = materialize(first.select("gram", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), "firsts")
-    matches = prints.join(first, "gram").filter("doc <> first_doc OR pos <> first_pos").select("doc", "pos", "first_doc", "first_pos")
-    runs = extend(materialize(matches, "matches"), lines)
-    gone = runs.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("end") - 1)))).alias("gone"))
-    return materialize(lines.select("id", "text_hash", "doc").join(gone, "doc").select("id", "text_hash", "gone"), "gone")
+    matches = prints.select("gram", "doc", "pos").join(first, "gram").filter("doc <> first_doc OR pos <> first_pos").select("doc", "pos", "first_doc", "first_pos").distinct()
+    matches = materialize(matches, "matches")
+    release(first)
+
+    own = matches.groupBy("doc").agg(F.collect_list(F.struct("pos", "first_doc", "first_pos")).alias("own"))  # at most one document's fingerprints
+    asked = matches.select(F.col("first_doc").alias("doc"), F.col("first_pos").alias("pos")).distinct().groupBy("doc").agg(F.collect_list("pos").alias("asked"))
+    found = materialize(runs_and_contexts(lines.drop("prints").join(own.join(asked, "doc", "full_outer"), "doc")), "runs")
+    release(lines, matches)
+
+    contexts = found.select("doc", F.explode("asked").alias("a")).groupBy("doc", "a.pos").agg(F.first("a.before").alias("b"), F.first("a.after").alias("f"))
+    contexts = materialize(contexts, "contexts")
+    side = lambda x, c: contexts.select(F.col("doc").alias(f"{x}_doc"), F.col("pos").alias(f"{x}_pos"), F.col(c).alias(x))
+    runs = found.select("id", "text_hash", F.explode("runs").alias("r")).select("id", "text_hash", "r.*")
+    runs = runs.join(side("left", "b"), ["left_doc", "left_pos"]).join(side("right", "f"), ["right_doc", "right_pos"])
+    whole = runs.select("id", "text_hash", (F.col("start") - agree("before", "left")).alias("start"), (F.col("end") + agree("after", "right")).alias("end")).distinct()
+    gone = materialize(whole.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")), "gone")  # at most one document's runs
+    release(found, contexts)
+    return gone
+
+
+def cut(text: str, gone: list[dict]) -> tuple[str, int]:
+    """The text without the words in the ranges, and how many words those are."""
+    step = np.zeros(max(r["end"] for r in gone) + 2, np.int64)
+    for r in gone:
+        step[r["start"]] += 1
+        step[r["end"]] -= 1
+    away = (np.cumsum(step) > 0).tolist()
+    lines = [(x, [m.span() for m in _word.finditer(x)]) for x in text.split("\n")]
+    away += [False] * (sum(len(spans) for _, spans in lines) - len(away))
+    total = sum(len(spans) for _, spans in lines)
+    kept, k = [], 0
+    for line, spans in lines:
+        n = len(spans)
+        bad = away[k : k + n]
+        if not n:
+            # A blank line goes with the words around it.
+            around = [away[i] for i in (k - 1, k) if 0 <= i < total]
+            if not (around and all(around)):
+                kept.append(line)
+        elif not any(bad):
+            kept.append(line)
+        elif not all(bad):
+            parts = []
+            for i, (start, _) in enumerate(spans):
+                if not bad[i]:
+                    parts.append(line[start if i else 0 : spans[i + 1][0] if i + 1 < n else len(line)])
+            kept.append("".join(parts).rstrip(BLANKS) if bad[-1] else "".join(parts))
+        k += n
+    return "\n".join(kept), sum(away)
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", count_col: str | None = None) -> DataFrame:
-    """``docs`` without the lines of repeated runs; ``count_col`` gets the number of deleted lines."""
+    """``docs`` without the words of repeated runs; ``count_col`` gets the number of deleted words."""
     gone = deletions(docs, text_col, id_col)
     whole = docs.select(F.struct("*").alias("row"))  # packed, so that no column of the caller's can clash
     text = F.col("row").getField(text_col)
     same = F.col("row").getField(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("text_hash"))
+    made = struct(("text", "string"), ("n", "bigint"))
+    kind = pa.struct(list(arrow_schema(made)))
+
+    def write(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else dict(zip(("text", "n"), cut(t, r), strict=True)) for t, r in zip(texts.to_pylist(), ranges.to_pylist(), strict=True)], kind)
+
     # A merge join at every size: the texts move once, by key, and the plan does not change as the deletions grow.
     joined = whole.join(gone.hint("merge"), same, "left")
-    lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
-    left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    row = F.col("row").withField(text_col, F.when(F.col("gone").isNull(), text).otherwise(left))
-    extra = [F.coalesce(F.size("gone"), F.lit(0)).alias(count_col)] if count_col else []
+    # Only texts that change go to Python.
+    changed = F.col("gone").isNotNull()
+    new = F.arrow_udf(write, made)(F.when(changed, text), F.col("gone"))
+    joined = joined.select("row", changed.alias("changed"), new.alias("new"))
+    row = F.col("row").withField(text_col, F.when(F.col("changed"), F.col("new.text")).otherwise(text))
+    extra = [F.coalesce("new.n", F.lit(0)).alias(count_col)] if count_col else []
     return joined.select(row.alias("row"), *extra).select("row.*", *([count_col] if count_col else []))
