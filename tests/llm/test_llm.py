@@ -253,9 +253,10 @@ def test_html_empty_table(spark):
 # 6 -------------------------------------------------------------------------
 
 
-def test_packing(spark, corpus, docs):
+def test_packing(spark, corpus):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
+    corpus = [*corpus, (20_000, "a <|endoftext|> b"), (20_001, "x<|startoftext|><|endoftext|>y <|EndOfText|>"), (20_002, "<|endoftext|>" * 3_000)]
+    docs = table(spark, corpus)
     want = Counter()
     for i, text in corpus:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -297,6 +298,10 @@ def test_packing_word_ids():
     for _ in range(3000):
         x = "".join(r.choice("abcde  \n\t'sStTrRñÑéÉé̀İıßΣςσAé12½。日\x1c  ­ǅﬁ") for _ in range(r.randint(0, 40)))
         assert w.encode(x) == w.whole(x)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|end", "oftext|>", "a", " ", "\n", "é"]
+    for _ in range(3000):
+        x = "".join(r.choice(marks) for _ in range(r.randint(0, 9)))
+        assert w.encode(x) == w.whole(x) == np.array(Tokenizer.from_file(WORDS).encode(x, add_special_tokens=False).ids if _ < 30 else w.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 # 7 -------------------------------------------------------------------------
@@ -325,7 +330,9 @@ def test_chat_cut_conversations_are_exact(spark):
     emit = np.array([m.emit(t) for c, _, t in rows if c == 5])
     assert [got[k] for k in range(400)] == [chat.ROLES[s] for s in chat.viterbi(m.start, m.step, emit)]
     rest = chat.recover(df, m).filter("conv_id IS NULL OR conv_id > 5").collect()
-    assert len(rest) == 5 and {r["rendered"] for r in rest if r["conv_id"] == 6} == {"<|user|>\nx\n<|end|>", "<|assistant|>\nx\n<|end|>"} or {r["rendered"] for r in rest if r["conv_id"] == 6} == {"<|user|>\nx\n<|end|>"}
+    assert len(rest) == 5
+    want = chat.viterbi(m.start, m.step, np.array([m.emit("Human: x")] * 2))
+    assert sorted(r["rendered"] for r in rest if r["conv_id"] == 6) == sorted(chat.render(chat.ROLES[s], "Human: x") for s in want)
 
 
 def test_chat_recovers_roles(spark):
@@ -341,6 +348,20 @@ def test_chat_transcript():
     assert len(chat.split_transcript(None)) == 1
 
 
+def test_chat_query_parses_transcripts(spark):
+    """A row with a whole transcript becomes a row for each turn; marks and markers inside texts are kept apart."""
+    rows = [(1, 0, "System: be kind\nUser: hello?\nare you there\nAssistant: yes."), (1, 1, "User: good <|end|> <\\|end|>"), (2, 0, None)]
+    got = chat.recover(spark.createDataFrame(rows, "conv_id long, turn long, text string"), chat.Model()).orderBy("conv_id", "turn", "piece").collect()
+    assert [(r["conv_id"], r["turn"], r["piece"], r["rendered"]) for r in got[:4]] == [
+        (1, 0, 0, "<|system|>\nbe kind\n<|end|>"),
+        (1, 0, 1, "<|user|>\nhello?\nare you there\n<|end|>"),
+        (1, 0, 2, "<|assistant|>\nyes.\n<|end|>"),
+        (1, 1, 0, "<|user|>\ngood <\\|end|> <\\\\|end|>\n<|end|>"),
+    ]
+    assert len(got) == 5 and got[4]["rendered"].endswith("|>\n\n<|end|>")
+    assert chat.strip_marker("user", "A: first option") == "A: first option" and chat.strip_marker("assistant", "A: first option") == "first option"
+
+
 # 8 -------------------------------------------------------------------------
 
 
@@ -362,72 +383,86 @@ def test_quality_odd_rows(spark, docs):
 # 9 -------------------------------------------------------------------------
 
 
-def dedup_by_rule(corpus):
-    """The documented rule over all documents in order: grams, window minima, first occurrences, extension."""
-    import xxhash
-
-    docs = {}
-    for i, t in corpus:
-        if t is not None:
-            docs[(i is not None, i or 0, t)] = [x.strip(lines.BLANKS) for x in t.split("\n")]
-    import struct as st
-
-    def order(key):
-        # Spark's hash of the text only orders texts of equal id; the corpus here has one text an id.
-        return key[:2]
-
-    def prints(ls):
-        n, words = len(ls), [len(x.split()) for x in ls]
-        upto = np.concatenate([[0], np.cumsum(words)])
-        end = lambda i, k: next((j for j in range(i, n + 1) if upto[j] >= upto[i] + k), None)
-        h = lambda i: xxhash.xxh3_64_intdigest(b"".join(st.pack("<Q", xxhash.xxh3_64_intdigest(x)) for x in ls[i : end(i, lines.NOISE)]))
-        out = set()
-        for i in range(n):
-            e = end(i, lines.GUARANTEE)
-            if e is None:
-                break
-            inside = [m for m in range(i, e) if (g := end(m, lines.NOISE)) is not None and g <= e] or [i]
-            out.add(min(inside, key=lambda m: (h(m), -m)))
-        return [(h(m), m) for m in out]
-
-    first, gone = {}, {k: set() for k in docs}
-    for key in sorted(docs, key=order):
-        for g, p in sorted(prints(docs[key]), key=lambda x: x[1]):
-            first.setdefault(g, (key, p))
-    for key, ls in docs.items():
-        for g, p in prints(ls):
-            fk, q = first[g]
-            if (fk, q) != (key, p):
-                f, a, b = docs[fk], p, p
-                while a > 0 and a - p + q > 0 and ls[a - 1] == f[a - 1 - p + q]:
-                    a -= 1
-                while b < len(ls) and b - p + q < len(f) and ls[b] == f[b - p + q]:
-                    b += 1
-                gone[key] |= set(range(a, b))
-    return Counter((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[(i is not None, i or 0, t)])) for i, t in corpus)
-
-
-def test_lines_equal_the_rule(spark, corpus):
+def repeated(corpus, n):
+    """Of each document, by (id, text), the places of words that stand in a run of n words found earlier."""
+    docs = sorted({(i is not None, i or 0, t) for i, t in corpus if t is not None}, key=lambda d: d[:2])
+    seen, out = set(), {}
+    for key in docs:
+        words = key[2].encode().split()
+        covered = set()
+        for k in range(len(words) - n + 1):
+            run = tuple(words[k : k + n])
+            if run in seen:
+                covered |= set(range(k, k + n))
+            seen.add(run)
+        out[key] = covered
+    return out
+
+
+def test_lines_equal_brute_force(spark, corpus):
+    """All that stands in repeated runs of 50 words goes, and nothing outside of repeated runs of NOISE words."""
     r = random.Random(5)
-    line = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(n))
-    passage = [line(12) for _ in range(6)]
-    long = line(60)
+    line = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(7)) for _ in range(n))
+    passage, long = [line(12) for _ in range(6)], line(60)
     extra = []
     for k in range(30):
         own = [line(r.randint(3, 20)) for _ in range(6)]
-        own[3:3] = passage[r.randint(0, 2) : r.randint(4, 6)] if k % 3 else [long]
+        own[3:3] = passage[r.randint(0, 2) : r.randint(4, 6)] if k % 3 else [f"{line(4)} {long} {line(5)}"]
         extra.append((20_000 + k, "\n".join(own)))
     extra.append((20_100, "\n".join([line(9)] * 3 + passage + passage)))
     rows = corpus + extra
     got = lines.dedup(table(spark, rows))
     assert got.columns == table(spark, []).columns
-    found = Counter((r["doc_id"], r["text"]) for r in got.collect())
-    assert found == dedup_by_rule(rows)
-    texts = {r["doc_id"]: r["text"] for r in got.filter("doc_id >= 20000").collect()}
-    assert sum(long in t for t in texts.values()) == 1  # a passage of over 50 words stays once
+    found = {(d["doc_id"], d["text"]) for d in got.collect()}
+    must, may = repeated(rows, lines.NOISE + lines.WINDOW - 1), repeated(rows, lines.NOISE)
+    texts = {}
+    for i, t in found:
+        texts.setdefault(i, []).append(t)
+    for (has_id, i, t), away in must.items():
+        i = i if has_id else None
+        words = t.split()
+        kept = [w for x in texts[i] for w in x.split()]
+        left = [w for k, w in enumerate(words) if k not in may[has_id, i or 0, t]]
+        most = [w for k, w in enumerate(words) if k not in away]
+        assert len(left) <= len(kept) <= len(most)
+        at = iter(kept)
+        assert all(w in at for w in left)  # in order
+        if not away and not may[has_id, i or 0, t]:
+            assert texts[i] == [t]
+    assert (None, ) not in texts
+    texts = {d["doc_id"]: d["text"] for d in got.filter("doc_id >= 20000").collect()}
+    assert sum(long in t for t in texts.values()) == 1  # a passage inside a line stays once
     assert lines.dedup(none(spark)).count() == 0
 
 
+def test_lines_by_hand(spark):
+    words = [f"w{k}" for k in range(60)]
+    run = " ".join(words)
+    rows = [(1, f"a b {run} c d\ne"), (2, f"x {run} y\n\nz"), (3, f"q\n{run}\nr"), (4, " ".join(words[:26])), (5, " ".join(words[:25])), (None, None)]
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("x y\n\nz", 60), 3: ("q\nr", 60), 4: got[4], 5: (rows[4][1], 0), None: (None, 0)}
+    assert got[4][1] in (0, 26)
+
+
+def test_lines_hashes():
+    r = random.Random(7)
+    text = "".join(r.choice("ab \n\té€") for _ in range(3_000))
+    words = text.encode().split()
+    h = lines.word_hashes(text)
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
+    assert dict(zip(words, h.tolist(), strict=True)) == {w: int(lines.word_hashes(w.decode())[0]) for w in words}
+    g = lines.line_hashes(h)
+    assert len(g) == len(words) - lines.NOISE + 1 and int(g[3]) == int(lines.line_hashes(h[3 : 3 + lines.NOISE])[0])
+    at = set(lines.winnow(g).tolist())
+    assert all(at & set(range(k, k + lines.WINDOW)) for k in range(len(g) - lines.WINDOW + 1))
+
+
+def test_lines_equal_lines_are_linear():
+    g = lines.line_hashes(lines.word_hashes("same line here\n" * 200_000))
+    assert len(lines.winnow(g)) < len(g) / 15
+    assert lines.cut("a b\n" * 100_000, [{"start": 2, "end": 200_000}]) == ("a b", 199_998)
+
+
 # 10 ------------------------------------------------------------------------
 
 
@@ -474,14 +509,14 @@ def test_pipeline_by_stages(spark):
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     pred = {r["doc_id"]: r for r in language.predict(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), language.fit(spark.read.parquet(f"{DATA}/documents.parquet").filter(~language.held_out()))).collect()}
     kept = [(i, t) for i, t, _ in rows if pred[i]["score"] >= 0.5]
-    kept = list(dedup_by_rule(kept).elements())
+    shorter = lines.dedup(spark.createDataFrame(kept, "doc_id long, text string")).collect()  # brute-forced above
+    kept = [(r["doc_id"], r["text"]) for r in shorter if r["text"].split() or not dict(kept)[r["doc_id"]].split()]
     verdict = {i for (i, _, low, keep) in near(kept, 5).elements() if keep}
     kept = [(i, t) for i, t in kept if i in verdict]
     redacted = {}
     for i, t in kept:
         redacted[i] = pii.redact_text(t, [{"start": a, "kind": k, "end": b} for a, k, b in base_spans(t)])
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in redacted.items():
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]

@@ -4,8 +4,12 @@ The hidden states are the speaker roles; what is seen of a turn are a speaker
 marker on its first line, its length, its number of lines and how it ends.
 Start, transition and feature probabilities come from a bounded sample of
 labelled turns (``SAMPLE`` rows by a hash) or, where nothing is labelled, from
-``DEFAULTS``.  Viterbi recovers the roles of each conversation, and each turn
-is rendered as ``<|role|>``, its text without the marker, and ``<|end|>``.
+``DEFAULTS``.  A row may hold a whole transcript: a line with a marker
+opens a turn, and every turn becomes a row of its own, numbered by ``piece``.
+Viterbi recovers the roles of each conversation, and each turn is rendered as
+``<|role|>``, its text, and ``<|end|>``.  A marker is left out where it names
+the recovered role and stays as text where it does not.  Literals of these
+marks in a text get a backslash, so that a turn cannot forge another.
 
 Turns are put in order by a range partitioning on (conversation, turn, hash
 of the text), so a conversation that holds a third of all rows lies in many
@@ -14,7 +18,7 @@ decoded exactly all the same: each piece gives the best score between every
 pair of its border states, a grouped pass over the pieces fixes the states at
 the cuts, and each piece is then decoded between them.
 
-Null text counts as empty; a null turn comes first and a null conversation is
+Texts of any length are read whole, line by line.  Null text counts as empty and is one empty turn; a null turn comes first and a null conversation is
 one conversation of its own.  Equal scores go to the role listed first.
 Repeated rows are turns like others.  An empty table gives an empty result.
 """
@@ -54,14 +58,31 @@ def features(text: str | None) -> tuple[int, int, int, int]:
     )
 
 
-def strip_marker(text: str | None) -> str:
+def split_turns(text: str | None) -> list[str]:
+    """The turns of a text: every line with a marker opens one; unmarked leading lines are a turn too."""
+    turns: list[list[str]] = []
+    for line in (text or "").split("\n"):
+        if turns and not _marker.match(line + "\n"):
+            turns[-1].append(line)
+        else:
+            turns.append([line])
+    return ["\n".join(t) for t in turns]
+
+
+def strip_marker(role: str, text: str | None) -> str:
+    """The text without its marker, if that names the role."""
     text = text or ""
     m = _marker.match(text)
-    return text[m.end() :] if m else text
+    return text[m.end() :] if m and ROLES[_role_of[m[1].lower()]] == role else text
+
+
+#: Literals of the marks of a rendering, also those that have been escaped before.
+_mark = re.compile(r"<(?=\\*\|(?:" + "|".join(ROLES) + r"|end)\|>)")
 
 
 def render(role: str, text: str | None) -> str:
-    return f"<|{role}|>\n{strip_marker(text)}\n<|end|>"
+    body = _mark.sub(r"<\\", strip_marker(role, text))
+    return f"<|{role}|>\n{body}\n<|end|>"
 
 
 #: Counts in which a marker speaks for its role, and turns alternate after a system turn.
@@ -143,13 +164,13 @@ def fit(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col:
 
 
 def recover(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """``conv_col, turn_col, role_pred, rendered`` of each row."""
+    """``conv_col, turn_col, piece, role_pred, rendered`` of each turn; ``piece`` counts the turns of a row."""
     small_batches(turns.sparkSession)
     shared = turns.sparkSession.sparkContext.broadcast(model)
     ordered = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("h"))
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = ordered.repartitionByRange(n, "c", "t", "h").sortWithinPartitions("c", "t", "h")
-    schema = T.StructType([T.StructField("c", turns.schema[conv_col].dataType), T.StructField("t", turns.schema[turn_col].dataType), *struct(("__text", "string"), ("part", "int"), ("n", "bigint"), ("role", "int"), ("emit", "array<double>"))])
+    schema = T.StructType([T.StructField("c", turns.schema[conv_col].dataType), T.StructField("t", turns.schema[turn_col].dataType), *struct(("__text", "string"), ("piece", "int"), ("part", "int"), ("n", "bigint"), ("role", "int"), ("emit", "array<double>"))])
     out = arrow_schema(schema)
 
     def run(batches):
@@ -169,7 +190,7 @@ def recover(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col:
                 e = emit[at : at + SLICE_ROWS].tolist() if edge else [None] * len(some)
                 numbers = list(range(count, count + len(some)))
                 count += len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([r[0] for r in some], [r[1] for r in some], [r[2] for r in some], [part] * len(some), numbers, roles[at : at + SLICE_ROWS], e), out, strict=True)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([r[0] for r in some], [r[1] for r in some], [r[2] for r in some], [r[3] for r in some], [part] * len(some), numbers, roles[at : at + SLICE_ROWS], e), out, strict=True)], schema=out)
 
         for b in batches:
             for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -178,24 +199,24 @@ def recover(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col:
                         yield from flush(first)
                         first = False
                     key, rows = r[0], []
-                rows.append(r)
+                rows += [(r[0], r[1], x, k) for k, x in enumerate(split_turns(r[2]))]
         if rows:
             yield from flush(True)
 
     decoded = materialize(ordered.mapInArrow(run, schema), "turns")
-    final = lambda df: df.select(F.col("c").alias(conv_col), F.col("t").alias(turn_col), F.get(F.array(*map(F.lit, ROLES)), "role").alias("role_pred"), "__text")
+    final = lambda df: df.select(F.col("c").alias(conv_col), F.col("t").alias(turn_col), "piece", F.get(F.array(*map(F.lit, ROLES)), "role").alias("role_pred"), "__text")
     done = decoded.filter("role IS NOT NULL")
     open_ = decoded.filter("role IS NULL").withColumn("k", F.coalesce(F.col("c").cast("string"), F.lit("\0null")))
     rest = decide(open_, shared)
     both = final(done).unionByName(final(rest))
 
-    schema2 = T.StructType([id_field(both, conv_col), id_field(both, turn_col), *struct(("role_pred", "string"), ("rendered", "string"))])
+    schema2 = T.StructType([id_field(both, conv_col), id_field(both, turn_col), *struct(("piece", "int"), ("role_pred", "string"), ("rendered", "string"))])
     out2 = arrow_schema(schema2)
 
     def write(batches):
         for b in batches:
-            rendered = [render(r, x) for r, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rendered, pa.string())], schema=out2)
+            rendered = [render(r, x) for r, x in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(rendered, pa.string())], schema=out2)
 
     return both.mapInArrow(write, schema2)
 
@@ -238,7 +259,7 @@ def decide(pieces: DataFrame, shared) -> DataFrame:
         return pa.Table.from_arrays([table.column("k"), table.column("part"), pa.array(firsts[::-1], pa.int32()), pa.array(lasts[::-1], pa.int32())], schema=arrow_borders)
 
     fixed = materialize(scores.groupBy("k").applyInArrow(settle, borders), "borders")
-    schema = T.StructType([f for f in pieces.schema if f.name in ("c", "t", "__text")] + list(struct(("role", "int"))))
+    schema = T.StructType([f for f in pieces.schema if f.name in ("c", "t", "__text", "piece")] + list(struct(("role", "int"))))
     arrow_final = arrow_schema(schema)
 
     def decode(table: pa.Table) -> pa.Table:
@@ -246,7 +267,7 @@ def decide(pieces: DataFrame, shared) -> DataFrame:
         emit = np.array(table.column("emit").to_pylist())
         only = lambda s: np.where(np.arange(3) == s, 0.0, -np.inf)
         roles = viterbi(only(table.column("first")[0].as_py()), shared.value.step, emit, only(table.column("last")[0].as_py()))
-        return pa.Table.from_arrays([table.column("c"), table.column("t"), table.column("__text"), pa.array(roles, pa.int32())], schema=arrow_final)
+        return pa.Table.from_arrays([table.column("c"), table.column("t"), table.column("__text"), table.column("piece"), pa.array(roles, pa.int32())], schema=arrow_final)
 
     return pieces.join(fixed, ["k", "part"]).groupBy("k", "part").applyInArrow(decode, schema)
 
@@ -258,12 +279,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 def split_transcript(text: str | None, model: Model | None = None) -> list[tuple[str, str]]:
     """(role, text) turns of one raw transcript whose turns begin at marked lines; unmarked leading text is a turn too."""
-    turns: list[str] = []
-    for line in (text or "").split("\n"):
-        if turns and not _marker.match(line + "\n"):
-            turns[-1] += "\n" + line
-        else:
-            turns.append(line)
+    turns = split_turns(text)
     m = model or Model()
     states = viterbi(m.start, m.step, np.array([m.emit(t) for t in turns]))
-    return [(ROLES[s], strip_marker(t)) for s, t in zip(states, turns, strict=True)]
+    return [(ROLES[s], strip_marker(ROLES[s], t)) for s, t in zip(states, turns, strict=True)]

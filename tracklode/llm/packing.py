@@ -15,7 +15,10 @@ Three steps, none of which gathers documents anywhere:
    salt.  A length that holds a third of all pieces gets proportionally many
    salts.  Rank and plan give sequence and offset.
 
-Null text counts as empty and still has its end id.  Ties are broken by
+Null text counts as empty and still has its end id.  Literals of special tokens
+in a text are encoded as the library's plain call does, as those tokens.  Long
+texts are tokenized whole, by their blank-separated chunks, and cut into
+pieces.  Ties are broken by
 (id, piece, crc32); rows equal in all of these are interchangeable.  Repeated
 rows are packed once each.  An empty table gives an empty result.
 """
@@ -57,7 +60,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Literals of added tokens in a text become those tokens, as in the library's plain call.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
         self.find = regex.compile(WORD_PATTERN).findall
         # The file's byte-level step writes each byte as one character: printable ones as they are, the others from U+0100 on.
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -75,7 +80,7 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, chunk: str) -> bytes:
-        if len(chunk) < 48 and self.plain(chunk) and unicodedata.is_normalized("NFC", chunk):
+        if len(chunk) < 48 and self.plain(chunk) and not self.added(chunk) and unicodedata.is_normalized("NFC", chunk):
             return b"".join(map(self.pieces.__getitem__, self.find(chunk.lower())))
         return self.whole(chunk)
 
