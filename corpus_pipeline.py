@@ -3,8 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet to the shared scratch folder and hands the table to the next.
 All but the last return the columns of ``documents``.  Null texts and texts
-without letters go in the first stage; documents with null ids are never near
-duplicates; empty tables pass through all stages.
+without letters go in the first stage, and documents whose words are all repeats in
+the second; documents with null ids are never near duplicates; ties are broken
+by id (the smallest stays); repeated rows are copies like others; texts of any
+length are read whole; extra columns pass through whatever their names; empty
+tables pass through all stages.  ``report`` counts what each stage removed.
 """
 
 from __future__ import annotations
@@ -23,8 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of line runs are deleted."""
-    return lines.dedup(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    """Later repeats of runs of lines are deleted; documents whose words all stood elsewhere before go."""
+    count = "__deleted"
+    while count in map(str.lower, docs.columns):
+        count += "_"
+    left = lines.dedup(docs, count_col=count).filter((F.col(count) == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    return left.drop(count).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +62,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def report(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int, int]]:
+    """(stage, rows in, rows out, characters removed) of the stages before packing."""
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    measure = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    before = measure(docs)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        after = measure(docs)
+        made.append((name, before[0], after[0], before[1] - after[1]))
+        before = after
+    return made
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
