@@ -149,6 +149,31 @@ def test_language_odd_rows(spark):
     assert language.accept(table(spark, rows, "doc_id long, text string, lang string")).filter("doc_id >= 500").select("doc_id").collect() == [Row(doc_id=502)]
 
 
+def test_language_equals_brute_force(spark):
+    """Naive Bayes by hand on a few rows, ties and more than 64 labels among them."""
+    rows = [(k, f"abc{chr(97 + k % 26)}{chr(97 + k // 26)} xyz", f"l{k:03}") for k in range(90)]
+    labels, model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert labels == sorted(r[2] for r in rows) and model.size <= language.CELLS
+    bits = language.bits_for(90)
+    counts = {r[2]: Counter(language.grams([r[1]], bits)[0].tolist()) for r in rows}
+
+    def by_hand(text):
+        grams = language.grams([text], bits)[0].tolist()
+        log = {x: sum(np.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * 2**bits)) for g in grams) * min(1, language.EVIDENCE / len(grams)) for x, c in counts.items()}
+        top = max(log.values())
+        return {x: np.exp(v - top) for x, v in log.items()}
+
+    texts = [r[1] for r in rows[:20]] + ["zzz", None, "12 !", rows[3][1] * 500]
+    names, scores = language.score(texts, labels, model)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        if text is None or text == "12 !":
+            assert (name, score) == ("und", 0.0)
+        else:
+            want = by_hand(text)
+            assert want[name] > 0.999 * max(want.values()) and abs(score - want[name] / sum(want.values())) < 1e-3
+    assert language.score(["q"], ["a", "b"], np.zeros((2, 1 << 16), np.float32))[0] == ["a"]
+
+
 def test_language_grams_by_hand():
     one = language.grams(["ab cd", "", "é1è", "ab cd"])
     assert one[1].tolist() == [11, 0, 7, 11] and one[0][:11].tolist() == one[0][-11:].tolist()
@@ -246,6 +271,26 @@ def test_html_region_is_the_best():
         assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
 
 
+@pytest.mark.parametrize("attributes", ['class="no-sidebar"', 'class="with-sidebar x"', 'id="market-share-report"', 'class="sidebar"', 'data-props="' + "<p>not this</p>" * 1_000 + '"'])
+def test_html_containers_that_hold_the_text(attributes):
+    page = f"<body><div class='ad'>buy me now</div><div {attributes}><p>{'some words here ' * 20}</p><p>the end</p></div></body>"
+    assert html.main_text(page, html.weigh({})).split("\n") == [("some words here " * 20).strip(), "the end"]
+
+
+def test_html_two_articles():
+    page = f"<nav>a b c</nav><article><p>{'one ' * 30}</p></article><article><p>{'two ' * 30}</p></article><footer>x y</footer>"
+    assert html.main_text(page, html.weigh({})).split("\n") == [("one " * 30).strip(), ("two " * 30).strip()]
+    small = f"<main><p>{'text ' * 30}</p><div class='share-buttons'>send it on</div><p>{'more ' * 30}</p></main>"
+    assert html.main_text(small, html.weigh({})) == f"{('text ' * 30).strip()}\n{('more ' * 30).strip()}"
+
+
+def test_html_odd_rows(spark):
+    rows = [(None, None, "<p>some text here</p>"), (1, "u", "<p>a b c</p>"), (1, "u", "<p>a b c</p>"), (2, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("text", "n_chars", "__html")})
+    got = Counter(map(tuple, html.extract(df).collect()))
+    assert got == Counter([(None, None, "some text here", 14), (1, "u", "a b c", 5), (1, "u", "a b c", 5), (2, None, "", 0)])
+
+
 def test_html_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -444,22 +489,32 @@ def test_lines_by_hand(spark):
     assert got[4][1] in (0, 26)
 
 
-def test_lines_hashes():
+def test_lines_hashes(monkeypatch):
+    monkeypatch.setattr(lines, "STEP", 100)
     r = random.Random(7)
-    text = "".join(r.choice("ab \n\té€") for _ in range(3_000))
-    words = text.encode().split()
-    h = lines.word_hashes(text)
+    texts = ["".join(r.choice("ab \n\té€") for _ in range(n)) for n in (3_000, 0, 40, 200, 1_000, 7, 220)]
+    raw = "\n".join(texts).encode()
+    h, starts = lines.word_hashes(raw)
+    words = raw.split()
     assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
-    assert dict(zip(words, h.tolist(), strict=True)) == {w: int(lines.word_hashes(w.decode())[0]) for w in words}
-    g = lines.line_hashes(h)
-    assert len(g) == len(words) - lines.NOISE + 1 and int(g[3]) == int(lines.line_hashes(h[3 : 3 + lines.NOISE])[0])
-    at = set(lines.winnow(g).tolist())
-    assert all(at & set(range(k, k + lines.WINDOW)) for k in range(len(g) - lines.WINDOW + 1))
+    assert dict(zip(words, h.tolist(), strict=True)) == {w: int(lines.word_hashes(w)[0][0]) for w in words}
+    assert all(raw[s : s + len(w)] == w for s, w in zip(starts.tolist(), words, strict=True))
+    counts = np.array([len(t.split()) for t in texts])
+    g, places = lines.fingerprints(h, counts)
+    whole, want, at = lines.line_hashes(h).tolist(), [], 0
+    assert whole[3] == int(lines.line_hashes(h[3 : 3 + lines.NOISE])[0])
+    for n in counts.tolist():
+        mine = range(at, at + max(0, n - lines.NOISE + 1))
+        for s in range(mine.start, max(mine.start + 1, mine.stop - lines.WINDOW + 1)):
+            window = [p for p in range(s, s + lines.WINDOW) if p in mine]
+            want += [p for p in window if whole[p] == min(whole[q] for q in window)]
+        at += n
+    assert places.tolist() == sorted(set(want)) and g.tolist() == [whole[p] for p in places]
 
 
 def test_lines_equal_lines_are_linear():
-    g = lines.line_hashes(lines.word_hashes("same line here\n" * 200_000))
-    assert len(lines.winnow(g)) < len(g) / 15
+    h = lines.word_hashes(b"same line here\n" * 200_000)[0]
+    assert len(lines.fingerprints(h, np.array([len(h)]))[1]) < len(h) / 15
     assert lines.cut("a b\n" * 100_000, [{"start": 2, "end": 200_000}]) == ("a b", 199_998)
 
 

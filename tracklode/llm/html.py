@@ -5,12 +5,15 @@ containers negative, and one linear scan finds the contiguous region with the
 largest sum.  The weights come from labelled pages, those that mark their text
 with one ``<article>`` or ``<main>`` element: the log-odds of each kind of
 event outside and inside of it, over about ``SAMPLE`` pages taken by a hash.
-Kinds that never lie inside are barriers.  The text of the region is its block
-elements in page order, without containers that are never text (menus, page
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments).
-
-Null or empty html gives an empty text; so does a page without words.  Equal
+Kinds that never lie inside are barriers, but not where one article ends and
+another begins.  The text of the region is its block elements in page order,
+without containers that are not text (menus, page headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments).  Those are known by
+their element or by the first or last part of a class name or id; one known by
+such a name alone stays if it holds more than half of the page's words and the
+page marks no text outside of it.
+
+Pages of any length are read whole, in one scan.  Null or empty html gives an empty text; so does a page without words.  Equal
 sums go to the region that starts first and, then, ends first.  Repeated rows
 give repeated results; an empty table gives an empty result.
 """
@@ -28,8 +31,6 @@ from pyspark.sql import types as T
 from .common import id_field, map_rows, struct
 
 SAMPLE = 2_000
-#: Distinct event kinds that get a weight of their own.
-MAX_KINDS = 500
 BARRIER = -1000.0
 #: Weight of kinds that no labelled page has.
 UNSEEN = -1.0
@@ -53,19 +54,32 @@ _angle = re.compile("[<>]")
 _unended = re.compile("<[a-zA-Z/!?]")
 _attribute = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _split = re.compile("[^a-z0-9]+")
+#: Parts of a class name that say what a container goes without, or beside.
+BESIDE = frozenset("no not without with has".split())
+
+
+def names_dropped(value: str) -> bool:
+    """Whether one of the class names begins or ends in the name of something dropped; ``no-sidebar`` and ``market-share-report`` do not."""
+    for token in value.split():
+        parts = [p for p in _split.split(token) if p]
+        if parts and BESIDE.isdisjoint(parts) and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES):
+            return True
+    return False
 
 
-def dropped(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is a container that is never part of the text."""
+def dropped(name: str, attributes: str, inside: bool) -> bool | None:
+    """Whether an element is a container that is not part of the text; null if only its attributes say so."""
     if name in DROPPED or (name in PAGE_ONLY and not inside):
         return True
-    if not attributes or name in EXEMPT:
-        return False
+    return None if attributes and name not in EXEMPT and by_attributes(attributes) else False
+
+
+def by_attributes(attributes: str) -> bool:
     for m in _attribute.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
-        if key in ("class", "id") and not DROPPED_NAMES.isdisjoint(_split.split(value)):
+        if key in ("class", "id") and names_dropped(value):
             return True
         if key == "role" and value in DROPPED_ROLES:
             return True
@@ -102,18 +116,33 @@ def next_tag(html: str, at: int, last: dict[str, int]) -> tuple[int, int, str, s
 
 
 def events(html: str) -> list[tuple]:
-    """(kind, text, inside): kind is "word" with its text, or a tag's name, "/name" or "-name" of a dropped container."""
+    """(kind, text, inside): kind is "word" with its text, or a tag's name, "/name" or "-name" of a dropped container.
+
+    A container that only its attributes would drop stays if it holds more
+    than half of the page's words and no ``<article>`` or ``<main>`` lies
+    outside: there the learned weights decide.
+    """
     made: list[tuple] = []
-    stack: list[str] = []
+    stack: list[tuple[str, int]] = []  # name, and the number of its container or -1
+    containers: list[list] = []  # first event, last + 1, whether an element's name drops it
     open_count: dict[str, int] = {}
-    drop_at = None  # depth of the dropped container
     inside = 0
     at, n = 0, len(html)
     last = {quote: html.rfind(quote) for quote in "\"'"}
+
+    def close() -> str:
+        nonlocal inside
+        top, container = stack.pop()
+        open_count[top] -= 1
+        inside -= top in ("article", "main")
+        if container >= 0:
+            containers[container][1] = len(made)
+        return top
+
     while at < n:
         tag = next_tag(html, at, last)
         text = html[at : tag[0]] if tag else _unended.split(html[at:], 1)[0]
-        if text and drop_at is None:
+        if text:
             made.append(("word", text, inside > 0))
         if not tag:
             break
@@ -125,40 +154,57 @@ def events(html: str) -> list[tuple]:
             if name in VOID or not open_count.get(name):
                 continue
             was = inside
-            while True:
-                top = stack.pop()
-                open_count[top] -= 1
-                if top in ("article", "main"):
-                    inside -= 1
-                if drop_at is not None and len(stack) <= drop_at:
-                    drop_at = None
-                    if top != name:
-                        continue
-                    break
-                if top == name:
-                    if drop_at is None:
-                        made.append(("/" + name, "", inside > 0 and was > 0))
-                    break
+            while stack[-1][0] != name:
+                close()
+            if stack[-1][1] >= 0:
+                close()
+            else:
+                close()
+                made.append(("/" + name, "", inside > 0 and was > 0))
             continue
         if name in RAW:
             if not attributes.rstrip().endswith("/"):
                 end = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else n
             continue
-        if drop_at is None:
-            if name not in VOID and dropped(name, attributes, inside > 0):
-                drop_at = len(stack)
-                made.append(("-" + name, "", inside > 0))
-            else:
-                made.append((name, "", inside > 0))
+        drop = False if name in VOID else dropped(name, attributes, inside > 0)
+        if drop is False:
+            made.append((name, "", inside > 0))
+        else:
+            containers.append([len(made), None, bool(drop)])
+            made.append(("-" + name, "", inside > 0))
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append(name)
+            stack.append((name, -1 if drop is False else len(containers) - 1))
             open_count[name] = open_count.get(name, 0) + 1
-            if name in ("article", "main"):
-                inside += 1
-        elif drop_at == len(stack) and name not in VOID:
-            drop_at = None
-    return made
+            inside += name in ("article", "main")
+        elif drop is not False:
+            containers[-1][1] = len(made)
+    return without_dropped(made, containers)
+
+
+def without_dropped(made: list[tuple], containers: list[list]) -> list[tuple]:
+    """The events without what lies in dropped containers; of one that stays, the element's own name."""
+    words, marks = [0], [0]
+    for kind, text, _ in made:
+        words.append(words[-1] + (len(text.split()) if kind == "word" else 0))
+        marks.append(marks[-1] + (kind in ("article", "main")))
+    ranges = [(a, len(made) if b is None else b, hard) for a, b, hard in containers]
+    total, upto = words[-1], 0
+    for a, b, hard in ranges:  # what elements drop by their name does not count
+        if hard and a >= upto:
+            total, upto = total - (words[b] - words[a]), b
+    kept, at = [], 0
+    for a, b, hard in ranges:
+        if a < at:
+            continue
+        kept += made[at:a]
+        if not hard and 2 * (words[b] - words[a]) > total and marks[b] - marks[a] == marks[-1]:
+            kept.append((made[a][0][1:], *made[a][1:]))
+            at = a + 1
+        else:
+            kept.append(made[a])
+            at = b
+    return kept + made[at:]
 
 
 def count_events(pages: DataFrame, html_col: str, id_col: str, sample: int) -> dict[str, tuple[int, int]]:
@@ -182,8 +228,8 @@ def count_events(pages: DataFrame, html_col: str, id_col: str, sample: int) -> d
         return f
 
     counts = map_rows(few.select(F.col(html_col).alias("__html")), make, schema)
-    counts = counts.groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "kind").limit(MAX_KINDS)
-    return {r["kind"]: (r["i"], r["o"]) for r in counts.collect()}
+    counts = counts.groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
+    return {r["kind"]: (r["i"], r["o"]) for r in counts.collect()}  # the element names of about ``sample`` pages
 
 
 def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -215,7 +261,12 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     found = events(html or "")
     word = weights["word"]
-    start, end = best_region([word * len(text.split()) if kind == "word" else weights.get(kind, UNSEEN) for kind, text, _ in found])
+    scores = [word * len(text.split()) if kind == "word" else weights.get(kind, UNSEEN) for kind, text, _ in found]
+    # Where one article ends and another begins there is no barrier: several articles of one region stay together.
+    edges = [k for k, (kind, _, _) in enumerate(found) if kind in ("article", "/article")]
+    for k in edges[1:-1]:
+        scores[k] = UNSEEN
+    start, end = best_region(scores)
     blocks: list[str] = []
     part: list[str] = []
     for kind, text, _ in [*found[start:end], ("/p", "", False)]:
