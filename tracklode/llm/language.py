@@ -3,11 +3,11 @@
 Multinomial naive Bayes over hashed character n-grams (pairs and triples).
 Text is lower-cased and every run of non-letters becomes one mark, so that
 digits, symbols and markup carry no evidence.  The model is fitted on a
-bounded sample of labelled rows, about ``PER_LANGUAGE`` for each of the at
-most ``MAX_LANGUAGES`` most frequent labels, taken by a hash of id and text;
-whole texts are counted.  Its log-probability matrix (languages x buckets, at most 16 MB)
-is broadcast, and each batch of texts is scored with numpy gathers and sums
-per text.
+bounded sample of labelled rows, about ``PER_LANGUAGE`` for each label, taken
+by a hash of id and text; whole texts are counted.  All labels are learned: its
+log-probability matrix has at most ``CELLS`` cells (16 MB), as more than 64
+labels share fewer buckets each.  It is broadcast, and each batch of texts is
+scored with numpy gathers and sums per text.  Long texts are scored whole.
 
 Null text, or text without letters, gives ``und`` with score 0; so does every
 text if nothing is labelled.  Equal scores go to the label that sorts first.
@@ -18,6 +18,8 @@ result.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import regex
@@ -27,11 +29,12 @@ from pyspark.sql import types as T
 
 from .common import id_field, map_rows, small_batches, struct
 
-BUCKETS = 1 << 16
+BITS = 16
+#: Languages x buckets of the matrix; beyond 64 languages the buckets become fewer, down to 2 ** MIN_BITS.
+CELLS, MIN_BITS = 1 << 22, 10
 PER_LANGUAGE = 2_000
 #: Fineness of the sampling rate.
 SHARES = 1 << 40
-MAX_LANGUAGES = 64
 #: n-grams that count as independent evidence; longer texts are scaled to as many.
 EVIDENCE = 40.0
 #: Code points of texts that are scored in one numpy batch.
@@ -40,7 +43,12 @@ BATCH_CHARS = 100_000
 _other = regex.compile(r"[^\p{L}\p{M}]+")
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def bits_for(n_labels: int) -> int:
+    """Bits of a bucket number, so that the matrix stays within CELLS."""
+    return max(MIN_BITS, min(BITS, (CELLS // max(1, n_labels)).bit_length() - 1))
+
+
+def grams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each n-gram of all texts one after the other, and how many n-grams each text has."""
     clean = [f" {x} " if (x := _other.sub(" ", t.lower()).strip()) else "" for t in texts]
     codes = np.frombuffer("".join(clean).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -56,30 +64,30 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     # Each position keeps its pair and its triple; those that would cross into the next text repeat the pair inside it.
     owner = np.repeat(np.arange(len(sizes)), sizes)
     left = ends[owner] - np.arange(n)
-    spread = lambda h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    spread = lambda h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
     both = np.stack([spread(two + np.uint64(1)), spread(three + np.uint64(2))], 1)
     keep = np.stack([left > 1, left > 2], 1)
     counts = np.maximum(sizes - 1, 0) + np.maximum(sizes - 2, 0)
     return both[keep], counts
 
 
-def label_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int) -> DataFrame:
-    """Rows to learn from: of each label the rows whose hash falls under per_language / rows of that label.
+def label_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int) -> tuple[DataFrame, int]:
+    """Rows to learn from, and how many labels there are: of each label the rows whose hash falls under per_language / rows of that label.
 
     Only a count per label reaches the driver, and no row is shuffled.
     """
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(label_col).alias("__l"), F.col(text_col).alias("__text"), F.col(id_col).alias("__id"))
-    top = labelled.groupBy("__l").count().orderBy(F.desc("count"), "__l").limit(MAX_LANGUAGES).collect()
-    under = F.lit(0)
-    for label, n in top:
-        under = F.when(F.col("__l") == label, min(SHARES, SHARES * per_language // n)).otherwise(under)
-    return labelled.filter(F.pmod(F.xxhash64("__id", "__text"), F.lit(SHARES)) < under).select("__l", "__text")
+    sizes = labelled.groupBy("__l").count().collect()  # one row a language
+    under = F.from_json(F.lit(json.dumps({label: min(SHARES, SHARES * per_language // n) for label, n in sizes})), "map<string,bigint>")
+    return labelled.filter(F.pmod(F.xxhash64("__id", "__text"), F.lit(SHARES)) < F.element_at(under, F.col("__l"))).select("__l", "__text"), len(sizes)
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Labels and the (labels x BUCKETS) log-probabilities with add-half smoothing."""
+    """Labels and the (labels x buckets) log-probabilities with add-half smoothing."""
     schema = T.StructType([T.StructField("label", T.StringType()), *struct(("bucket", "int"), ("n", "bigint"))])
+    rows, n_labels = label_sample(docs, text_col, label_col, id_col, per_language)
+    bits = bits_for(n_labels)
 
     def make():
         def f(cols):
@@ -88,7 +96,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
             for label, text in zip(cols["__l"], cols["__text"], strict=True):
                 by.setdefault(label, []).append(text)
             for label, texts in by.items():
-                bucket, n = np.unique(grams(texts)[0], return_counts=True)
+                bucket, n = np.unique(grams(texts, bits)[0], return_counts=True)
                 out["label"] += [label] * len(bucket)
                 out["bucket"] += bucket.tolist()
                 out["n"] += n.tolist()
@@ -96,16 +104,17 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
 
         return f
 
-    counts = map_rows(label_sample(docs, text_col, label_col, id_col, per_language), make, schema)
-    found = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most MAX_LANGUAGES * BUCKETS rows
+    counts = map_rows(rows, make, schema)
+    found = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
     labels = sorted(set(found["label"]))
-    table = np.full((len(labels), BUCKETS), 0.5)
-    table[[labels.index(x) for x in found["label"]] if len(found) else [], found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
+    place = {x: k for k, x in enumerate(labels)}
+    table = np.full((len(labels), 1 << bits), 0.5)
+    table[[place[x] for x in found["label"]] if len(found) else [], found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
     return labels, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
 def score(texts: list[str | None], labels: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
-    bucket, counts = grams([t or "" for t in texts])
+    bucket, counts = grams([t or "" for t in texts], table.shape[1].bit_length() - 1)
     some = np.flatnonzero(counts)
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not len(labels) or not len(some):

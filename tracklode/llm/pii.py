@@ -15,7 +15,8 @@
 4. Mentions whose instance reaches ``MIN_SCORE`` become spans of that kind,
    beside the base spans, which all stay.
 
-Null text counts as empty; empty texts have no spans.  Kinds that score alike
+Texts of any length are read whole, and so are tokens and context words; of
+long ones a digest stands in the graph.  Null text counts as empty; empty texts have no spans.  Kinds that score alike
 go to the one listed first.  Repeated rows get the same spans each.  An empty
 table gives an empty result.  Offsets are code points, end exclusive.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
-#: Tokens longer than this are data, not identifiers; base kinds have no such limit.
-MAX_TOKEN = 64
+#: Instances and context words longer than this are named by a digest.
+LONG = 64
 
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # Digits cannot be given back for a match to succeed, so possessive runs that start at a run's first digit find the same matches in linear time.
@@ -105,18 +107,23 @@ def _shape(token: str) -> str:
     return "mail" if "@" in token else "number" if not re.search("[A-Za-z]", token) else "name"
 
 
-def _before(text: str, at: int, n: int) -> list[str]:
-    """Up to n words that end before ``at`` on the same line, nearest first."""
+def _named(word: str) -> str:
+    """The word, or a digest of a long one."""
+    return word if len(word) <= LONG else xxhash.xxh3_128_hexdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def _before(text: str, at: int, n: int, floor: int) -> list[str]:
+    """Up to n words between ``floor`` and ``at`` on the same line, nearest first."""
     words = []
     while len(words) < n:
-        while at > 0 and text[at - 1] in " \t":
+        while at > floor and text[at - 1] in " \t":
             at -= 1
         end = at
-        while at > 0 and not text[at - 1].isspace() and end - at < 40:
+        while at > floor and not text[at - 1].isspace():
             at -= 1
         if at == end:
             break
-        words.append(re.sub("[0-9]", "0", text[at:end].lower()))
+        words.append(_named(re.sub("[0-9]", "0", text[at:end].lower())))
     return words
 
 
@@ -144,23 +151,24 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
             token = text[start:end]
             lead = len(token) - len(token.lstrip(".,;:!?\"'([{<=*"))
             token = token[lead:].rstrip(".,;:!?\"')]}>*")
-            if 5 <= len(token) <= MAX_TOKEN and (sum(c in "0123456789" for c in token) >= 3 or "@" in token):
+            if len(token) >= 5 and (sum(c in "0123456789" for c in token) >= 3 or "@" in token):
                 spots.append((start + lead, start + lead + len(token), None))
         m = _hit.search(text, max(at, n))
-    made = []
+    made, floor = [], 0
     for a, b, kind in sorted(spots, key=lambda s: s[:2]):
         token = text[a:b]
         shape = _shape(token)
-        left = _before(text, a, 2)
+        left = _before(text, a, 2, min(floor, a))  # the words since the identifier before it
+        floor = max(floor, b)
         after = _word.match(text, b + 1) if text[b : b + 1] == " " else None
-        right = after[0].lower()[:40] if after else ""
+        right = _named(after[0].lower()) if after else ""
         patterns = []
         if left:
             patterns.append(f"{shape} {left[0]} _")
             patterns.append(f"{shape} {left[0]} _ {right}")
         if len(left) > 1:
             patterns.append(f"{shape} {left[1]} {left[0]} _")
-        made.append((a, b, kind, re.sub(r"[^a-z0-9@]", "", token.lower())[:MAX_TOKEN], patterns))
+        made.append((a, b, kind, _named(re.sub(r"[^a-z0-9@]", "", token.lower())), patterns))
     return made
 
 

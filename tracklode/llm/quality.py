@@ -5,7 +5,7 @@ repetition rules below; failing lines go.  A document that fails the base
 rules (too few words, or too many words in repeated 3-word windows), or that
 loses more than half of its words with its lines, is rejected.
 
-Words are runs of characters other than blank and TAB..CR.  Null text counts
+Texts of any length are read whole, line by line.  Words are runs of characters other than blank and TAB..CR.  Null text counts
 as empty; an empty text has no words, so it is rejected.  Lines without words
 count nowhere.  Repeated rows are judged alike; an empty table gives an empty
 result; other columns are not read.
@@ -27,8 +27,18 @@ LINE_ENDS = (".", "!", "?", ":", ";", ",", '"', "'", ")", "]", "”", "’", "»
 #: A line that is cut off is prose all the same if a sentence ends in it.
 INNER_ENDS = (". ", "! ", "? ")
 SEPARATORS = ("|", "»", "›", "•")
-NAVIGATION_WORDS = frozenset("home about contact login logout search menu next previous back top help sitemap share register subscribe".split())
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "lorem ipsum", "click here", "sign up for our")
+# Words of menus and phrases of notices in English, French, German and Spanish.
+NAVIGATION_WORDS = frozenset(
+    "home about contact login logout search menu next previous back top help sitemap share register subscribe "
+    "accueil connexion recherche suivant retour aide partager inscription "
+    "startseite kontakt anmelden abmelden suche menü weiter zurück hilfe impressum teilen "
+    "inicio contacto buscar menú siguiente anterior volver ayuda compartir registrarse".split()
+)
+BOILERPLATE = (
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "mentions légales", "cliquez ici",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "hier klicken",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "aceptar cookies", "aviso legal", "haga clic aquí",
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "lorem ipsum", "click here", "sign up for our")
 MIN_WORDS = 50
 
 
