@@ -21,9 +21,8 @@ recurs in its first document, these few words may stay.
 
 Documents stand in order of (id, hash of the text); within a document later
 places are later, so a document that repeats itself keeps the first run.  Equal
-hashes in one window go to the last of them; of neighbouring fingerprints with
-one hash only so many stay that their lines touch, so a text of equal lines has
-few.  Of a line that is cut only the repeated words go; a line whose words all
+hashes in one window are all fingerprints; of neighbouring ones with one hash
+only so many stay that their lines touch, so a text of equal lines has few.  Of a line that is cut only the repeated words go; a line whose words all
 go, goes with its end.
 
 Null text stays null, an empty text stays empty, and a text may become empty.
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, id_field, map_rows, materialize, release, struct
+from .common import SLICE_ROWS, arrow_schema, map_rows, materialize, release, small_batches, struct
 
 NOISE, WINDOW = 26, 25
 #: Bytes that are hashed at a time.
@@ -78,10 +77,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word, by differences of one running polynomial over the bytes."""
-    raw = text.encode("utf-8", "surrogatepass")
-    parts, at = [np.zeros(0, np.uint64)], 0
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word and the byte that it starts at, by differences of one running polynomial over the bytes."""
+    parts, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(raw):
         end = _space.search(raw, at + STEP) if at + STEP < len(raw) else None
         stop = end.start() if end else len(raw)
@@ -92,8 +90,9 @@ def word_hashes(text: str) -> np.ndarray:
         edges = np.flatnonzero(np.diff(np.r_[True, _SPACE[b], True]))
         first, after = edges[::2], edges[1::2]
         parts.append(mix((total[after] - total[first]) * down[first]))
+        starts.append(first + at)
         at = stop
-    return np.concatenate(parts)
+    return np.concatenate(parts), np.concatenate(starts)
 
 
 def line_hashes(words: np.ndarray) -> np.ndarray:
@@ -112,20 +111,40 @@ def line_hashes(words: np.ndarray) -> np.ndarray:
         size *= 2
 
 
-def winnow(hashes: np.ndarray) -> np.ndarray:
-    """Places of the least hash in each WINDOW of places; the last of equals."""
-    n = len(hashes)
-    if n <= WINDOW:
-        return np.array([n - 1 - int(hashes[::-1].argmin())] if n else [], np.int64)
-    least = np.empty(n - WINDOW + 1, np.int64)
-    for at in range(0, len(least), STEP):
-        view = np.lib.stride_tricks.sliding_window_view(hashes[at : at + STEP + WINDOW - 1], WINDOW)
-        least[at : at + len(view)] = WINDOW - 1 - view[:, ::-1].argmin(1) + np.arange(at, at + len(view))
-    chosen = least[np.r_[True, least[1:] != least[:-1]]]
-    edges = np.flatnonzero(np.r_[True, hashes[chosen[1:]] != hashes[chosen[:-1]], True])
-    if len(edges) <= len(chosen):
-        chosen = np.concatenate([thinned(chosen[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
-    return chosen
+def windowed(f, x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum or maximum ``f`` of each ``width`` elements in a row."""
+    n, run, size = len(x) - width + 1, x, 1
+    if n < 1:
+        return x[:0]
+    while 2 * size <= width:
+        run = f(run[:-size], run[size:])
+        size *= 2
+    return f(run[:n], run[width - size : width - size + n])
+
+
+def fingerprints(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the fingerprints of documents whose words, so many each, stand one after the other.
+
+    A line is selected if it is the least of some window of its document, that
+    is, if the greatest of the least hashes of the windows around it is its own.
+    """
+    hashes, ends = line_hashes(words), np.cumsum(counts)
+    room = (np.repeat(ends, counts) - np.arange(len(words)))[: len(hashes)]  # words up to the end of the document
+    low = windowed(np.minimum, hashes, WINDOW)
+    low = np.where(room[: len(low)] >= NOISE + WINDOW - 1, low, np.uint64(0))  # no window goes over the end
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    chosen = hashes == windowed(np.maximum, np.r_[edge, low, edge], WINDOW)[: len(hashes)] if len(low) else np.zeros(len(hashes), bool)
+    chosen &= room >= NOISE
+    for k in np.flatnonzero((counts >= NOISE) & (counts < NOISE + WINDOW - 1)):  # less than one window
+        part = slice(ends[k] - counts[k], ends[k] - NOISE + 1)
+        chosen[part] = hashes[part] == hashes[part].min()
+    places = np.flatnonzero(chosen)
+    key = hashes[places]
+    owner = np.searchsorted(ends, places, "right")
+    edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]), True]) if len(places) else np.zeros(1, np.int64)
+    if len(edges) <= len(places):
+        places = np.concatenate([thinned(places[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    return hashes[places], places
 
 
 def thinned(equal: np.ndarray) -> np.ndarray:
@@ -146,30 +165,20 @@ def scan(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
     def make():
         def f(cols):
-            words, grams, places = [], [], []
-            for text in cols["__text"]:
-                h = word_hashes(text)
-                lines = line_hashes(h)
-                at = winnow(lines)
-                words.append(h.astype(np.uint32).view(np.int32))
-                grams.append(lines[at].view(np.int64))
-                places.append(at.astype(np.int32))
-            pair = pa.StructArray.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(places))], fields=list(kinds.field("prints").type.value_type))
-            return {"id": cols["id"], "text_hash": cols["text_hash"], "words": listed(words), "prints": pa.ListArray.from_arrays(borders(places), pair)}
+            raw = [t.encode("utf-8", "surrogatepass") for t in cols["__text"]]
+            words, starts = word_hashes(b"\n".join(raw))
+            upto = np.r_[0, np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))]
+            grams, places = fingerprints(words, np.diff(upto))
+            owner = np.searchsorted(upto, places, "right") - 1
+            pair = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), pa.array((places - upto[owner]).astype(np.int32))], fields=list(kinds.field("prints").type.value_type))
+            lists = lambda borders, values: pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), values)
+            return {"id": cols["id"], "text_hash": cols["text_hash"], "words": lists(upto, pa.array(words.astype(np.uint32).view(np.int32))), "prints": lists(np.searchsorted(places, upto), pair)}
 
         return f
 
     return map_rows(docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("text_hash")), make, schema)
 
 
-def borders(parts: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32))
-
-
-def listed(parts: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(borders(parts), pa.array(np.concatenate(parts)))
-
-
 CONTEXT = "before:array<int>,after:array<int>"
 RUN = "start:int,end:int,left_doc:bigint,left_pos:int,right_doc:bigint,right_pos:int," + CONTEXT
 
@@ -181,28 +190,34 @@ def runs_and_contexts(wanted: DataFrame) -> DataFrame:
     first) and after it come along, and those around each place that is asked for.
     """
     schema = T.StructType([wanted.schema[c] for c in ("doc", "id", "text_hash")] + list(struct(("runs", f"array<struct<{RUN}>>"), ("asked", f"array<struct<pos:int,{CONTEXT}>>"))))
-
-    def make():
-        def around(words, start, end):
-            return {"before": words[max(0, start - WINDOW + 1) : start][::-1], "after": words[end : end + WINDOW - 1]}
-
-        def f(cols):
-            runs, asked = [], []
-            for words, own, places in zip(cols["words"], cols["own"], cols["asked"], strict=True):
-                mine: list[dict] = []
-                for m in sorted(own or (), key=lambda m: m["pos"]):
-                    right = {"end": m["pos"] + NOISE, "right_doc": m["first_doc"], "right_pos": m["first_pos"]}
-                    if mine and m["pos"] <= mine[-1]["end"]:
-                        mine[-1] |= right
-                    else:
-                        mine.append({"start": m["pos"], "left_doc": m["first_doc"], "left_pos": m["first_pos"], **right})
-                runs.append([r | around(words, r["start"], r["end"]) for r in mine])
-                asked.append([{"pos": p, **around(words, p, p + NOISE)} for p in places or ()])
-            return {c: cols[c] for c in ("doc", "id", "text_hash")} | {"runs": runs, "asked": asked}
-
-        return f
-
-    return map_rows(wanted.select("doc", "id", "text_hash", "words", "own", "asked"), make, schema)
+    out = arrow_schema(schema)
+
+    def around(words, start, end):
+        return {"before": words[max(0, start - WINDOW + 1) : start][::-1], "after": words[end : end + WINDOW - 1]}
+
+    def joined(matches):
+        mine: list[dict] = []
+        for m in sorted(matches or (), key=lambda m: m["pos"]):
+            right = {"end": m["pos"] + NOISE, "right_doc": m["first_doc"], "right_pos": m["first_pos"]}
+            if mine and m["pos"] <= mine[-1]["end"]:
+                mine[-1] |= right
+            else:
+                mine.append({"start": m["pos"], "left_doc": m["first_doc"], "left_pos": m["first_pos"], **right})
+        return mine
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                words, edges = part.column(3).values.to_numpy(), part.column(3).offsets.to_numpy()  # words are never Python objects
+                runs, asked = [], []
+                for k, (own, places) in enumerate(zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)):
+                    mine = words[edges[k] : edges[k + 1]]
+                    runs.append([r | around(mine, r["start"], r["end"]) for r in joined(own)])
+                    asked.append([{"pos": p, **around(mine, p, p + NOISE)} for p in places or ()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(runs, out.field("runs").type), pa.array(asked, out.field("asked").type)], schema=out)
+
+    return wanted.select("doc", "id", "text_hash", "words", "own", "asked").mapInArrow(run, schema)
 
 
 def agree(x, y) -> F.Column:
@@ -214,17 +229,21 @@ def agree(x, y) -> F.Column:
 
 def deletions(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """``id, text_hash, gone``: ranges of words (from 0, end exclusive) to delete in documents that repeat earlier runs."""
-    lines = materialize(scan(docs, text_col, id_col).withColumn("doc", F.xxhash64("id", "text_hash")), "lines")
-    prints = lines.select("id", "text_hash", "doc", F.explode("prints").alias("p")).select("id", "text_hash", "doc", "p.gram", "p.pos")
-    first = prints.groupBy("gram").agg(F.min(F.struct("id", "text_hash", "pos", "doc")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = materialize(first.select("gram", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), "firsts")
+    lines = materialize(scan(docs, text_col, id_col), "lines")
+    prints = lines.select("id", "text_hash", F.explode("prints").alias("p")).select("id", "text_hash", "p.gram", "p.pos")
+    # Most lines stand once: a count finds the others before anything wider is moved.
+    often = materialize(prints.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "often")
+    prints = materialize(prints.join(often, "gram").withColumn("doc", F.xxhash64("id", "text_hash")), "prints")
+    release(often)
+    first = prints.groupBy("gram").agg(F.min(F.struct("id", "text_hash", "pos", "doc")).alias("first"))
+    first = first.select("gram", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     matches = prints.select("gram", "doc", "pos").join(first, "gram").filter("doc <> first_doc OR pos <> first_pos").select("doc", "pos", "first_doc", "first_pos").distinct()
     matches = materialize(matches, "matches")
-    release(first)
+    release(prints)
 
     own = matches.groupBy("doc").agg(F.collect_list(F.struct("pos", "first_doc", "first_pos")).alias("own"))  # at most one document's fingerprints
     asked = matches.select(F.col("first_doc").alias("doc"), F.col("first_pos").alias("pos")).distinct().groupBy("doc").agg(F.collect_list("pos").alias("asked"))
-    found = materialize(runs_and_contexts(lines.drop("prints").join(own.join(asked, "doc", "full_outer"), "doc")), "runs")
+    found = materialize(runs_and_contexts(lines.select("id", "text_hash", "words", F.xxhash64("id", "text_hash").alias("doc")).join(own.join(asked, "doc", "full_outer"), "doc")), "runs")
     release(lines, matches)
 
     contexts = found.select("doc", F.explode("asked").alias("a")).groupBy("doc", "a.pos").agg(F.first("a.before").alias("b"), F.first("a.after").alias("f"))
@@ -271,6 +290,7 @@ def cut(text: str, gone: list[dict]) -> tuple[str, int]:
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", count_col: str | None = None) -> DataFrame:
     """``docs`` without the words of repeated runs; ``count_col`` gets the number of deleted words."""
+    small_batches(docs.sparkSession)
     gone = deletions(docs, text_col, id_col)
     whole = docs.select(F.struct("*").alias("row"))  # packed, so that no column of the caller's can clash
     text = F.col("row").getField(text_col)
