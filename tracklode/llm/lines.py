@@ -236,10 +236,11 @@ def deletions(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     prints = materialize(prints.join(often, "gram").withColumn("doc", F.xxhash64("id", "text_hash")), "prints")
     release(often)
     first = prints.groupBy("gram").agg(F.min(F.struct("id", "text_hash", "pos", "doc")).alias("first"))
-    first = first.select("gram", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    # Written first, so that the join stands between two exchanges, where a hot line can be split.
+    first = materialize(first.select("gram", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), "firsts")
     matches = prints.select("gram", "doc", "pos").join(first, "gram").filter("doc <> first_doc OR pos <> first_pos").select("doc", "pos", "first_doc", "first_pos").distinct()
     matches = materialize(matches, "matches")
-    release(prints)
+    release(prints, first)
 
     own = matches.groupBy("doc").agg(F.collect_list(F.struct("pos", "first_doc", "first_pos")).alias("own"))  # at most one document's fingerprints
     asked = matches.select(F.col("first_doc").alias("doc"), F.col("first_pos").alias("pos")).distinct().groupBy("doc").agg(F.collect_list("pos").alias("asked"))
