@@ -5,7 +5,6 @@ from collections import Counter
 
 from conftest import DATA
 
-from tracklode.llm import html
 from tracklode.plans import catalog
 
 
@@ -28,7 +27,7 @@ SMALL = {
 }
 
 
-def test_em_f1_whole(spark, tmp_path):
+def test_em_f1_pairs(spark, tmp_path):
     def tokens(x):
         return [w for w in re.sub(r"[^\w\s]", "", (x or "").lower()).split() if w not in ("a", "an", "the")]
 
@@ -42,30 +41,33 @@ def test_em_f1_whole(spark, tmp_path):
                 n = sum((bag & Counter(g)).values())
                 if n or p == g:
                     want[(i, j, float(p == g), round(round(2 * n / (len(p) + len(g)), 9), 6) if n else 1.0)] += 1
-        got = Counter((r["doc_id"], r["item_id"], r["em"], round(r["f1"], 6)) for r in catalog.em_f1_whole(spark, d).collect())
+        got = Counter((r["doc_id"], r["item_id"], r["em"], round(r["f1"], 6)) for r in catalog.em_f1_pairs(spark, d).collect())
         assert sorted((got - want).elements()) == sorted((want - got).elements()) == []
         if d != DATA:
             assert got[(2, 107, 1.0, 1.0)] == 1 and any(k[:2] == (1, 107) for k in got) and got[(3, 108, 1.0, 1.0)] == 1
 
 
-def test_word_jaccard_whole(spark, tmp_path):
+def test_word_jaccard(spark, tmp_path):
     words = lambda x: {w for w in re.findall(r"\w+", (x or "").lower()) if len(w) > 1}
     for d in (fixture(spark, tmp_path, **SMALL), DATA):
         docs, items = texts(spark, d)
         docs, items = [(i, words(x)) for i, x in docs], [(i, words(x)) for i, x in items]
         want = Counter((i, j, round(round(len(a & b) / len(a | b), 9), 6), round(round(len(a & b) / len(b), 9), 6)) for i, a in docs for j, b in items if a & b)
-        got = Counter((r["doc_id"], r["item_id"], round(r["jaccard"], 6), round(r["coverage"], 6)) for r in catalog.word_jaccard_whole(spark, d).collect())
+        got = Counter((r["doc_id"], r["item_id"], round(r["jaccard"], 6), round(r["coverage"], 6)) for r in catalog.word_jaccard(spark, d).collect())
         assert sorted((got - want).elements()) == sorted((want - got).elements()) == []
         if d != DATA:
             assert any(k[:2] == (1, 107) and k[3] == 1.0 for k in got)
 
 
-def test_html_long_attribute_values():
-    for n in (3_000, 5_000, 1_000_000):
-        for quote in "'\"":
-            page = f"<p>one</p><div data-props={quote}{'<b>x</b> > ' * (n // 11)}{quote}>two</div>"
-            assert html.main_text(page, html.weigh({})) == "one\ntwo"
-    assert [k for k, *_ in html.events("<p title='>a</p>")] == ["p", "word", "/p"]  # never closed: the tag ends at the next >
+def test_contamination_of_all_lengths(spark, tmp_path):
+    """Passages of one word to many, inside words and over line ends, against plain containment."""
+    tables = {
+        "documents": ([(1, "xxthe old mill stood by a river, and the river was widexx"), (2, "a b c d\ne f"), (3, ""), (4, None), (5, "zb c dz"), (6, "one two three")], "doc_id long, text string"),
+        "benchmark": ([(1, PASSAGE), (2, "b c d"), (3, "two"), (4, "e t"), (5, "d\ne f"), (6, "one two")], "item_id long, text string"),
+    }
+    d = fixture(spark, tmp_path, **tables)
+    want = sorted((i, j) for i, x in tables["documents"][0] for j, y in tables["benchmark"][0] if x and y in x)
+    assert sorted(map(tuple, catalog.contamination(spark, d).collect())) == want
 
 
 def test_events_hold_whole_turns(spark, tmp_path):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import canonical_action, listed
 from ..functions.protocol import parsed_tool_call
-from ..functions.text import observation_fragments, reasoning_text, wrapper_form
+from ..functions.text import nfkc_lower, observation_fragments, reasoning_text, wrapper_form
 from .windows import redundancy, redundancy_pass
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -187,7 +187,7 @@ def prefix_text(through_step: int) -> Column:
 
 def step_redundancy(candidates: DataFrame, key: str = "trajectory_id") -> tuple[DataFrame, DataFrame]:
     """Repeated results of each step, and the verdict of each trajectory."""
-    each = candidates.select(key, F.explode("steps").alias("s")).select(key, F.col("s.step_index").alias("step_index"), observation_fragments(F.col("s.observation")).alias("fragments"))
+    each = candidates.select(key, F.explode("steps").alias("s")).select(key, F.col("s.step_index").alias("step_index"), observation_fragments(nfkc_lower(F.col("s.observation"))).alias("fragments"))
     counted = redundancy(each, key, "step_index", "fragments")
     return counted, redundancy_pass(counted, key)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,19 +186,12 @@ def text_normalize(spark, d):
     return t(spark, d, "documents").select("doc_id", X.qa_normalize("text").alias("norm"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, item_id, {NORM.format('left(d.text, 400)')} AS p, {NORM.format('left(b.text, 400)')} AS g FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
-c AS (SELECT doc_id, item_id, p, g, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0)::DOUBLE AS n FROM p)
-SELECT doc_id, item_id, CASE WHEN array_to_string(p, ' ') = array_to_string(g, ' ') THEN 1.0 ELSE 0.0 END::DOUBLE AS em,
-round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN n = 0 THEN 0.0 ELSE 2 * (n / len(p)) * (n / len(g)) / (n / len(p) + n / len(g)) END, 9) AS f1 FROM c""")
+@query(f"""WITH d AS (SELECT doc_id, {NORM.format("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id, {NORM.format("coalesce(text, '')")} AS w FROM benchmark),
+dt AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY 1, 2), bt AS (SELECT item_id, x, count(*) AS c FROM (SELECT item_id, unnest(w) AS x FROM b) GROUP BY 1, 2),
+p AS (SELECT doc_id, item_id, sum(least(dt.c, bt.c))::DOUBLE AS n FROM dt JOIN bt USING (x) GROUP BY 1, 2 UNION ALL SELECT doc_id, item_id, 0 FROM d, b WHERE len(d.w) = 0 AND len(b.w) = 0)
+SELECT doc_id, item_id, (array_to_string(d.w, ' ') = array_to_string(b.w, ' '))::INT::DOUBLE AS em,
+round(CASE WHEN len(d.w) = 0 THEN 1.0 ELSE 2 * (n / len(d.w)) * (n / len(b.w)) / (n / len(d.w) + n / len(b.w)) END, 9)::DOUBLE AS f1 FROM p JOIN d USING (doc_id) JOIN b USING (item_id)""")
 def em_f1_pairs(spark, d):
-    docs, items = t(spark, d, "documents"), t(spark, d, "benchmark").select("item_id", F.array(F.left("text", F.lit(400))).alias("golds"))
-    pairs = docs.withColumn("k", F.pmod("doc_id", F.lit(40))).join(items.withColumn("k", F.pmod("item_id", F.lit(40))), "k")
-    answer = F.left("text", F.lit(400))  # answers are short; the measure itself reads whole texts
-    return pairs.select("doc_id", "item_id", X.exact_match(answer, "golds").alias("em"), F.round(X.token_f1(answer, "golds"), 9).alias("f1"))
-
-
-@query()
-def em_f1_whole(spark, d):
     """Whole texts against every item: all pairs with a common token, or with equal texts; the others score 0."""
     bag = X.qa_normalize("text")
     n, p, g = F.col("both").cast("double"), F.col("n_doc"), F.col("n_item")
@@ -210,16 +204,11 @@ WORDS = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{
 JACCARD = "CASE WHEN len({0}) > 0 AND len({1}) > 0 THEN len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) ELSE 0 END"
 
 
-@query(f"WITH p AS (SELECT doc_id, item_id, {WORDS.format('d.text')} AS a, {WORDS.format('b.text')} AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40) SELECT doc_id, item_id, round({JACCARD.format('a', 'b')}, 9) AS jaccard, round(CASE WHEN len(b) > 0 THEN len(list_intersect(a, b)) / len(b) ELSE 0 END, 9) AS coverage FROM p")
+@query(f"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), b AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS x, len(w) AS n FROM d), bw AS (SELECT item_id, unnest(w) AS x, len(w) AS n FROM b),
+c AS (SELECT doc_id, item_id, any_value(dw.n) AS a, any_value(bw.n) AS b, count(*) AS n FROM dw JOIN bw USING (x) GROUP BY 1, 2)
+SELECT doc_id, item_id, round(n / (a + b - n), 9) AS jaccard, round(n / b, 9) AS coverage FROM c""")
 def word_jaccard(spark, d):
-    docs, items = t(spark, d, "documents"), t(spark, d, "benchmark").withColumnRenamed("text", "item")
-    pairs = docs.withColumn("k", F.pmod("doc_id", F.lit(40))).join(items.withColumn("k", F.pmod("item_id", F.lit(40))), "k")
-    section = F.concat(F.lit("header\n"), F.col("text"))
-    return pairs.select("doc_id", "item_id", F.round(X.jaccard("text", "item"), 9).alias("jaccard"), F.round(X.term_coverage("item", section), 9).alias("coverage"))
-
-
-@query()
-def word_jaccard_whole(spark, d):
     """Every document against every item: all pairs with a common word; the others have 0 in both columns."""
     bag = F.array_join(X.word_set("text"), " ")
     pairs = overlap.overlaps(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id", bag, bag).filter("both > 0")
@@ -314,22 +303,31 @@ def isolation(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination(spark, d):
-    """Documents with a whole benchmark passage.  A passage's first words find it; the text confirms it.
+    """Documents with a whole benchmark passage.  Its inner words find it, and the text confirms it.
 
-    Every position of a document is a key, so this is an equi-join on hashes
-    of 8 words, not a comparison of all pairs.
+    A passage may begin and end inside a word, but the words between are whole
+    in any document that contains it: up to 8 of them are its key.  Documents
+    give the keys of the lengths that occur, one equi-join finds the pairs, and
+    only then texts are fetched by id.
     """
-    k = 8
+    most = 8
     words = lambda c: F.filter(F.split(c, r"[ \n]"), lambda w: w != "")
-    gram = lambda ws, i: F.xxhash64(F.array_join(F.slice(ws, i, k), " "))
-    items = t(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), words("text").alias("w"))
-    # A passage may begin and end inside a word: its second to ninth word are whole in any document that contains it.
-    items = items.select("item_id", "item", F.when(F.size("w") >= k + 2, gram(F.col("w"), F.lit(2))).alias("key"))
-    docs = t(spark, d, "documents").select("doc_id", "text", words("text").alias("w")).filter(F.size("w") >= k)
-    keys = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: gram(F.col("w"), i)))).alias("key"))
-    long = keys.join(items.filter("key IS NOT NULL"), "key").filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
-    short = t(spark, d, "documents").join(items.filter("key IS NULL"), F.contains("text", F.col("item"))).select("doc_id", "item_id")  # passages under ten words
-    return long.unionByName(short).distinct()
+    gram = lambda ws, i, k: F.xxhash64(F.array_join(F.slice(ws, i, k), " "))
+    items = t(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), words("text").alias("w")).withColumn("k", F.least(F.size("w") - 2, F.lit(most)))
+    keyed = items.filter("k > 0").select("item_id", "k", gram(F.col("w"), F.lit(2), F.col("k")).alias("key"))
+    lengths = sorted(r["k"] for r in keyed.select("k").distinct().collect())  # at most ``most`` numbers
+    docs, passages = t(spark, d, "documents").select("doc_id", "text"), items.select("item_id", "item")
+    found = [docs.limit(0).crossJoin(passages.select("item_id").limit(0)).select("doc_id", "item_id")] if not lengths else []
+    for k in lengths:
+        places = F.sequence(F.lit(1), F.size("w") - k + 1)
+        keys = docs.select("doc_id", words("text").alias("w")).filter(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(F.transform(places, lambda i: gram(F.col("w"), i, F.lit(k))))).alias("key"))  # noqa: B023
+        found.append(keys.join(keyed.filter(F.col("k") == k).select("item_id", "key"), "key").select("doc_id", "item_id"))
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    hits = pairs.join(docs, "doc_id").join(passages, "item_id").filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    tiny = items.filter("k <= 0")
+    if not tiny.isEmpty():  # passages of one or two words have no inner word
+        hits = hits.unionByName(docs.join(tiny, F.contains("text", F.col("item"))).select("doc_id", "item_id"))
+    return hits.distinct()
 
 
 @query("SELECT p.x AS key, coalesce(r.v, l.v) AS v FROM (SELECT DISTINCT doc_id AS x FROM documents UNION SELECT DISTINCT doc_id FROM labels) p LEFT JOIN (SELECT doc_id, n_chars AS v FROM documents) l ON l.doc_id = p.x LEFT JOIN (SELECT doc_id, quality::BIGINT AS v FROM labels) r ON r.doc_id = p.x")
@@ -447,12 +445,6 @@ def json_props(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("k"), F.count_if(F.try_parse_json("props").isNotNull()).alias("valid"))
 
 
-@query("SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: x)[1] AS answer FROM documents")
-def answer_cleanup(spark, d):
-    wrapped = F.concat(F.lit('  The answer is "'), F.substring_index("text", "\n", 1), F.lit('" '))
-    return t(spark, d, "documents").select("doc_id", X.clean_answer(wrapped).alias("answer"))
-
-
 @query("SELECT count(*) AS rows, sum(least(n_chars, 4096))::BIGINT AS tokens, count(*) FILTER (WHERE n_chars > 4096) AS truncated, round(count(*) FILTER (WHERE n_chars > 4096) / count(*), 6) AS truncation_rate FROM documents")
 def token_audit(spark, d):
     from ..sources.files import token_audit as audit
@@ -583,27 +575,6 @@ def judge_scores(spark, d):
     return units.judge(units.leakage_audit(pilot_units(spark, d)), fake_judge)
 
 
-@query("SELECT conv_id, turn, '<tool_call>' || left(text, 10) AS raw, trim(left(text, 10)) AS call FROM conversations WHERE role = 'assistant' AND NOT contains(left(text, 10), chr(10))")
-def tool_call_extract(spark, d):
-    raw = F.concat(F.lit("<tool_call>"), F.left("text", F.lit(10)))
-    c = t(spark, d, "conversations").filter("role = 'assistant' AND NOT contains(left(text, 10), chr(10))")
-    return c.select("conv_id", "turn", raw.alias("raw"), protocol.tool_call(raw).alias("call"))
-
-
-@query("SELECT conv_id, turn, split_part(text, chr(10), 1) AS answer FROM conversations WHERE role = 'user' AND NOT contains(split_part(text, chr(10), 1), '{')")
-def boxed_answer(spark, d):
-    c = t(spark, d, "conversations").withColumn("line", F.substring_index("text", "\n", 1)).filter("role = 'user' AND NOT contains(line, '{')")
-    return c.select("conv_id", "turn", X.boxed_answer(F.concat(F.lit("so \\boxed{"), F.col("line"), F.lit("} ends"))).alias("answer"))
-
-
-@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'search' ELSE 'answer' END AS kind, trim(split_part(text, chr(10), 1)) AS value FROM conversations")
-def actions(spark, d):
-    line = F.substring_index("text", "\n", 1)
-    raw = F.when(F.col("role") == "assistant", F.concat(F.lit("<search> "), line, F.lit(" </search>"))).otherwise(F.concat(F.lit("<answer> "), line, F.lit(" </answer>")))
-    a = t(spark, d, "conversations").select("conv_id", "turn", protocol.action(raw).alias("a"))
-    return a.select("conv_id", "turn", "a.kind", F.when(F.col("a.kind") == "search", F.col("a.query")).otherwise(F.col("a.answer")).alias("value"))
-
-
 @query()
 def parsers_whole(spark, d):
     """Whole texts of all turns through the parsers of tool calls, boxed answers, actions and answers."""
