@@ -596,3 +596,14 @@ def test_pipeline_stages_keep_columns(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, rows, DATA).columns == documents.columns
             stage(spark, rows, DATA).count()
+
+
+def test_mixed_pairs_equal_brute_force(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(k), i, int(r.integers(4)), int(r.integers(8)), 0) for i, k in enumerate(r.choice(5, 150, p=[0.6, 0.2, 0.1, 0.05, 0.05]))]
+    keep = lambda x, y: (x[:, 0] != y[:, 0]) & (x[:, 1] == y[:, 1])
+    want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2] and a[3] == b[3]}
+    keys = table(spark, rows, "key long, hi long, group long, s0 long, s1 long")
+    for block in (4, 1000):
+        assert {tuple(x) for x in mixed_pairs(keys, keep, block).collect()} == want
+    assert mixed_pairs(keys.limit(0), keep, 4).count() == 0

@@ -6,15 +6,22 @@ tables.  At a cosine of 0.9 a pair shares a bucket in at least one table with
 probability 0.998, at 0.95 with more than 0.999999.
 
 1. Equal vectors become one class.
-2. Inside a bucket every class is paired with the first ``PIVOTS`` classes;
-   a 128-bit sign sketch that comes with each row drops pairs far from the
-   threshold before they are written.  Larger buckets that end up in more than
-   one component have their remaining pairs compared as well.
-3. Exact cosines in double precision give links, links give components.
-4. All links of a vector lie inside its component.  They are counted there by
+2. ``FIRST`` of the tables pair each class with the first of its bucket.  Exact
+   cosines in double precision give links, links give components, so that a
+   group of very many near copies is (nearly) one component from here on.
+3. In all tables each class is paired with the first ``PIVOTS`` of its bucket
+   that stand in another component.  Only links between components are kept,
+   one a pair of components; a 128-bit sign sketch that comes with each row
+   drops pairs far from the threshold before they are written.
+4. Buckets with more classes, in more than one component still, are compared
+   as wholes, by pairs of blocks, between components.
+5. All links of a vector lie inside its component.  They are counted there by
    blocks of ``BLOCK`` vectors, so no pair is ever written, and a component
    that holds a third of all vectors is spread over tasks.
 
+So pairs are written only between components, and never for all members of a
+group.  Components go by 64 bits of a hash in steps 3 and 4.
+
 Null vectors, zero vectors and vectors with null or non-finite components are
 linked with nothing, as are vectors of different dimension.  Rows with a null
 id count as links of others but name no component.  Repeated rows are copies
@@ -31,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buckets import apart, bucket_pairs
-from .common import arrow_schema, id_field, materialize, struct
+from .buckets import bucket_pairs, mixed_pairs
+from .common import arrow_schema, id_field, materialize, release, struct
 from .graph import components
 
-PROJECTIONS, TABLES, WIDTH, PIVOTS, BLOCK = 14, 96, 2.0, 16, 1024
+PROJECTIONS, TABLES, FIRST, WIDTH, PIVOTS, BLOCK = 14, 96, 4, 2.0, 16, 256
 #: Sketch bits (of 128) that may differ; at a cosine of 0.9, 18 do on average, with a deviation of 4.
 FAR_BITS = 40
 
@@ -73,16 +80,16 @@ def classes_of(rows: DataFrame, vec_col: str, id_col: str) -> DataFrame:
     return rows.select(id_col, F.col(vec_col).alias("__v")).mapInArrow(run, schema)
 
 
-def table_rows(classes: DataFrame) -> DataFrame:
-    """``key, hi, s0, s1``: the bucket of each class in each table, with its sketch."""
-    schema = struct(("key", "bigint"), ("hi", "bigint"), ("s0", "bigint"), ("s1", "bigint"))
+def table_rows(classes: DataFrame, tables: int = TABLES) -> DataFrame:
+    """``key, hi, group, s0, s1``: the bucket of each class in each of the first tables, with its group and its sketch."""
+    schema = struct(("key", "bigint"), ("hi", "bigint"), ("group", "bigint"), ("s0", "bigint"), ("s1", "bigint"))
     out = arrow_schema(schema)
 
     def run(batches):
         known: dict[int, tuple] = {}
         for batch in batches:
-            hi = batch.column(0).to_numpy()
-            vectors = batch.column(1).to_pylist()
+            hi, group = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            vectors = batch.column(2).to_pylist()
             by_dim: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by_dim.setdefault(len(v), []).append(i)
@@ -91,24 +98,31 @@ def table_rows(classes: DataFrame) -> DataFrame:
                     known.clear()
                     known[dim] = directions(dim)
                 lines, shifts, signs = known[dim]
+                lines, shifts = lines[:, : tables * PROJECTIONS], shifts[: tables * PROJECTIONS]
                 mult = np.random.default_rng([7, dim]).integers(1, 1 << 63, PROJECTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
                 for at in range(0, len(which), 256):
                     part = which[at : at + 256]
                     v = unit(np.array([vectors[i] for i in part]))
-                    steps = np.floor((v @ lines + shifts) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(part), TABLES, PROJECTIONS)
-                    h = np.broadcast_to(np.arange(TABLES, dtype=np.uint64) + np.uint64(dim * TABLES), (len(part), TABLES)).copy()
+                    steps = np.floor((v @ lines + shifts) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(part), tables, PROJECTIONS)
+                    h = np.broadcast_to(np.arange(tables, dtype=np.uint64) + np.uint64(dim * TABLES), (len(part), tables)).copy()
                     for k in range(PROJECTIONS):
                         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + steps[:, :, k] * mult[k]
                     h ^= h >> np.uint64(32)
                     bits = np.packbits(v @ signs > 0, axis=1).view(np.int64)
-                    each = lambda x: pa.array(np.repeat(x, TABLES))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64).ravel()), each(hi[part]), each(bits[:, 0]), each(bits[:, 1])], schema=out)
+                    each = lambda x: pa.array(np.repeat(x, tables))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64).ravel()), each(hi[part]), each(group[part]), each(bits[:, 0]), each(bits[:, 1])], schema=out)
+
+    return classes.select("hi", group_id().alias("group"), "vector").mapInArrow(run, schema)
 
-    return classes.select("hi", "vector").mapInArrow(run, schema)
+
+def group_id() -> F.Column:
+    """A component's label as 64 bits."""
+    return F.xxhash64("label")
 
 
 def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64)).sum(1) <= FAR_BITS
+    """Whether rows of ``group, s0, s1`` are of different groups and not far apart."""
+    return (x[:, 0] != y[:, 0]) & (np.bitwise_count((x[:, 1:] ^ y[:, 1:]).view(np.uint64)).sum(1) <= FAR_BITS)
 
 
 def cosine(x: str, y: str) -> F.Column:
@@ -117,10 +131,21 @@ def cosine(x: str, y: str) -> F.Column:
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """``a, b`` (digests) of the pairs of 64-bit ids whose cosine reaches ``least``."""
-    side = lambda x: classes.select(F.col("hi").alias(x), F.col("cid").alias(f"c{x}"), F.col("unit").alias(f"v{x}"))
+    """``a, b``: labels of classes that a pair of 64-bit ids links by a cosine of ``least`` or more, each once."""
+    side = lambda x: classes.select(F.col("hi").alias(x), F.col("label").alias(f"l{x}"), F.col("unit").alias(f"v{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter((F.size("va") == F.size("vb")) & (cosine("va", "vb") >= least)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    both = both.filter((F.size("va") == F.size("vb")) & (cosine("va", "vb") >= least))
+    return both.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+
+
+def merged(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """``classes`` with the labels that hold after the pairs have joined their components."""
+    links = materialize(confirm(pairs, classes, least), "links")
+    joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("__to"))
+    after = classes.join(joined, "label", "left").withColumn("label", F.coalesce("__to", "label")).drop("__to")
+    after = materialize(after.select(classes.columns), "vectors")
+    release(links)
+    return after
 
 
 def count_links(members: DataFrame, least: float) -> DataFrame:
@@ -161,32 +186,30 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, vec_col: str = "embeddi
     scaled = F.transform("vector", lambda x: x / scale)
     norm = F.sqrt(F.aggregate(F.col("scaled"), F.lit(0.0), lambda s, x: s + x * x))
     one = one.withColumn("scaled", scaled).withColumn("unit", F.transform("scaled", lambda x: x / norm)).drop("scaled")
-    classes = materialize(one, "vectors")
-
-    keys = materialize(table_rows(classes), "tables")
-    found = materialize(bucket_pairs(keys, PIVOTS, near), "candidates")
-    links = materialize(confirm(found.filter("likely"), classes, least), "links")
-    label = materialize(labels(classes, components(links)), "labels")
-
-    # Buckets with members beyond the pivots that are not in one component: compare what is apart from a pivot with all members.
-    large = found.filter("large")
-    loose = materialize(apart(large, label), "loose")
-    if not loose.isEmpty():
-        pivots = loose.select("a").distinct()
-        own = pivots.select(F.col("a").alias("hi")).unionByName(large.join(pivots, "a", "left_semi").select(F.col("b").alias("hi"))).distinct()
-        minor = loose.select(F.col("b").alias("hi")).distinct()
-        named = keys.join(label, "hi")
-        x = named.join(minor, "hi", "left_semi").select("key", *(F.col(c).alias(f"{c}x") for c in ("hi", "s0", "s1", "label")))
-        y = named.join(own, "hi", "left_semi").select("key", *(F.col(c).alias(f"{c}y") for c in ("hi", "s0", "s1", "label")))
-        differ = lambda c: F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y")))
-        more = x.join(y, "key").filter((F.col("labelx") != F.col("labely")) & (differ("s0") + differ("s1") <= FAR_BITS))
-        more = more.select(F.least("hix", "hiy").alias("a"), F.greatest("hix", "hiy").alias("b")).distinct()
-        links = materialize(links.unionByName(confirm(more, classes, least)), "links")
-    joined = materialize(components(links), "components")
-
-    inside = classes.select("cid", "low", "unit", "copies").join(joined.withColumnRenamed("node", "cid"), "cid")
-    sizes = joined.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    inside = materialize(inside.join(sizes, "label"), "inside")
+    single = materialize(one.withColumn("label", F.col("cid")), "vectors")
+
+    first = merged(single, bucket_pairs(table_rows(single, FIRST), 1, near, rest=False), least)
+    release(single)
+    keys = materialize(table_rows(first), "tables")
+    classes = merged(first, bucket_pairs(keys, PIVOTS, near, rest=False), least)
+    release(first)
+
+    # Buckets with members beyond the pivots that are not in one component: compare what is in different ones.
+    large = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > PIVOTS + 1).select("key")
+    now = keys.join(large, "key").drop("group").join(classes.select("hi", group_id().alias("group")), "hi")
+    now = materialize(now.select("key", "hi", "group", "s0", "s1"), "tables")
+    release(keys)
+    several = now.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("key")
+    mixed = materialize(now.join(several, "key"), "tables")
+    release(now)
+    if not mixed.isEmpty():
+        before, classes = classes, merged(classes, mixed_pairs(mixed, near, BLOCK), least)
+        release(before)
+    release(mixed)
+
+    sizes = classes.groupBy("label").agg(F.count("*").alias("members")).filter("members > 1")
+    sizes = sizes.select("label", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    inside = materialize(classes.select("cid", "low", "unit", "copies", "label").join(sizes, "label"), "inside")
     lows = inside.groupBy("label").agg(F.min("low").alias("component_id"))
     counted = count_links(inside.drop("low"), least).join(inside.select("cid", "label"), "cid").join(lows, "label").select("cid", "others", "component_id")
     done = classes.select("cid", "low", "copies").join(counted, "cid", "left")
@@ -196,11 +219,6 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, vec_col: str = "embeddi
     return good.unionByName(rest).select(id_col, "n_links", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def labels(classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """``hi, label`` of the classes; a class without links is its own label."""
-    return classes.select("hi", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("hi", F.coalesce("label", "cid").alias("label"))
-
-
 SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
