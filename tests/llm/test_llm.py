@@ -1,6 +1,7 @@
 """Operators against plain Python on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tracklode.llm.buckets import mixed_pairs
 from tracklode.llm import bpe, chat, html, language, lines, minhash, packing, pii, quality, queries, vectors
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -603,7 +605,7 @@ def test_mixed_pairs_equal_brute_force(spark):
     rows = [(int(k), i, int(r.integers(4)), int(r.integers(8)), 0) for i, k in enumerate(r.choice(5, 150, p=[0.6, 0.2, 0.1, 0.05, 0.05]))]
     keep = lambda x, y: (x[:, 0] != y[:, 0]) & (x[:, 1] == y[:, 1])
     want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2] and a[3] == b[3]}
-    keys = table(spark, rows, "key long, hi long, group long, s0 long, s1 long")
+    keys = spark.createDataFrame(rows, "key long, hi long, group long, s0 long, s1 long")
     for block in (4, 1000):
         assert {tuple(x) for x in mixed_pairs(keys, keep, block).collect()} == want
     assert mixed_pairs(keys.limit(0), keep, 4).count() == 0
