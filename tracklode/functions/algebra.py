@@ -65,6 +65,11 @@ def kl_k3(ref, policy) -> Column:
     return F.exp(d) - d - 1
 
 
+def policy_ratio(new, old) -> Column:
+    """Probability under the new policy over that under the old one, from log-probabilities."""
+    return F.exp(_c(new) - _c(old))
+
+
 def lr_scale(step, warmup: int, total: int, kind: str = "cosine") -> Column:
     """Learning-rate factor: linear warm-up, then constant or cosine decay."""
     s = _c(step)
