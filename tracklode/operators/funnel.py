@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.algebra import canonical_action, listed
+from ..functions.algebra import listed
 from ..functions.protocol import parsed_tool_call
-from ..functions.text import excerpt, reasoning_text, sections
+from ..functions.text import reasoning_text, sections
 from .joins import latest_by_type
 from .trajectories import field, flag, reconstruct, reject_reasons, step_redundancy
 from .units import query_units
@@ -15,6 +15,8 @@ from .units import query_units
 #: Stages in the order in which a candidate meets them; fixed values.
 STAGES = ("outcome", "reconstruct", "structure", "redundancy", "length")
 TERMINATIONS = {"answer": "normal_answer"}
+#: Characters of a candidate's JSON in an audit; fixed value.
+EXCERPT = 300
 
 
 def termination_name(x: Column) -> Column:
@@ -114,26 +116,29 @@ def mismatch_cases(events: DataFrame, results: DataFrame, limit: int | None = 20
     last = last.withColumns({"reasoning": text("round_response", "reasoning_content"), "content": text("round_response", "content"), "observation": text("tool_response_appended", "tool_response")})
     last = last.withColumns({"__r": parsed_tool_call(F.col("reasoning")), "__c": parsed_tool_call(F.col("content"))}).filter("__r <> __c")
     asked = listed(F.get_json_object(of("tool_json_parse", "parsed_tool_args"), "$.query"))
-    executed = F.when(F.col("tool_json_parse").isNotNull(), canonical_action(asked))
+    name = F.to_json(F.struct(of("tool_json_parse", "parsed_tool_name").alias("name")))
+    call = F.concat(F.lit("<tool_call>"), F.regexp_replace(name, r"\}$", ""), F.when(name != "{}", ",").otherwise(""), F.lit('"arguments":'), F.coalesce(of("tool_json_parse", "parsed_tool_args"), F.lit("{}")), F.lit("}</tool_call>"))
+    executed = F.when(F.col("tool_json_parse").isNotNull(), parsed_tool_call(call))  # canonical, as the candidates are
     hashed = lambda c, name: F.sha2(F.coalesce(c, F.lit("")), 256).alias(f"{name}_sha256")
-    cases = last.join(some, "trajectory_id").select(
+    cases = last.withColumn("__e", executed).join(some, "trajectory_id").select(
         "question_id",
         F.col("position").alias("source_split_position"),
         "trajectory_id",
         "round_idx",
         hashed(F.col("reasoning"), "raw_reasoning"),
         hashed(F.col("content"), "raw_content"),
-        excerpt(F.col("__r")).alias("reasoning_candidate_excerpt"),
-        excerpt(F.col("__c")).alias("content_candidate_excerpt"),
+        F.left("__r", F.lit(EXCERPT)).alias("reasoning_candidate_excerpt"),
+        F.left("__c", F.lit(EXCERPT)).alias("content_candidate_excerpt"),
         hashed(F.col("__r"), "reasoning_candidate"),
         hashed(F.col("__c"), "content_candidate"),
         hashed(of("tool_extracted", "extractor_result"), "extractor_result"),
-        executed.alias("actual_executed_action"),
+        F.col("__e").alias("actual_executed_action"),
+        hashed(F.col("__e"), "actual_executed_action"),
         F.length("observation").alias("observation_chars"),
         hashed(F.col("observation"), "observation"),
         F.coalesce(asked == listed(of("search_start", "queries")), F.lit(False)).alias("executed_query_matches_search_start"),
-        F.coalesce(parsed_tool_call(executed) == F.col("__r"), F.lit(False)).alias("executed_matches_reasoning_candidate"),
-        F.coalesce(parsed_tool_call(executed) == F.col("__c"), F.lit(False)).alias("executed_matches_content_candidate"),
+        F.coalesce(F.col("__e") == F.col("__r"), F.lit(False)).alias("executed_matches_reasoning_candidate"),
+        F.coalesce(F.col("__e") == F.col("__c"), F.lit(False)).alias("executed_matches_content_candidate"),
     )
     return cases if limit is None else cases.orderBy("source_split_position", "round_idx", "trajectory_id").limit(limit)
 
