@@ -134,3 +134,12 @@ def listed(x) -> Column:
     t = _c(x)
     many = F.from_json(t, "array<string>")
     return F.when(t.isNull(), F.array().cast("array<string>")).when(F.ltrim(t).startswith("["), many).otherwise(F.array(t))
+
+
+def day_text(ts) -> Column:
+    """Date of a time as prompts show it."""
+    return F.date_format(F.to_date(_c(ts)), "yyyy-MM-dd")
+
+
+def latency_seconds(start, end) -> Column:
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / 1e6

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.algebra import listed
 from ..functions.protocol import parsed_tool_call
 from ..functions.text import reasoning_text, sections
+from ..sources.shared import fresh_path
 from .joins import latest_by_type
+from .selection import largest, nearest, pick_samples
 from .trajectories import field, flag, reconstruct, reject_reasons, step_redundancy
 from .units import query_units
 
@@ -186,3 +188,33 @@ def judge_run_summary(replies: DataFrame) -> DataFrame:
     """One row over ``status, attempt_count`` of judged units."""
     status = F.coalesce("status", F.lit("missing"))
     return replies.agg(F.count("*").alias("units"), F.count_if(status == "success").alias("success"), F.count_if(status != "success").alias("failed"), F.coalesce(F.sum("attempt_count"), F.lit(0)).alias("attempts"))
+
+
+#: Categories of the alignment audit in the order in which its generator draws; fixed values.
+AUDIT_SAMPLED = ("no_mismatch", "action_source_mismatch", "redundancy_rejected")
+AUDIT_TARGET = 16_384
+
+
+def audit_sample(candidates: DataFrame, seed: int, k: int = 10, target: int = AUDIT_TARGET) -> DataFrame:
+    """``category`` and all columns of up to k candidates of each of five categories.
+
+    Candidates have ``question_id, position, mismatch_count, canonical_length,
+    structural_valid, redundancy_pass``.  Three categories are drawn by one
+    seeded generator (candidates without and with mismatches by position,
+    then those that the redundancy rule rejects by id); the longest and those
+    nearest to a target length are taken in order, ties by position.  A
+    candidate may stand in several categories.
+    """
+    spark, path = candidates.sparkSession, fresh_path(candidates.sparkSession, "audit")
+    keys = ("question_id", "position", "mismatch_count", "canonical_length", "redundancy_pass")
+    candidates.filter("structural_valid").select(*keys).write.parquet(path)  # so that logs are rebuilt twice, not for each category
+    sound = spark.read.parquet(path)
+    mismatch = F.when(F.col("mismatch_count") > 0, AUDIT_SAMPLED[1]).otherwise(AUDIT_SAMPLED[0])
+    row = lambda category, a, b: [F.col("question_id"), F.lit(category).alias("category") if isinstance(category, str) else category.alias("category"), a.alias("__a"), b.alias("__b")]
+    by_place = sound.select(*row(mismatch, F.col("position").cast("bigint"), F.lit("")))
+    by_id = sound.filter(~F.col("redundancy_pass")).select(*row(AUDIT_SAMPLED[2], F.lit(0).cast("bigint"), F.col("question_id").cast("string")))
+    drawn = pick_samples(by_place.unionByName(by_id), "category", [F.col("__a"), F.col("__b")], k, seed, list(AUDIT_SAMPLED)).select("question_id", "category")
+    longest = largest(sound, "canonical_length", k, "position").select("question_id", F.lit("long_trajectory").alias("category"))
+    near = nearest(sound, "canonical_length", target, k, "position").select("question_id", F.lit("near_16k").alias("category"))
+    picked = drawn.unionByName(longest).unionByName(near)  # at most 5 k rows
+    return candidates.join(F.broadcast(picked), "question_id")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import qa_normalize
+from .expect import ExpectationError
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, required: str) -> DataFrame:
@@ -52,3 +53,19 @@ def latest_by_type(events: DataFrame, by: list[str], order: Column, kind: str, k
 def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many rows of a are not in b, and of b not in a, as multisets."""
     return a.exceptAll(b).agg(F.count("*").alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_right")))
+
+
+def agreement(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: keys of ``left`` without a partner, partners with another value, and whether all agree."""
+    r = right.select(F.col(key).alias("__k"), F.col(value).alias("__v"), F.lit(True).alias("__has"))
+    both = left.join(r, F.col(key) == F.col("__k"), "left")
+    missing, other = F.count_if(F.col("__has").isNull()), F.count_if(F.col("__has") & ~F.col(value).eqNullSafe(F.col("__v")))
+    return both.agg(missing.alias("missing"), other.alias("different"), (missing + other == 0).alias("agree"))
+
+
+def select_ids(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of a list of ids; an id without a row raises."""
+    absent = wanted.join(rows.select(key), key, "left_anti").limit(5).collect()
+    if absent:
+        raise ExpectationError(f"no rows for {key} {[r[key] for r in absent]}")
+    return rows.join(wanted.select(key).distinct(), key, "left_semi")

@@ -6,9 +6,11 @@ import random
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import _c
+from ..sources.shared import fresh_path
 
 
 def seeded_key(seed: int, x) -> Column:
@@ -45,20 +47,42 @@ def short_median_over(df: DataFrame, x: str, tie: str, cutoff: int) -> DataFrame
     return shortest.unionByName(middle).unionByName(over)
 
 
+def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with each row's place, from 0, in a total order.
+
+    Rows are sorted in ranges and numbered inside each; the ranges' counts,
+    one row a range, give their offsets.  The sorted rows are written once, as
+    ranges drawn a second time may be cut elsewhere.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "ranked")
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    df.orderBy(*order).select("*", F.spark_partition_id().alias("__range"), inside.alias("__inside")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = sizes.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__start"))
+    return rows.join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + F.col("__inside")).drop("__range", "__inside", "__start")
+
+
 def sample_strata(df: DataFrame, stratum: str, order: str, k: int, seed: int) -> DataFrame:
-    """k rows of each stratum: the places Python's ``random.Random(seed).sample`` picks from the stratum in order.
+    """k rows of each stratum: the places Python's ``random.Random(seed).sample`` picks from the stratum in order, strata in order of name."""
+    return pick_samples(df, stratum, [F.col(order)], k, seed, None)
+
+
+def pick_samples(df: DataFrame, stratum: str, order: list[Column], k: int, seed: int, names: list | None) -> DataFrame:
+    """As ``sample_strata``, with one generator running through the strata in the order of ``names``.
 
     Only the strata's sizes and the picked places, k a stratum, are on the driver.
     """
-    from pyspark.sql import Window as W
-
-    sizes = sorted((r[stratum], r["n"]) for r in df.groupBy(stratum).agg(F.count("*").alias("n")).collect())
-    rng = random.Random(seed)
-    picks = [(name, at) for name, n in sizes for at in rng.sample(range(n), min(k, n))]
     spark = df.sparkSession
-    chosen = spark.createDataFrame(picks, f"{stratum} {df.schema[stratum].dataType.simpleString()}, __at int")
-    ranked = df.withColumn("__at", F.row_number().over(W.partitionBy(stratum).orderBy(order)) - 1)
-    return ranked.join(F.broadcast(chosen), [stratum, "__at"], "left_semi").drop("__at")  # at most k rows a stratum
+    placed = ranked(df, [F.col(stratum), *order], "__place")
+    sizes = {r[stratum]: (r["n"], r["first"]) for r in placed.groupBy(stratum).agg(F.count("*").alias("n"), F.min("__place").alias("first")).collect()}
+    rng = random.Random(seed)
+    picks = []
+    for name in sorted(sizes) if names is None else names:
+        n, first = sizes.get(name, (0, 0))
+        picks += [(first + at,) for at in rng.sample(range(n), min(k, n))]
+    chosen = spark.createDataFrame(picks, "__place bigint")
+    return placed.join(F.broadcast(chosen), "__place", "left_semi").drop("__place")  # at most k rows a stratum
 
 
 #: Wanted numbers by stratum and by special trait of the pilot sample; fixed values.

@@ -8,8 +8,6 @@ judge scores, and orders and line items for results.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,6 +19,7 @@ from ..functions import protocol
 from ..functions import text as X
 from ..operators import joins, overlap, profiles, selection, stages, trajectories, units, vectors, windows
 from ..operators.expect import violations
+from ..sources.shared import fresh_path
 from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -624,7 +623,7 @@ def fixture_stream(spark, d):
 
 def drained(stream, mode):
     """The rows of a stream after it has read all that is there."""
-    return streams.drain(stream, f"drained_{uuid.uuid4().hex}", tempfile.mkdtemp(), mode)
+    return streams.drain(stream, fresh_path(stream.sparkSession, "drained"), mode)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -8,9 +8,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.expect import ExpectationError, require_rows
+from ..operators.selection import ranked
 from ..operators.trajectories import messages
 
 
@@ -110,12 +110,8 @@ def same_identity(now: DataFrame, before: DataFrame, *keys: str) -> bool:
 
 def sft_rows(candidates: DataFrame, order: Column, prefix: str = "sft") -> DataFrame:
     """Numbered training samples of candidates."""
-    numbered = candidates.select("question_id", "trajectory_id", "question", messages().alias("messages"), order.alias("__o"))
-    # Numbers come from a sorted zip: sort in parallel, count partitions, add offsets.
-    spark = candidates.sparkSession
-    ids = numbered.select("__o", "trajectory_id").orderBy("__o", "trajectory_id").rdd.zipWithIndex().map(lambda x: (x[0][1], x[1] + 1))
-    places = spark.createDataFrame(ids, T.StructType([T.StructField("trajectory_id", T.StringType()), T.StructField("__n", T.LongType())]))
-    return numbered.join(places, "trajectory_id").select(F.format_string(f"{prefix}-%04d", "__n").alias("sample_id"), "question_id", "trajectory_id", "question", "messages")
+    numbered = ranked(candidates.select("question_id", "trajectory_id", "question", messages().alias("messages"), order.alias("__o")), [F.col("__o"), F.col("trajectory_id")], "__n")
+    return numbered.select(F.format_string(f"{prefix}-%04d", F.col("__n") + 1).alias("sample_id"), "question_id", "trajectory_id", "question", "messages")
 
 
 def token_audit(rows: DataFrame, length: str, cutoff: int) -> DataFrame:

@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GUARD = "key string, seq long, duplicate_query boolean, duplicate_observation boolean, stagnant_steps long, terminate_suggested boolean"
+#: Partition column of drained batches.
+BATCH = "drained_batch"
 STATE = "queries array<long>, observations array<long>, stagnant long"
 
 
@@ -36,11 +39,24 @@ def sessions(events: DataFrame, key: str, gap: str = "6 hours", ts: str = "ts")
     return events.groupBy(w, key).agg(F.count("*").alias("n_events")).select(key, F.col("session_window.start").alias("session_start"), "n_events")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its in-memory result."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and return its result, a table in ``folder`` beside the stream's state.
+
+    Each batch has its own folder and overwrites it when it is repeated; in
+    complete mode the last batch is the result.
+    """
+    spark, out = stream.sparkSession, f"{folder}/result"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/{BATCH}=-1")  # a stream without rows has no batch
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField(BATCH, T.LongType())])).parquet(out)
+    if mode == "complete":
+        rows = rows.filter(F.col(BATCH) == rows.agg(F.max(BATCH)).first()[0])
+    return rows.drop(BATCH)
 
 
 def guard(steps: DataFrame, silent_ms: int = 30 * 86_400_000) -> DataFrame:
