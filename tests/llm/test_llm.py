@@ -91,6 +91,55 @@ def test_pii_discovers_by_context(spark):
     assert text[100] == "some text\nplease call [PHONE] today" and text[0] == "some text\nplease call [PHONE] today" and text[102] is None
 
 
+def labelled_identifiers(unseen: float, n: int = 1_500, seed: int = 7):
+    """Texts of labelled identifiers and of numbers that are none; of the identifiers a share has a form the base patterns do not match."""
+    r = random.Random(seed)
+    contexts = {
+        "email": ["contact e-mail: {} today", "escribe al correo {} ahora", "adresse courriel {} merci"],
+        "ip": ["from host address {} port", "login from ip {} failed", "serveur joint {} hier"],
+        "card": ["paid with card {} on", "tarjeta numero {} cargada", "karte nummer {} belastet"],
+        "phone": ["please call {} today", "tel. privat {} abends", "numero de telephone {} svp"],
+    }
+    decoys = ["in total {} birds were seen", "order number {} was shipped", "zwischen {} und mehr stimmen", "version {} was released"]
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    octets = lambda first: ".".join(map(str, [first, *(r.randrange(256) for _ in range(3))]))
+
+    def card(off):
+        d = digits(15)
+        d += str((off - sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))) % 10)
+        return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    known = {"email": lambda: f"{name()}@site{r.randrange(999)}.org", "ip": lambda: octets(r.randrange(256)), "card": lambda: card(0), "phone": lambda: f"+{r.randrange(10, 99)} {digits(3)} {digits(6)}"}
+    hidden = {"email": lambda: f"{name()}@intranet", "ip": lambda: octets(r.randrange(300, 999)), "card": lambda: card(1), "phone": lambda: f"0{digits(3)} {digits(6)}"}
+    rows, want = [], set()
+    for i in range(n):
+        text = ""
+        for _ in range(3):
+            if r.random() < 0.35:
+                text += r.choice(decoys).format(r.choice([digits(4), f"{digits(4)} {digits(6)}", f"{r.randrange(9)}.{r.randrange(99)}.{r.randrange(99)}"])) + "\n"
+                continue
+            kind, new = r.choice(list(contexts)), r.random() < unseen
+            before, after = r.choice(contexts[kind]).split("{}")
+            value = (hidden if new else known)[kind]()
+            if new:
+                want.add((i, pii.KINDS.index(kind), len(text) + len(before), len(text) + len(before) + len(value)))
+            text += before + value + after + "\n"
+        rows.append((i, text))
+    return rows, want
+
+
+@pytest.mark.parametrize("unseen, least", [(0.05, 0.99), (0.10, 0.99), (0.30, 0.0)])
+def test_pii_discovery_on_generated_contexts(spark, unseen, least):
+    """Precision is whole at every share; recall needs contexts in which most identifiers are known."""
+    rows, want = labelled_identifiers(unseen)
+    found = pii.find(table(spark, rows)).collect()
+    spans = lambda r, c: {(r["doc_id"], s["kind"], s["start"], s["end"]) for s in r[c]}
+    assert not any(spans(r, "base") & want for r in found)
+    new = set().union(*(spans(r, "spans") - spans(r, "base") for r in found))
+    assert new <= want and len(new) >= least * len(want)
+
+
 def test_pii_redact_keeps_columns(spark, docs):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.count() == docs.count()

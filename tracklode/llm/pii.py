@@ -10,7 +10,8 @@
 3. Spark scores the graph for ``ROUNDS`` rounds.  The reliability of a pattern
    for a kind is the summed score of its instances of that kind over all its
    instances (smoothed); it counts once ``MIN_SEEDS`` different seeds support
-   it and it reaches ``MIN_SCORE``.  The score of an instance is the noisy-or
+   it and it reaches ``MIN_SCORE``; unknown instances count against it, so a
+   context of which over a fifth is unknown gives nothing.  The score of an instance is the noisy-or
    of its patterns' reliabilities; a seed keeps 1.
 4. Mentions whose instance reaches ``MIN_SCORE`` become spans of that kind,
    beside the base spans, which all stay.
