@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, language, lines, minhash, packing, pii, quality, vectors
+from . import bpe, chat, html, language, lines, manifest, minhash, packing, pii, quality, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,13 @@ def op10_vectors(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_manifest(spark, sf_dir):
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_bpe, op3_language, op4_minhash, op5_html, op6_packing, op7_chat, op8_quality, op9_lines, op10_vectors)}
+    return {f.__name__: f for f in (op1_pii, op2_bpe, op3_language, op4_minhash, op5_html, op6_packing, op7_chat, op8_quality, op9_lines, op10_vectors, op11_manifest)}
 
 
 def oracle_sql():
-    return {"op8_quality": quality.SQL, "op10_vectors": vectors.SQL}
+    return {"op8_quality": quality.SQL, "op10_vectors": vectors.SQL, "op11_manifest": manifest.SQL}
