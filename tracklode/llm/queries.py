@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, language, lines, manifest, minhash, packing, pii, quality, vectors
+from . import align, bpe, chat, html, language, lines, manifest, minhash, mix, packing, pii, quality, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,17 @@ def op11_manifest(spark, sf_dir):
     return manifest.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_align(spark, sf_dir):
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_mix(spark, sf_dir):
+    return mix.report(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_bpe, op3_language, op4_minhash, op5_html, op6_packing, op7_chat, op8_quality, op9_lines, op10_vectors, op11_manifest)}
+    return {f.__name__: f for f in (op1_pii, op2_bpe, op3_language, op4_minhash, op5_html, op6_packing, op7_chat, op8_quality, op9_lines, op10_vectors, op11_manifest, op12_align, op13_mix)}
 
 
 def oracle_sql():
-    return {"op8_quality": quality.SQL, "op10_vectors": vectors.SQL, "op11_manifest": manifest.SQL}
+    return {"op8_quality": quality.SQL, "op10_vectors": vectors.SQL, "op11_manifest": manifest.SQL, "op13_mix": mix.SQL}
