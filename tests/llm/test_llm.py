@@ -302,6 +302,36 @@ def test_html_equals_markup(spark):
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
+EDGES = ["<div><div><h2>EDGE</h2></div></div>", "<section><div><h3>EDGE</h3></div></section>", "<figure><img src=x><figcaption>EDGE</figcaption></figure>", "<table><tbody><tr><td>EDGE</td></tr></tbody></table>", "<ul><li><span><em>EDGE</em></span></li></ul>", "<header><hgroup><h1>EDGE</h1></hgroup></header>", "<blockquote><p><i>EDGE</i></p></blockquote>"]
+
+
+@pytest.mark.parametrize("marked", [True, False])
+@pytest.mark.parametrize("edge", EDGES)
+def test_html_keeps_short_blocks_at_the_edges(spark, edge, marked):
+    """Whatever tags they have, also where the page marks nothing and the text is one element's."""
+    if "header" in edge and not marked:
+        return  # a page's own header goes
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    weights = html.weigh(html.count_events(pages, "html", "page_id", html.SAMPLE))
+    for r in pages.collect():
+        raw = r["html"] if marked else r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        start, end = ("<article>", "</article>") if marked else ("<div>", "</div>")
+        plain = html.main_text(r["html"], weights)
+        if not marked and len(plain.split()) < 50:
+            continue  # an advert may be longer than the text
+        at = raw.index(start, raw.index("<body")) + len(start) if marked else r["html"].index("<article>") + len("<div>")
+        to = raw.index(end, at)
+        assert html.main_text(raw[:at] + edge + raw[at:], weights) == "EDGE\n" + plain
+        assert html.main_text(raw[:to] + edge + raw[to:], weights) == plain + "\nEDGE"
+
+
+@pytest.mark.parametrize("name", ["commentList", "user_comments_box", "post-comments-section", "sidebarRight", "cookieBanner", "site-header", "leftSidebarWrap"])
+def test_html_names_in_parts(name):
+    page = f"<body><div class='{name}'><p>{'not this text ' * 5}</p></div><div class='text'><p>{'some words here ' * 20}</p><p>the end</p></div></body>"
+    assert html.main_text(page, html.weigh({})).split("\n") == [("some words here " * 20).strip(), "the end"]
+    assert not html.names_dropped("article-header") and not html.names_dropped("headline main-text no-comments")
+
+
 def test_html_without_article():
     page = """<html><body><header><a href=/>Site</a></header><div id="cookie-notice"><p>We use cookies to make this site work well for all of our users.</p></div>
     <div class="content"><h2>Head &amp; line</h2><p>Some <b>bold</b>   text here with many words.</p><ul><li>one item</li><li>two</li></ul><form><p>Name</p></form>

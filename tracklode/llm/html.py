@@ -6,12 +6,15 @@ largest sum.  The weights come from labelled pages, those that mark their text
 with one ``<article>`` or ``<main>`` element: the log-odds of each kind of
 event outside and inside of it, over about ``SAMPLE`` pages taken by a hash.
 Kinds that never lie inside are barriers, but not where one article ends and
-another begins.  The text of the region is its block elements in page order,
+another begins.  The region is then drawn out to the ends of the marked
+elements that it begins and ends in, or, where the page marks nothing, to those
+of the element around it, so that short blocks at its edges stay whatever their
+tags weigh.  The text of the region is its block elements in page order,
 without containers that are not text (menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments).  Those are known by
-their element or by the first or last part of a class name or id; one known by
-such a name alone stays if it holds more than half of the page's words and the
-page marks no text outside of it.
+their element or by a part of a class name or id: the first or last one, and
+for some names any one.  One known by such a name alone stays if it holds more
+than half of the page's words and the page marks no text outside of it.
 
 Pages of any length are read whole, in one scan.  Null or empty html gives an empty text; so does a page without words.  Equal
 sums go to the region that starts first and, then, ends first.  Repeated rows
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -32,7 +36,7 @@ from .common import id_field, map_rows, struct
 
 SAMPLE = 2_000
 BARRIER = -1000.0
-#: Weight of kinds that no labelled page has.
+#: Weight of kinds that no labelled page has, where none of their sort has one either.
 UNSEEN = -1.0
 
 # Element and class names.
@@ -45,6 +49,8 @@ EXEMPT = frozenset("html body main".split())
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription menu nav navbar navigation breadcrumb breadcrumbs sidebar related recommended share sharing social comment comments disqus footer masthead pagination pager login signup widget toolbar skip".split()
 )
+ANYWHERE = frozenset("comment comments cookie cookies sidebar disqus gdpr newsletter".split())
+SITE = frozenset("site global top".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 _name = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -54,15 +60,18 @@ _angle = re.compile("[<>]")
 _unended = re.compile("<[a-zA-Z/!?]")
 _attribute = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _split = re.compile("[^a-z0-9]+")
+_hump = re.compile("(?<=[a-z0-9])(?=[A-Z])")
 #: Parts of a class name that say what a container goes without, or beside.
 BESIDE = frozenset("no not without with has".split())
 
 
-def names_dropped(value: str) -> bool:
-    """Whether one of the class names begins or ends in the name of something dropped; ``no-sidebar`` and ``market-share-report`` do not."""
+def names_dropped(value: str, inside: bool = False) -> bool:
+    """Whether one of the class names names something dropped; ``no-sidebar`` and ``market-share-report`` do not."""
     for token in value.split():
-        parts = [p for p in _split.split(token) if p]
-        if parts and BESIDE.isdisjoint(parts) and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES):
+        parts = [p for p in _split.split(_hump.sub("-", token).lower()) if p]
+        if parts and BESIDE.isdisjoint(parts) and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES or not ANYWHERE.isdisjoint(parts)):
+            return True
+        if len(parts) == 2 and parts[0] in SITE and parts[1] == "header" and not inside:
             return True
     return False
 
@@ -71,15 +80,16 @@ def dropped(name: str, attributes: str, inside: bool) -> bool | None:
     """Whether an element is a container that is not part of the text; null if only its attributes say so."""
     if name in DROPPED or (name in PAGE_ONLY and not inside):
         return True
-    return None if attributes and name not in EXEMPT and by_attributes(attributes) else False
+    return None if attributes and name not in EXEMPT and by_attributes(attributes, inside) else False
 
 
-def by_attributes(attributes: str) -> bool:
+def by_attributes(attributes: str, inside: bool = False) -> bool:
     for m in _attribute.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        key, given = m[1].lower(), (m[2] or "").strip("\"'")
+        value = given.lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
-        if key in ("class", "id") and names_dropped(value):
+        if key in ("class", "id") and names_dropped(given, inside):
             return True
         if key == "role" and value in DROPPED_ROLES:
             return True
@@ -246,6 +256,59 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return {"word": 3.0, "article": BARRIER, "/article": BARRIER, "main": BARRIER, "/main": BARRIER} | weights
 
 
+def sort_of(kind: str) -> tuple[bool, bool]:
+    """Tags that no labelled page has weigh like others of their sort: opening or closing, block or not."""
+    return kind.startswith("/"), kind.lstrip("/-") in BLOCKS
+
+
+def weight_of(weights: dict[str, float]) -> Callable[[str], float]:
+    """Weights of all kinds: a kind that was not learned has the mean of its sort, barriers aside."""
+    sorts: dict[tuple[bool, bool], list[float]] = {}
+    for kind, w in weights.items():
+        if kind != "word" and not kind.startswith("-") and w > BARRIER:
+            sorts.setdefault(sort_of(kind), []).append(w)
+    means = {k: sum(v) / len(v) for k, v in sorts.items()}
+    return lambda kind: weights[kind] if kind in weights else UNSEEN if kind.startswith("-") else means.get(sort_of(kind), UNSEEN)
+
+
+def drawn_out(found: list[tuple], start: int, end: int) -> tuple[int, int]:
+    """The region up to the ends of the marked elements around its first and last event, or of the element around all of it."""
+    if start >= end:
+        return start, end
+    open_: list[tuple[int, str]] = []  # first event and name of the open elements
+    count: dict[str, int] = {}
+    around: list[tuple] = []  # first, last + 1 and name of the elements that hold the first or the last event
+
+    def close(at: int) -> None:
+        first, name = open_.pop()
+        count[name] -= 1
+        if first <= start < at or first < end <= at:
+            around.append((first, at, name))
+
+    for k, (kind, _, _) in enumerate(found):
+        if kind == "word" or kind.startswith("-") or kind in VOID:
+            continue
+        if not kind.startswith("/"):
+            open_.append((k, kind))
+            count[kind] = count.get(kind, 0) + 1
+        elif count.get(kind[1:]):
+            while open_[-1][1] != kind[1:]:
+                close(k)
+            close(k + 1)
+    while open_:
+        close(len(found))
+    marked = [e for e in around if e[2] in ("article", "main")]
+    first = [e for e in marked if e[0] <= start < e[1]]
+    last = [e for e in marked if e[0] < end <= e[1]]
+    if first or last:
+        return max((e[0] for e in first), default=start), min((e[1] for e in last), default=end)
+    if any(kind in ("article", "main") for kind, _, _ in found):
+        return start, end
+    whole = [e for e in around if e[0] <= start and end <= e[1]]
+    innermost = max(whole, key=lambda e: e[0], default=None)
+    return (innermost[0], innermost[1]) if innermost and innermost[2] not in ("html", "body") else (start, end)
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """First and last + 1 of the contiguous run with the largest positive sum."""
     best, at, total, start, end = 0.0, 0, 0.0, 0, 0
@@ -260,13 +323,13 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     found = events(html or "")
-    word = weights["word"]
-    scores = [word * len(text.split()) if kind == "word" else weights.get(kind, UNSEEN) for kind, text, _ in found]
+    word, weight = weights["word"], weight_of(weights)
+    scores = [word * len(text.split()) if kind == "word" else weight(kind) for kind, text, _ in found]
     # Where one article ends and another begins there is no barrier: several articles of one region stay together.
     edges = [k for k, (kind, _, _) in enumerate(found) if kind in ("article", "/article")]
     for k in edges[1:-1]:
         scores[k] = UNSEEN
-    start, end = best_region(scores)
+    start, end = drawn_out(found, *best_region(scores))
     blocks: list[str] = []
     part: list[str] = []
     for kind, text, _ in [*found[start:end], ("/p", "", False)]:
