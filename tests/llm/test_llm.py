@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -129,9 +130,9 @@ def labelled_identifiers(unseen: float, n: int = 1_500, seed: int = 7):
     return rows, want
 
 
-@pytest.mark.parametrize("unseen, least", [(0.05, 0.99), (0.10, 0.99), (0.30, 0.0)])
+@pytest.mark.parametrize("unseen, least", [(0.05, 0.99), (0.10, 0.99), (0.30, 0.99), (0.50, 0.99)])
 def test_pii_discovery_on_generated_contexts(spark, unseen, least):
-    """Precision is whole at every share; recall needs contexts in which most identifiers are known."""
+    """Nothing that is no identifier is found, also where half of a context's identifiers are unknown."""
     rows, want = labelled_identifiers(unseen)
     found = pii.find(table(spark, rows)).collect()
     spans = lambda r, c: {(r["doc_id"], s["kind"], s["start"], s["end"]) for s in r[c]}
@@ -140,6 +141,63 @@ def test_pii_discovery_on_generated_contexts(spark, unseen, least):
     assert new <= want and len(new) >= least * len(want)
 
 
+def plain_scores(edges):
+    """Kinds of the instances that are no seeds: {(pattern, instance): seed kinds} scored in plain Python."""
+    seeds = [sum(k[x] for k in edges.values()) for x in range(4)]
+    share = [min(pii.MOST_FREQUENT, x / max(1, sum(seeds))) or pii.MOST_FREQUENT for x in seeds]
+    enough = math.log(max(1, len({p for (p, _), k in edges.items() if any(k)})) / pii.CHANCE)
+    own = {i: tuple(map(float, k)) for (_, i), k in edges.items()}
+    score, before = dict(own), None
+    for _ in range(pii.ROUNDS):
+        trust = {}
+        for p in {p for p, _ in edges}:
+            members = [i for q, i in edges if q == p]
+            sums = [sum(score[i][x] for i in members) for x in range(4)]
+            trust[p] = [0.0] * 4
+            for x in range(4):
+                n = sum(edges[p, i][x] for i in members)
+                if n >= pii.MIN_SEEDS and sum(sums) >= pii.MIN_KNOWN * len(members) and n * (told := math.log(sums[x] / sum(sums) / share[x])) >= enough:
+                    trust[p][x] = min(1.0, told / -math.log(share[x]))
+            if max(trust[p]) < pii.MIN_SCORE:
+                trust[p] = [0.0] * 4
+        for i in own:
+            if not any(own[i]):
+                t = [1 - math.prod(1 - min(0.999, trust[p][x]) for p, j in edges if j == i) for x in range(4)]
+                score[i] = tuple(v if v >= pii.MIN_SCORE else 0.0 for v in t)
+        now = [sum(score[i][x] > 0 for i in own if not any(own[i])) for x in range(4)]
+        if now == before:
+            break
+        before = now
+    return {i: s.index(max(s)) for i, s in score.items() if not any(own[i]) and max(s) >= pii.MIN_SCORE}
+
+
+def test_pii_graph_scores_are_the_plain_ones(spark):
+    r, found = random.Random(11), 0
+    for _ in range(4):
+        kinds = {f"i{k}": r.choice([(1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (0, 0, 0, 0), (0, 0, 0, 0)]) for k in range(400)}
+        favourite = {f"p{k}": r.randrange(4) for k in range(12)}
+        edges = {}
+        for p, x in favourite.items():
+            for i, k in kinds.items():
+                if r.random() < (0.5 if k[x] else 0.1 if not any(k) else 0.01):
+                    edges[p, i] = k
+        rows = [(p, i, *k) for (p, i), k in edges.items()]
+        got = {x["instance"]: x["new_kind"] for x in pii.score_graph(spark.createDataFrame(rows, "pattern string, instance string, k0 int, k1 int, k2 int, k3 int")).collect()}
+        assert got == plain_scores(edges)
+        found += len(got)
+    assert found
+
+
+def test_pii_words_before_anything_tell_nothing(spark):
+    """A word before all kinds of numbers, and one before few known ones among many unknown."""
+    r = random.Random(1)
+    seeds = ["+1 555 010 {:04}", "10.0.{}.7", "4111 1111 1111 1111"]
+    rows = [(k, f"then it was {seeds[k % 2].format(r.randrange(200))} there") for k in range(200)]
+    rows += [(1000 + k, f"then it was {k + 10_000} there") for k in range(50)]
+    rows += [(2000 + k, f"since about +1 555 020 {k:04}") for k in range(40)] + [(3000 + k, f"since about {k + 20_000}") for k in range(400)]
+    assert all(x["n_discovered"] == 0 for x in pii.report(table(spark, rows)).collect())
+
+
 def test_pii_redact_keeps_columns(spark, docs):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.count() == docs.count()

@@ -7,12 +7,16 @@
    and right word, each with the token's shape).  Edges are counted once per
    distinct (pattern, instance) before anything else is done with them, so a
    pattern or an instance that holds a third of all mentions stays small.
-3. Spark scores the graph for ``ROUNDS`` rounds.  The reliability of a pattern
-   for a kind is the summed score of its instances of that kind over all its
-   instances (smoothed); it counts once ``MIN_SEEDS`` different seeds support
-   it and it reaches ``MIN_SCORE``; unknown instances count against it, so a
-   context of which over a fifth is unknown gives nothing.  The score of an instance is the noisy-or
-   of its patterns' reliabilities; a seed keeps 1.
+3. Spark scores the graph round by round until the kinds stop changing.  What a
+   pattern says for a kind is the pointwise mutual information of both over its
+   scored instances, as a share of the most it could be: 1 where all are of the
+   kind, 0 where the kind is as frequent as among all seeds.  Instances of other
+   kinds count against it, unknown ones do not.  A pattern counts once it
+   reaches ``MIN_SCORE``, ``MIN_SEEDS`` different seeds support it, that is more
+   than the number of patterns would bring about by chance (``CHANCE``), and at
+   least ``MIN_KNOWN`` of its instances have a score: a word that stands before
+   all kinds of numbers tells nothing.  The score of an instance is the noisy-or
+   of its patterns; a seed keeps 1.
 4. Mentions whose instance reaches ``MIN_SCORE`` become spans of that kind,
    beside the base spans, which all stay.
 
@@ -24,6 +28,7 @@ table gives an empty result.  Offsets are code points, end exclusive.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -36,9 +41,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import SLICE_ROWS, id_field, map_rows, materialize, small_batches, struct
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: Rounds at most; few are needed, as each one adds what the patterns of the last one found.
+ROUNDS = 8
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
+MIN_KNOWN = 0.25
+#: Patterns that may pass by chance, of all that have seeds; and the most frequent that a kind counts as.
+CHANCE, MOST_FREQUENT = 1e-3, 0.5
 #: Instances and context words longer than this are named by a digest.
 LONG = 64
 
@@ -105,7 +114,7 @@ def render(spans) -> str:
 
 
 def _shape(token: str) -> str:
-    return "mail" if "@" in token else "number" if not re.search("[A-Za-z]", token) else "name"
+    return ("mail" if re.fullmatch("[^@]*[A-Za-z0-9][^@]*@[^@]*[A-Za-z0-9][^@]*", token) else "at") if "@" in token else "number" if not re.search("[A-Za-z]", token) else "name"
 
 
 def _named(word: str) -> str:
@@ -224,13 +233,22 @@ def score_graph(edges: DataFrame) -> DataFrame:
     instances that are no seeds and reach MIN_SCORE.
     """
     n = range(len(KINDS))
+    seed = F.greatest(*(F.col(f"k{k}") for k in n)) > 0
+    all_of = edges.agg(F.count_distinct(F.when(seed, F.col("pattern"))), *(F.coalesce(F.sum(f"k{k}"), F.lit(0)) for k in n)).first()
+    patterns_met, seeds = all_of[0], [all_of[1 + k] for k in n]
+    share = [min(MOST_FREQUENT, x / max(1, sum(seeds))) or MOST_FREQUENT for x in seeds]
+    enough = math.log(max(1, patterns_met) / CHANCE)
     # Instances that are seeds keep their kind; all others start at 0.
     edges = edges.withColumns({f"s{k}": F.col(f"k{k}").cast("double") for k in n})
-    seed = F.greatest(*(F.col(f"k{k}") for k in n)) > 0
-    scores = None
+    scores = before = None
     for _ in range(ROUNDS):
         patterns = edges.groupBy("pattern").agg(F.count("*").alias("n"), *(F.sum(f"k{k}").alias(f"seeds{k}") for k in n), *(F.sum(f"s{k}").alias(f"sum{k}") for k in n))
-        trust = {f"r{k}": F.when(F.col(f"seeds{k}") >= MIN_SEEDS, F.col(f"sum{k}") / (F.col("n") + 1)).otherwise(0.0) for k in n}
+        scored = sum((F.col(f"sum{k}") for k in n), F.lit(0.0))
+        trust = {}
+        for k in n:
+            information = F.log(F.col(f"sum{k}") / scored / share[k])
+            told = (F.col(f"seeds{k}") >= MIN_SEEDS) & (scored >= MIN_KNOWN * F.col("n")) & (F.col(f"seeds{k}") * information >= enough)
+            trust[f"r{k}"] = F.when(told, F.least(information / -math.log(share[k]), F.lit(1.0))).otherwise(0.0)
         good = patterns.select("pattern", *(v.alias(c) for c, v in trust.items())).filter(F.greatest(*(F.col(f"r{k}") for k in n)) >= MIN_SCORE)
         known = edges.drop(*(f"s{k}" for k in n)).join(good, "pattern", "left")
         scores = materialize(
@@ -241,6 +259,10 @@ def score_graph(edges: DataFrame) -> DataFrame:
             ).select("instance", "seed", *(F.when(F.col("seed"), F.col(f"was{k}").cast("double")).when(F.col(f"t{k}") >= MIN_SCORE, F.col(f"t{k}")).otherwise(0.0).alias(f"s{k}") for k in n)),
             "instances",
         )
+        now = scores.filter(~F.col("seed")).agg(*(F.count_if(F.col(f"s{k}") > 0) for k in n)).first()
+        if now == before:
+            break
+        before = now
         edges = edges.drop(*(f"s{k}" for k in n)).join(scores.drop("seed"), "instance")
     best = F.greatest(*(F.col(f"s{k}") for k in n))
     kind = F.lit(None).cast("int")
