@@ -3,7 +3,7 @@
 import pytest
 from conftest import DATA, same_rows
 
-from tracklode.plans import catalog, composites, reports  # noqa: F401
+from tracklode.plans import catalog, composites, durable, reports  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

@@ -58,7 +58,11 @@ def steps(events: DataFrame) -> DataFrame:
     finish = F.when((kind == "search_finish") & F.col("open"), F.struct(F.col("seq").alias("finish_seq"), F.sha2(F.coalesce(field("result_snapshot"), F.lit("")), 256).alias("search_result_sha256")))
     close = F.when((kind == "tool_response_appended") & F.col("open"), F.struct(F.col("seq").alias("end_seq"), F.coalesce(field("tool_response"), F.lit("")).alias("observation"), F.from_json(field("messages_snapshot"), MESSAGES).alias("messages")))
     islands = e.groupBy("trajectory_id", "round_idx", "island").agg(F.max_by(start, F.when(start.isNotNull(), F.col("seq"))).alias("s"), F.max_by(finish, F.when(finish.isNotNull(), F.col("seq"))).alias("f"), F.max_by(close, F.when(close.isNotNull(), F.col("seq"))).alias("c"))
-    done = islands.filter("s IS NOT NULL AND c IS NOT NULL").select("trajectory_id", "round_idx", "s.*", "f.*", "c.*")
+    return described(islands.filter("s IS NOT NULL AND c IS NOT NULL").select("trajectory_id", "round_idx", "s.*", "f.*", "c.*"))
+
+
+def described(done: DataFrame) -> DataFrame:
+    """Steps with their numbers, hashes and checks, from searches with their responses and observations."""
     reasoning, content = F.coalesce("response.reasoning", F.lit("")), F.coalesce("response.content", F.lit(""))
     last = lambda k: F.try_element_at("messages", F.lit(-k))
     together = (F.size("messages") >= 2) & (last(2)["role"] == "assistant") & (last(1)["role"] == "user") & F.contains(F.coalesce(last(1)["content"], F.lit("")), F.col("observation"))
@@ -115,14 +119,18 @@ def reconstruct(events: DataFrame, results: DataFrame) -> DataFrame:
     start and one finish has these codes alone and no candidate.
     """
     kind = F.col("event_type")
-    made = steps(events)
-    packed = made.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("step_index", *[c for c in made.columns if c not in ("trajectory_id", "step_index")]))).alias("steps"), F.count("*").alias("__n"), F.sum(F.size("queries")).alias("__q"))  # one trajectory's rounds
     ends = events.groupBy("trajectory_id").agg(
         F.from_json(F.max_by(F.when(kind == "trajectory_start", field("messages_snapshot")), F.when(kind == "trajectory_start", F.col("seq"))), MESSAGES).alias("initial_messages"),
         F.min_by(F.when(kind == "trajectory_finish", field("answer")), F.when(kind == "trajectory_finish", F.col("seq"))).alias("__answer"),
         F.max_by(F.struct(F.coalesce(field("reasoning_content"), F.lit("")).alias("r"), F.coalesce(field("content"), F.lit("")).alias("c")), F.when(kind == "round_response", F.col("seq"))).alias("__last"),
     )
-    codes = errors(events).groupBy("trajectory_id").agg(F.array_sort(F.collect_set("code")).alias("__codes"))
+    return assemble(results, steps(events), ends, errors(events))
+
+
+def assemble(results: DataFrame, made: DataFrame, ends: DataFrame, codes: DataFrame) -> DataFrame:
+    """Candidates of results from steps, what the log's ends say, and distinct codes of failures."""
+    packed = made.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("step_index", *[c for c in made.columns if c not in ("trajectory_id", "step_index")]))).alias("steps"), F.count("*").alias("__n"), F.sum(F.size("queries")).alias("__q"))  # one trajectory's rounds
+    codes = codes.groupBy("trajectory_id").agg(F.array_sort(F.collect_set("code")).alias("__codes"))
     r = results.join(ends, "trajectory_id", "left").join(packed, "trajectory_id", "left").join(codes, "trajectory_id", "left")
     none = F.array().cast("array<string>")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

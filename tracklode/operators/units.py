@@ -99,6 +99,47 @@ def audit_summary(audited: DataFrame) -> DataFrame:
     return audited.agg(F.count("*").alias("units"), F.count_distinct("unit_id").alias("unique_unit_ids"), F.count_distinct("trajectory_id").alias("unique_trajectories"), F.count_distinct("trajectory_id", "action_idx").alias("unique_actions"), *map(has, codes), F.coalesce(F.bool_and("pass"), F.lit(True)).alias("all_pass"))
 
 
+def intent_prompt() -> Column:
+    """What the intent channel sees of a unit: everything up to the search, and nothing of its result."""
+    golden = F.to_json("golden_answers")
+    reasoning = F.coalesce(F.nullif("current_action_reasoning", F.lit("")), F.lit("(none recorded)"))
+    return F.concat(
+        F.lit("Was the query a reasonable search for the question at this point? Nothing is known of what it found.\nReply with <intent>, <intent_failure_type> and <explanation>.\n\n"),
+        *(F.concat(F.lit(f"{title}:\n"), c, F.lit("\n\n")) for title, c in (("QUESTION", F.col("question")), ("GOLDEN ANSWER", golden), ("HISTORY BEFORE THIS ACTION", F.col("history")), ("CURRENT ACTION REASONING", reasoning))),
+        F.lit("CURRENT EXECUTED QUERY:\n"), F.col("current_executed_query"), F.lit("\n"),
+    )
+
+
+def retrieval_prompt() -> Column:
+    """What the retrieval channel sees of a unit: the query and its own result alone."""
+    return F.concat(
+        F.lit("Does the result give what the query asks for? Nothing else is known.\nReply with <retrieval>, <retrieval_failure_type> and <explanation>.\n\n"),
+        F.lit("CURRENT EXECUTED QUERY:\n"), F.col("current_executed_query"), F.lit("\n\n"), F.lit(RESULT_MARK), F.col("current_query_result"), F.lit("\n"),
+    )
+
+
+def channel_requests(units: DataFrame, version: str = "v3") -> DataFrame:
+    """Two rows a unit: its keys, ``channel``, that channel's ``prompt`` and the ``cache_key`` of its reply."""
+    each = F.array(F.struct(F.lit("intent").alias("channel"), intent_prompt().alias("prompt")), F.struct(F.lit("retrieval").alias("channel"), retrieval_prompt().alias("prompt")))
+    asked = units.select("unit_id", "trajectory_id", "action_idx", "query_idx", F.explode(each).alias("r")).select("*", "r.*").drop("r")
+    return asked.withColumn("cache_key", ledger_key(F.lit(version), "channel", "unit_id", F.sha2("prompt", 256)))
+
+
+def judge_through(units: DataFrame, client, ledger_path: str, version: str = "v3", secret: str | None = None) -> DataFrame:
+    """Scores of both channels of each unit, through a ledger in which every reply is written before it is used.
+
+    ``client(requests)`` takes rows with ``channel`` and ``prompt`` and returns
+    replies in order.  What the ledger holds is not asked again, neither by a
+    later run nor by a repeated task (``sources.ledger``).
+    """
+    from ..sources import ledger
+
+    requests = channel_requests(units, version)
+    ledger.ask(requests.select("cache_key", "channel", "prompt"), ledger_path, client, secret=secret)
+    replies = requests.join(ledger.entries(units.sparkSession, ledger_path), "cache_key", "left")
+    return scored(replies)
+
+
 def judge(units: DataFrame, client, cache: DataFrame | None = None, version: str = "v3") -> DataFrame:
     """Scores of both channels of each unit.
 
@@ -125,7 +166,11 @@ def judge(units: DataFrame, client, cache: DataFrame | None = None, version: str
                 out.append(own.assign(reply=client(channel, own["prompt"].tolist()) if len(own) else []))
             yield pd.concat(out)
 
-    replies = hits.unionByName(misses.mapInPandas(ask, misses.selectExpr("*", "cast(null as string) reply").schema).select(*hits.columns))
+    return scored(hits.unionByName(misses.mapInPandas(ask, misses.selectExpr("*", "cast(null as string) reply").schema).select(*hits.columns)))
+
+
+def scored(replies: DataFrame) -> DataFrame:
+    """Structs of both channels and ``process_score`` of each unit, from one reply a unit and channel."""
     read = replies.withColumn("result", F.when(F.col("channel") == "intent", judge_reply("intent", "reply")).otherwise(judge_reply("retrieval", "reply")))
     keys = ["unit_id", "trajectory_id", "action_idx", "query_idx"]
     pick = lambda c: F.max(F.when(F.col("channel") == c, F.col("result"))).alias(c)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GUARD = "key string, seq long, duplicate_query boolean, duplicate_observation boolean, stagnant_steps long, terminate_suggested boolean"
@@ -39,11 +40,12 @@ def sessions(events: DataFrame, key: str, gap: str = "6 hours", ts: str = "ts")
     return events.groupBy(w, key).agg(F.count("*").alias("n_events")).select(key, F.col("session_window.start").alias("session_start"), "n_events")
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, folder: str, mode: str = "append", store: str | None = None) -> DataFrame:
     """Run a stream over what is there now and return its result, a table in ``folder`` beside the stream's state.
 
     Each batch has its own folder and overwrites it when it is repeated; in
-    complete mode the last batch is the result.
+    complete mode the last batch is the result.  ``store`` is the state store
+    that the stream needs, if not the session's.
     """
     spark, out = stream.sparkSession, f"{folder}/result"
     spark.createDataFrame([], stream.schema).write.parquet(f"{out}/{BATCH}=-1")  # a stream without rows has no batch
@@ -51,8 +53,18 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
-    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if store:
+        spark.conf.set(key, store)
+    try:
+        q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if store and before is not None:
+            spark.conf.set(key, before)
+        elif store:
+            spark.conf.unset(key)
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField(BATCH, T.LongType())])).parquet(out)
     if mode == "complete":
         rows = rows.filter(F.col(BATCH) == rows.agg(F.max(BATCH)).first()[0])
@@ -91,8 +103,45 @@ def guard(steps: DataFrame, silent_ms: int = 30 * 86_400_000) -> DataFrame:
     return steps.groupBy("key").applyInPandasWithState(run, GUARD, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def exactly_once(rows: DataFrame, path: str, key: str, checkpoint: str, fault: Callable[[int], None] = lambda batch_id: None) -> StreamingQuery:
+    """A running stream that writes each key once to ``path``, also when it dies at any point and is started again.
+
+    Keys that were met before are in the stream's state store, which costs a
+    batch what its own rows cost, whatever came before.  A batch is written to
+    its own folder and then committed by a file; a batch that dies in between
+    is repeated by Spark with the same rows and the same state, overwrites its
+    folder and is committed then.  ``committed`` reads committed batches alone.
+    ``fault`` is called between write and commit, for tests.
+    """
+    spark = rows.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{BATCH}={batch_id}")
+        fault(batch_id)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/commits/{batch_id}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True).close()
+
+    return rows.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def committed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of the committed batches of ``exactly_once``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return spark.createDataFrame([], schema)
+    done = [int(x.getPath().getName()) for x in fs.listStatus(where)]  # one name a batch
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])).parquet(f"{path}/rows")
+    return rows.filter(F.col(BATCH).isin(done)).drop(BATCH)
+
+
 def append_once(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that writes each key once, also when a batch is repeated after a failure."""
+    """A ``foreachBatch`` sink that writes each key once, also when a batch is repeated after a failure.
+
+    It compares each batch with all commits, and so needs no state of the
+    stream: for logs that are small or that a new checkpoint reads anew.  Where
+    the log grows, ``exactly_once`` costs a batch its own rows alone.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
