@@ -49,9 +49,15 @@ def range_bucket(x, buckets=ROUND_BUCKETS) -> Column:
     return out
 
 
-def quantile_bucket(df: DataFrame, x: str, out: str = "bucket") -> DataFrame:
-    """``df`` with the quantile range of ``x``: up to p50, then half-open ranges, then above p99."""
-    cuts = df.agg(F.percentile(x, F.array(*map(F.lit, QUANTILES))).alias("__cuts"))  # one row
+def quantile_bucket(df: DataFrame, x: str, out: str = "bucket", cuts: DataFrame | None = None) -> DataFrame:
+    """``df`` with the quantile range of ``x``: up to p50, then half-open ranges, then above p99.
+
+    ``cuts`` is one row with p50..p99, where they are known already (``quantiles.exact_quantiles``).
+    """
+    if cuts is None:
+        cuts = df.agg(F.percentile(x, F.array(*map(F.lit, QUANTILES))).alias("__cuts"))  # one row
+    else:
+        cuts = cuts.select(F.array(*(F.col(f"p{round(100 * q)}") for q in QUANTILES)).alias("__cuts"))
     names = ["<=p50", "p50-p75", "p75-p90", "p90-p95", "p95-p99", ">p99"]
     joined = df.crossJoin(F.broadcast(cuts))
     name = F.lit(names[-1])

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import protocol
-from ..operators import trajectories, units
+from ..operators import profiles, quantiles, trajectories, units
+from ..sources import files
 from ..sources.shared import fresh_path
 from ..streaming import ordered, reconstruction, streams
 from . import composites, reports
-from .catalog import SQL, pilot_units, query, t
+from .catalog import SQL, pilot_units, query, results, rounded, t
 
 EPOCH = "timestamp_micros(1704067200000000L)"
 
@@ -128,3 +129,43 @@ def stream_exactly_once(spark: SparkSession, d: str) -> DataFrame:
         pass
     streams.exactly_once(stream, path, "event_id", checkpoint).awaitTermination()
     return streams.committed(spark, path, stream.schema)
+
+
+@query(SQL["distribution_summary"])
+def distribution_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The distribution by exact selection, without a buffer of a group's values."""
+    shares = {f"p{round(100 * q)}": q for q in profiles.QUANTILES}
+    return rounded(quantiles.exact_quantiles(t(spark, d, "documents"), ["lang"], "n_chars", shares))
+
+
+@query(SQL["quantile_bucket_profile"])
+def quantile_bucket_selected(spark: SparkSession, d: str) -> DataFrame:
+    """Token ranges between selected quantiles."""
+    r = results(spark, d)
+    cuts = quantiles.exact_quantiles(r, [], "total_tokens", {f"p{round(100 * q)}": q for q in profiles.QUANTILES})
+    return rounded(profiles.group_profile(profiles.quantile_bucket(r, "total_tokens", cuts=cuts), "bucket"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(min(l_extendedprice), 6) AS min, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.01), 6) AS p1, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999, round(max(l_extendedprice), 6) AS max FROM lineitem GROUP BY ALL")
+def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of all line items by two columns, in small bins, so that several passes are made."""
+    found = quantiles.exact_quantiles(t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p1": 0.01, "p50": 0.5, "p999": 0.999}, bins=16, few=64)
+    return rounded(found.withColumn("mean", F.round("mean", 4)))
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_type, event_id::VARCHAR AS payload FROM events")
+def event_files_in_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Event files read in splits of 512 bytes: the places of their lines do not depend on where a file is cut."""
+    path = fresh_path(spark, "events")
+    e = t(spark, d, "events").select("user_id", "ts", "event_id", "event_type", F.col("user_id").cast("string").alias("trajectory_id"), F.struct("event_id").alias("payload"))
+    e.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").drop("ts", "event_id").write.partitionBy("user_id").json(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "512")
+    try:
+        rows = files.read_event_files(spark, path).select(F.col("trajectory_id").cast("bigint").alias("user_id"), "seq", "event_type", F.get_json_object("payload", "$.event_id").alias("payload"))
+        out = fresh_path(spark, "numbered")  # splits are made when a result is computed
+        rows.write.parquet(out)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(rows.schema).parquet(out)

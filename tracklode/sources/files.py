@@ -7,6 +7,7 @@ import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.expect import ExpectationError, require_rows
@@ -14,16 +15,36 @@ from ..operators.selection import ranked
 from ..operators.trajectories import messages
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line, path, number`` (from 1, blank lines count) and ``cut_off`` of every line, of files in any number of splits.
+
+    Each split's lines are counted, and running sums of the counts over a
+    file's splits give each split its first number, so no file is read as one
+    value; the files are read twice.  A file's last line is cut off if its
+    bytes are one less than those of its lines with their ends.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("id")
+    )
+    splits = rows.groupBy("path", "block", "size").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"))
+    file = W.partitionBy("path")  # one row a split
+    before = F.coalesce(F.sum("n").over(file.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("path", "block", (before - F.col("first") + 1).alias("shift"), F.sum("n").over(file).alias("last"), (F.sum("bytes").over(file) == F.col("size") + 1).alias("open"))
+    numbered = rows.drop("size").join(splits, ["path", "block"]).withColumn("number", F.col("id") + F.col("shift"))
+    return numbered.select("line", "path", "number", (F.col("open") & (F.col("number") == F.col("last"))).alias("cut_off"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line, path`` of every line that is not blank."""
     return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path")).filter(F.trim("line") != "")
 
 
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines; a line that is no JSON object raises with its file."""
-    lines = read_lines(spark, path)
+    """Rows of JSON lines; a line that is no JSON object raises with its ``path:line``."""
+    lines = numbered_lines(spark, path).filter(F.trim("line") != "")
     ok = F.ltrim("line").startswith("{") & F.try_parse_json("line").isNotNull()
-    text = F.when(ok, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("path"), F.lit(": "), F.left("line", F.lit(80)))).cast("string"))
+    where = F.concat(F.col("path"), F.lit(":"), F.col("number").cast("string"))
+    text = F.when(ok, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object at "), where, F.lit(": "), F.left("line", F.lit(80)))).cast("string"))
     return lines.select(F.from_json(text, schema).alias("r")).select("r.*")
 
 
@@ -39,15 +60,10 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_event_files(spark: SparkSession, path: str) -> DataFrame:
-    """All event files at once: ``file, seq`` and the event's fields; ``seq`` is the place in the file.
-
-    A file is read as one value to number its lines; event files hold one
-    trajectory each.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("seq", "line")).filter(F.trim("line") != "")
+    """All event files at once: ``file, seq`` and the event's fields; ``seq`` is the place in the file, from 0."""
+    lines = numbered_lines(spark, path).filter(F.trim("line") != "")
     fields = ("event_type", "trajectory_id", "question_id", "payload")
-    return lines.select("file", F.col("seq").cast("bigint").alias("seq"), *(F.get_json_object("line", f"$.{c}").alias(c) for c in fields), F.get_json_object("line", "$.timestamp").try_cast("double").alias("timestamp"))
+    return lines.select(F.col("path").alias("file"), (F.col("number") - 1).alias("seq"), *(F.get_json_object("line", f"$.{c}").alias(c) for c in fields), F.get_json_object("line", "$.timestamp").try_cast("double").alias("timestamp"))
 
 
 def config(text: str, env: dict[str, str] | None = None) -> dict:
