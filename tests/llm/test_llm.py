@@ -591,8 +591,48 @@ def repeated(corpus, n):
     return out
 
 
+def repeated_lines(corpus):
+    """Likewise the places of words in real lines of LEAST or more words that stood before."""
+    docs = sorted({(i is not None, i or 0, t) for i, t in corpus if t is not None}, key=lambda d: d[:2])
+    seen, out = set(), {}
+    for key in docs:
+        covered, at = set(), 0
+        for line in key[2].encode().split(b"\n"):
+            words = tuple(line.split())
+            if len(words) >= lines.LEAST:
+                if words in seen:
+                    covered |= set(range(at, at + len(words)))
+                seen.add(words)
+            at += len(words)
+        out[key] = covered
+    return out
+
+
+def test_lines_real_lines_go_and_nothing_else(spark):
+    """Without long runs the result is the exact rule: later copies of lines of LEAST or more words go, with their ends."""
+    r = random.Random(6)
+    pool = [" ".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    rows = [(k, "\n".join(r.choice(pool) for _ in range(r.randint(0, 4)))) for k in range(300)]
+    rows += [(None, pool[0]), (None, None), (7, "x y z\n\nx  y\tz\nu v"), rows[3], rows[3], (400, "  x y z  \nend")]
+    gone, want = repeated_lines(rows), Counter()
+    for i, t in rows:
+        if t is None:
+            want[i, None] += 1
+            continue
+        away, kept, at, total = gone[i is not None, i or 0, t], [], 0, len(t.split())
+        for line in t.split("\n"):
+            n = len(line.split())
+            around = [k in away for k in (at - 1, at) if 0 <= k < total]
+            if not (n and at in away) and not (not n and around and all(around)):
+                kept.append(line)
+            at += n
+        want[i, "\n".join(kept)] += 1
+    assert Counter((x["doc_id"], x["text"]) for x in lines.dedup(table(spark, rows)).collect()) == want
+    assert sum(map(len, gone.values())) > 100
+
+
 def test_lines_equal_brute_force(spark, corpus):
-    """All that stands in repeated runs of 50 words goes, and nothing outside of repeated runs of NOISE words."""
+    """All that stands in repeated lines or in repeated runs of 50 words goes, and nothing outside of repeated lines and of repeated runs of NOISE words."""
     r = random.Random(5)
     line = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(7)) for _ in range(n))
     passage, long = [line(12) for _ in range(6)], line(60)
@@ -606,7 +646,8 @@ def test_lines_equal_brute_force(spark, corpus):
     got = lines.dedup(table(spark, rows))
     assert got.columns == table(spark, []).columns
     found = {(d["doc_id"], d["text"]) for d in got.collect()}
-    must, may = repeated(rows, lines.NOISE + lines.WINDOW - 1), repeated(rows, lines.NOISE)
+    must, may, whole = repeated(rows, lines.NOISE + lines.WINDOW - 1), repeated(rows, lines.NOISE), repeated_lines(rows)
+    must, may = ({k: x[k] | whole[k] for k in x} for x in (must, may))
     texts = {}
     for i, t in found:
         texts.setdefault(i, []).append(t)

@@ -1,20 +1,24 @@
 """Operator 9: line dedup by winnowing over line hashes.
 
-Passages that repeat seldom fill whole lines: of the benchmark passages in the
-fixture documents nearly all begin and end inside one.  So lines are hashed as
-if the text were wrapped anew at every word: the line of a word is the run of
-``NOISE`` words from it on, whatever line ends stand between.  Of each
-``WINDOW`` such lines in a row the one with the least hash is a fingerprint,
-and a document with fewer of them still has one.  So:
-
-- every run of ``NOISE + WINDOW - 1`` = 50 or more words that stood in the
-  corpus before shares a fingerprint with an earlier place and is found;
-- nothing with fewer than ``NOISE`` words in a row is ever removed.
+Lines are hashed in two ways.  A real line of ``LEAST`` or more words is a
+fingerprint of its own, so every line that stood before goes, however short the
+run that it is in.  But passages that repeat seldom fill whole lines: of the
+benchmark passages in the fixture documents nearly all begin and end inside
+one.  So the text is also taken as if it were wrapped anew at every word: the
+line of a word is the run of ``NOISE`` words from it on, whatever line ends
+stand between.  Of each ``WINDOW`` such lines in a row the one with the least
+hash is a fingerprint, and a document with fewer of them still has one.  So:
+
+- every line of ``LEAST`` or more words that stood in the corpus before goes;
+- every run of ``NOISE + WINDOW - 1`` = 50 or more words that stood before
+  shares a fingerprint with an earlier place and is found;
+- of other text, nothing with fewer than ``NOISE`` words in a row is removed.
 
 Positions are joined with the first occurrence of their line (a grouped
 minimum, so a passage in a third of all documents makes one row per document
 and fingerprint, never pairs).  Fingerprints that touch make one match, which
-is extended both ways word by word: less than ``WINDOW`` words to either side
+is extended both ways word by word (real lines need no more than the lines
+beside them, which are fingerprints too): less than ``WINDOW`` words to either side
 can be missing, as there would be another fingerprint beyond them, so only so
 many words of context are fetched.  Where the line of an outer fingerprint
 recurs in its first document, these few words may stay.
@@ -45,6 +49,8 @@ from pyspark.sql import types as T
 from .common import SLICE_ROWS, arrow_schema, map_rows, materialize, release, small_batches, struct
 
 NOISE, WINDOW = 26, 25
+#: Words of a real line that is a fingerprint.
+LEAST = 3
 #: Bytes that are hashed at a time.
 STEP = 1 << 18
 BLANKS = " \t\n\v\f\r"
@@ -147,6 +153,19 @@ def fingerprints(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return hashes[places], places
 
 
+def real_lines(raw: bytes, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word and number of words of each line of LEAST or more words."""
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), starts)
+    edges = np.flatnonzero(np.diff(line, prepend=-1, append=-1)) if len(line) else np.zeros(1, np.int64)
+    first, after = edges[:-1], edges[1:]
+    up, down = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    long = after - first >= LEAST
+    first, n = first[long], (after - first)[long]
+    return mix((total[first + n] - total[first]) * down[first] + n.astype(np.uint64)), first, n
+
+
 def thinned(equal: np.ndarray) -> np.ndarray:
     """Of places with one hash the first two, the last, and so many between that their lines touch."""
     if len(equal) < 4:
@@ -159,18 +178,23 @@ def thinned(equal: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """``id, text_hash, words, prints`` of each row with a text; words are 32 bits of their hashes."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *struct(("text_hash", "bigint"), ("words", "array<int>"), ("prints", "array<struct<gram:bigint,pos:int>>"))])
+    """``id, text_hash, words, prints`` of each row with a text; words are 32 bits of their hashes, and ``n`` is a real line's number of words, else 0."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *struct(("text_hash", "bigint"), ("words", "array<int>"), ("prints", "array<struct<gram:bigint,pos:int,n:int>>"))])
     kinds = arrow_schema(schema)
 
     def make():
         def f(cols):
             raw = [t.encode("utf-8", "surrogatepass") for t in cols["__text"]]
-            words, starts = word_hashes(b"\n".join(raw))
+            joined = b"\n".join(raw)
+            words, starts = word_hashes(joined)
             upto = np.r_[0, np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))]
             grams, places = fingerprints(words, np.diff(upto))
+            own, first, sizes = real_lines(joined, words, starts)
+            grams, places, sizes = np.r_[grams, own], np.r_[places, first], np.r_[np.zeros(len(places), np.int64), sizes]
+            order = np.argsort(places, kind="stable")
+            grams, places, sizes = grams[order], places[order], sizes[order]
             owner = np.searchsorted(upto, places, "right") - 1
-            pair = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), pa.array((places - upto[owner]).astype(np.int32))], fields=list(kinds.field("prints").type.value_type))
+            pair = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), pa.array((places - upto[owner]).astype(np.int32)), pa.array(sizes.astype(np.int32))], fields=list(kinds.field("prints").type.value_type))
             lists = lambda borders, values: pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), values)
             return {"id": cols["id"], "text_hash": cols["text_hash"], "words": lists(upto, pa.array(words.astype(np.uint32).view(np.int32))), "prints": lists(np.searchsorted(places, upto), pair)}
 
@@ -230,7 +254,7 @@ def agree(x, y) -> F.Column:
 def deletions(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """``id, text_hash, gone``: ranges of words (from 0, end exclusive) to delete in documents that repeat earlier runs."""
     lines = materialize(scan(docs, text_col, id_col), "lines")
-    prints = lines.select("id", "text_hash", F.explode("prints").alias("p")).select("id", "text_hash", "p.gram", "p.pos")
+    prints = lines.select("id", "text_hash", F.explode("prints").alias("p")).select("id", "text_hash", "p.gram", "p.pos", "p.n")
     # Most lines stand once: a count finds the others before anything wider is moved.
     often = materialize(prints.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "often")
     prints = materialize(prints.join(often, "gram").withColumn("doc", F.xxhash64("id", "text_hash")), "prints")
@@ -238,23 +262,26 @@ def deletions(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     first = prints.groupBy("gram").agg(F.min(F.struct("id", "text_hash", "pos", "doc")).alias("first"))
     # Written first, so that the join stands between two exchanges, where a hot line can be split.
     first = materialize(first.select("gram", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), "firsts")
-    matches = prints.select("gram", "doc", "pos").join(first, "gram").filter("doc <> first_doc OR pos <> first_pos").select("doc", "pos", "first_doc", "first_pos").distinct()
-    matches = materialize(matches, "matches")
+    matches = prints.join(first, "gram").filter("doc <> first_doc OR pos <> first_pos").select("id", "text_hash", "doc", "pos", "n", "first_doc", "first_pos").distinct()
+    found_lines = materialize(matches, "matches")
+    matches = found_lines.filter("n = 0")
     release(prints, first)
 
     own = matches.groupBy("doc").agg(F.collect_list(F.struct("pos", "first_doc", "first_pos")).alias("own"))  # at most one document's fingerprints
     asked = matches.select(F.col("first_doc").alias("doc"), F.col("first_pos").alias("pos")).distinct().groupBy("doc").agg(F.collect_list("pos").alias("asked"))
     found = materialize(runs_and_contexts(lines.select("id", "text_hash", "words", F.xxhash64("id", "text_hash").alias("doc")).join(own.join(asked, "doc", "full_outer"), "doc")), "runs")
-    release(lines, matches)
+    release(lines)
 
     contexts = found.select("doc", F.explode("asked").alias("a")).groupBy("doc", "a.pos").agg(F.first("a.before").alias("b"), F.first("a.after").alias("f"))
     contexts = materialize(contexts, "contexts")
     side = lambda x, c: contexts.select(F.col("doc").alias(f"{x}_doc"), F.col("pos").alias(f"{x}_pos"), F.col(c).alias(x))
     runs = found.select("id", "text_hash", F.explode("runs").alias("r")).select("id", "text_hash", "r.*")
     runs = runs.join(side("left", "b"), ["left_doc", "left_pos"]).join(side("right", "f"), ["right_doc", "right_pos"])
-    whole = runs.select("id", "text_hash", (F.col("start") - agree("before", "left")).alias("start"), (F.col("end") + agree("after", "right")).alias("end")).distinct()
+    whole = runs.select("id", "text_hash", (F.col("start") - agree("before", "left")).alias("start"), (F.col("end") + agree("after", "right")).alias("end"))
+    real = found_lines.filter("n > 0").select("id", "text_hash", F.col("pos").alias("start"), (F.col("pos") + F.col("n")).alias("end"))
+    whole = whole.unionByName(real).distinct()
     gone = materialize(whole.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")), "gone")  # at most one document's runs
-    release(found, contexts)
+    release(found, contexts, found_lines)
     return gone
 
 
