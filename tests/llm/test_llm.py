@@ -258,29 +258,36 @@ def test_language_odd_rows(spark):
     assert language.accept(table(spark, rows, "doc_id long, text string, lang string")).filter("doc_id >= 500").select("doc_id").collect() == [Row(doc_id=502)]
 
 
-def test_language_equals_brute_force(spark):
-    """Naive Bayes by hand on a few rows, ties and more than 64 labels among them."""
+@pytest.mark.parametrize("block", [64, 7])
+def test_language_equals_brute_force(spark, monkeypatch, block):
+    """Naive Bayes by hand on a few rows, ties among them, with the labels in several blocks."""
+    monkeypatch.setattr(language, "BLOCK", block)
     rows = [(k, f"abc{chr(97 + k % 26)}{chr(97 + k // 26)} xyz", f"l{k:03}") for k in range(90)]
-    labels, model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert labels == sorted(r[2] for r in rows) and model.size <= language.CELLS
-    bits = language.bits_for(90)
-    counts = {r[2]: Counter(language.grams([r[1]], bits)[0].tolist()) for r in rows}
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    blocks = [model.block(k) for k in range(model.n_blocks)]
+    assert [x for labels, _ in blocks for x in labels] == sorted(r[2] for r in rows) and all(t.shape == (len(x), 1 << 16) and len(x) <= block for x, t in blocks)
+    counts = {r[2]: Counter(language.grams([r[1]])[0].tolist()) for r in rows}
 
     def by_hand(text):
-        grams = language.grams([text], bits)[0].tolist()
-        log = {x: sum(np.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * 2**bits)) for g in grams) * min(1, language.EVIDENCE / len(grams)) for x, c in counts.items()}
+        grams = language.grams([text])[0].tolist()
+        log = {x: sum(np.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * 2**16)) for g in grams) * min(1, language.EVIDENCE / len(grams)) for x, c in counts.items()}
         top = max(log.values())
         return {x: np.exp(v - top) for x, v in log.items()}
 
     texts = [r[1] for r in rows[:20]] + ["zzz", None, "12 !", rows[3][1] * 500]
-    names, scores = language.score(texts, labels, model)
-    for text, name, score in zip(texts, names, scores, strict=True):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in ("row", "label", "top", "kept", "score", "all")})
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, model).collect()}
+    for k, text in enumerate(texts):
+        name, score = found[k]
         if text is None or text == "12 !":
             assert (name, score) == ("und", 0.0)
         else:
             want = by_hand(text)
             assert want[name] > 0.999 * max(want.values()) and abs(score - want[name] / sum(want.values())) < 1e-3
     assert language.score(["q"], ["a", "b"], np.zeros((2, 1 << 16), np.float32))[0] == ["a"]
+    labelled = spark.createDataFrame([(i, t, "l000") for i, t in enumerate(texts)] + [(r[0] + 100, r[1], r[2]) for r in rows], "doc_id long, text string, lang string").withColumns({c: F.lit("x") for c in ("row", "all")})
+    kept = language.accept(labelled, 0.02)
+    assert kept.columns == labelled.columns and not kept.filter("text IS NULL OR text = '12 !'").count() and kept.count()
 
 
 def test_language_grams_by_hand():

@@ -4,22 +4,24 @@ Multinomial naive Bayes over hashed character n-grams (pairs and triples).
 Text is lower-cased and every run of non-letters becomes one mark, so that
 digits, symbols and markup carry no evidence.  The model is fitted on a
 bounded sample of labelled rows, about ``PER_LANGUAGE`` for each label, taken
-by a hash of id and text; whole texts are counted.  All labels are learned: its
-log-probability matrix has at most ``CELLS`` cells (16 MB), as more than 64
-labels share fewer buckets each.  It is broadcast, and each batch of texts is
-scored with numpy gathers and sums per text.  Long texts are scored whole.
+by a hash of id and text; whole texts are counted.  All labels are learned, with
+no prior: each is as likely as any other before the text is seen.  The
+log-probability matrix is kept in blocks of ``BLOCK`` labels (16 MB).  One block
+at a time is built from the counts, broadcast, and scored with numpy gathers and
+sums per text; the blocks' best labels and masses are put together by row.  So
+memory does not grow with the labels, while texts are read once a block.  Long
+texts are scored whole.
 
 Null text, or text without letters, gives ``und`` with score 0; so does every
 text if nothing is labelled.  Equal scores go to the label that sorts first.
 Rows with a null id or a null label are never learned from but still get a
 prediction.  Repeated rows are scored alike; an empty table gives an empty
-result.
+result.  ``accept`` passes other columns through whatever their names;
+``predict`` returns those it is asked to keep.
 """
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 import regex
@@ -27,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_field, map_rows, small_batches, struct
+from .common import id_field, map_rows, materialize, small_batches, struct
+from .ranks import ranked
 
 BITS = 16
-#: Languages x buckets of the matrix; beyond 64 languages the buckets become fewer, down to 2 ** MIN_BITS.
-CELLS, MIN_BITS = 1 << 22, 10
+#: Labels of one matrix.
+BLOCK = 64
 PER_LANGUAGE = 2_000
 #: Fineness of the sampling rate.
 SHARES = 1 << 40
@@ -43,11 +46,6 @@ BATCH_CHARS = 100_000
 _other = regex.compile(r"[^\p{L}\p{M}]+")
 
 
-def bits_for(n_labels: int) -> int:
-    """Bits of a bucket number, so that the matrix stays within CELLS."""
-    return max(MIN_BITS, min(BITS, (CELLS // max(1, n_labels)).bit_length() - 1))
-
-
 def grams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each n-gram of all texts one after the other, and how many n-grams each text has."""
     clean = [f" {x} " if (x := _other.sub(" ", t.lower()).strip()) else "" for t in texts]
@@ -71,64 +69,70 @@ def grams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return both[keep], counts
 
 
-def label_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int) -> tuple[DataFrame, int]:
-    """Rows to learn from, and how many labels there are: of each label the rows whose hash falls under per_language / rows of that label.
+class Model:
+    """Counts of buckets by label in a written table, and their matrices block by block."""
 
-    Only a count per label reaches the driver, and no row is shuffled.
-    """
-    labelled = docs.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    labelled = labelled.select(F.col(label_col).alias("__l"), F.col(text_col).alias("__text"), F.col(id_col).alias("__id"))
-    sizes = labelled.groupBy("__l").count().collect()  # one row a language
-    under = F.from_json(F.lit(json.dumps({label: min(SHARES, SHARES * per_language // n) for label, n in sizes})), "map<string,bigint>")
-    return labelled.filter(F.pmod(F.xxhash64("__id", "__text"), F.lit(SHARES)) < F.element_at(under, F.col("__l"))).select("__l", "__text"), len(sizes)
+    def __init__(self, counts: DataFrame, n_labels: int):
+        self.counts, self.n_blocks = counts, max(1, -(-n_labels // BLOCK))
+
+    def block(self, k: int) -> tuple[list[str], np.ndarray]:
+        """Labels of a block, sorted, and their (labels x buckets) log-probabilities with add-half smoothing."""
+        found = self.counts.filter(F.expr(f"rank div {BLOCK} = {k}")).select("label", "bucket", "n").toPandas()  # at most BLOCK x 2 ** BITS rows
+        labels = sorted(set(found["label"]))
+        place = {x: k for k, x in enumerate(labels)}
+        table = np.full((len(labels), 1 << BITS), 0.5)
+        table[[place[x] for x in found["label"]] if len(found) else [], found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
+        return labels, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Labels and the (labels x buckets) log-probabilities with add-half smoothing."""
-    schema = T.StructType([T.StructField("label", T.StringType()), *struct(("bucket", "int"), ("n", "bigint"))])
-    rows, n_labels = label_sample(docs, text_col, label_col, id_col, per_language)
-    bits = bits_for(n_labels)
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
+    """Learn from the rows of each label whose hash falls under per_language / rows of that label; only a count reaches the driver."""
+    labelled = docs.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    labels = ranked(labelled.groupBy("label").agg(F.count("*").alias("size")).withColumn("all", F.lit("")), "all", ["label"]).select("label", "size", "rank")
+    n_labels = labels.count()
+    under = F.expr(f"CAST(least({SHARES}, CAST({SHARES} AS DECIMAL(38)) * {per_language} div size) AS BIGINT)")
+    rows = labelled.join(labels, "label").filter(F.pmod(F.xxhash64("id", "text"), F.lit(SHARES)) < under).select("label", "rank", "text")
+    schema = struct(("label", "string"), ("rank", "bigint"), ("bucket", "int"), ("n", "bigint"))
 
     def make():
         def f(cols):
             out = {n: [] for n in schema.names}
-            by: dict[str, list[str]] = {}
-            for label, text in zip(cols["__l"], cols["__text"], strict=True):
-                by.setdefault(label, []).append(text)
-            for label, texts in by.items():
-                bucket, n = np.unique(grams(texts, bits)[0], return_counts=True)
+            by: dict[tuple, list[str]] = {}
+            for label, rank, text in zip(cols["label"], cols["rank"], cols["text"], strict=True):
+                by.setdefault((label, rank), []).append(text)
+            for (label, rank), texts in by.items():
+                bucket, n = np.unique(grams(texts)[0], return_counts=True)
                 out["label"] += [label] * len(bucket)
+                out["rank"] += [rank] * len(bucket)
                 out["bucket"] += bucket.tolist()
                 out["n"] += n.tolist()
             return out
 
         return f
 
-    counts = map_rows(rows, make, schema)
-    found = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
-    labels = sorted(set(found["label"]))
-    place = {x: k for k, x in enumerate(labels)}
-    table = np.full((len(labels), 1 << bits), 0.5)
-    table[[place[x] for x in found["label"]] if len(found) else [], found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
-    return labels, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    counts = map_rows(rows, make, schema).groupBy("label", "rank", "bucket").agg(F.sum("n").alias("n"))
+    return Model(materialize(counts, "counts"), n_labels)
 
 
-def score(texts: list[str | None], labels: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
-    bucket, counts = grams([t or "" for t in texts], table.shape[1].bit_length() - 1)
+def part_scores(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the best label's place (-1 without letters or labels), its scaled log-probability, and the mass of all labels beside it."""
+    bucket, counts = grams([t or "" for t in texts])
     some = np.flatnonzero(counts)
-    names, scores = ["und"] * len(texts), [0.0] * len(texts)
-    if not len(labels) or not len(some):
-        return names, scores
-    starts = (np.cumsum(counts) - counts)[some]
-    total = np.stack([np.add.reduceat(row[bucket], starts, dtype=np.float64) for row in table], 1)
-    total *= np.minimum(1.0, EVIDENCE / counts[some])[:, None]
-    total -= total.max(1, keepdims=True)
-    chance = np.exp(total)
-    chance /= chance.sum(1, keepdims=True)
-    best = total.argmax(1)
-    for i, k, p in zip(some.tolist(), best.tolist(), chance[np.arange(len(some)), best].tolist(), strict=True):
-        names[i], scores[i] = labels[k], p
-    return names, scores
+    best, top, mass = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
+    if len(table) and len(some):
+        starts = (np.cumsum(counts) - counts)[some]
+        total = np.stack([np.add.reduceat(row[bucket], starts, dtype=np.float64) for row in table], 1)
+        total *= np.minimum(1.0, EVIDENCE / counts[some])[:, None]
+        best[some], top[some] = total.argmax(1), total.max(1)
+        mass[some] = np.exp(total - total.max(1, keepdims=True)).sum(1)
+    return best, top, mass
+
+
+def score(texts: list[str | None], labels: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
+    """Labels and scores by one block."""
+    best, _, mass = part_scores(texts, table)
+    return [labels[k] if k >= 0 else "und" for k in best.tolist()], [1 / m if m else 0.0 for m in mass.tolist()]
 
 
 def by_size(texts: list[str | None]):
@@ -144,9 +148,11 @@ def by_size(texts: list[str | None]):
         yield part
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if model.n_blocks > 1:
+        return predict_in_blocks(docs, model, text_col, keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model.block(0))
     schema = T.StructType([*(id_field(docs, c) for c in keep), *struct(("lang_pred", "string"), ("score", "double"))])
 
     def make():
@@ -166,6 +172,40 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     return map_rows(docs.select(*keep, F.col(text_col).alias("__text")), make, schema)
 
 
+def predict_in_blocks(docs: DataFrame, model: Model, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The same with any number of labels: a pass over the texts for each block, and a grouped sum of what the passes found."""
+    rows = materialize(docs.select(F.struct(*keep).alias("kept"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+    schema = struct(("row", "bigint"), ("label", "string"), ("top", "double"), ("mass", "double"))
+    found = None
+    for k in range(model.n_blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(model.block(k))
+
+        def make(shared=shared):
+            labels, table = shared.value
+
+            def f(cols):
+                out = {n: [] for n in schema.names}
+                at = 0
+                for part in by_size(cols["text"]):
+                    for row, place, top, mass in zip(cols["row"][at : at + len(part)], *(x.tolist() for x in part_scores(part, table)), strict=True):
+                        if place >= 0:
+                            for n, v in zip(schema.names, (row, labels[place], top, mass), strict=True):
+                                out[n].append(v)
+                    at += len(part)
+                return out
+
+            return f
+
+        passed = materialize(map_rows(rows.select("row", "text"), make, schema), "passed")
+        shared.destroy()
+        found = passed if found is None else found.unionByName(passed)
+    best = found.groupBy("row").agg(F.max("top").alias("t"), F.min(F.struct((-F.col("top")).alias("t"), "label")).alias("b"), F.collect_list(F.struct("top", "mass")).alias("parts"))  # a row a block
+    mass = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["mass"] * F.exp(x["top"] - F.col("t")))
+    best = best.select("row", F.col("b.label").alias("label"), (1 / mass).alias("p"))
+    made = rows.select("row", "kept").join(best, "row", "left")
+    return made.select(*(F.col("kept").getField(c).alias(c) for c in keep), F.coalesce("label", F.lit("und")).alias("lang_pred"), F.coalesce("p", F.lit(0.0)).alias("score"))
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -182,7 +222,11 @@ def accept(docs: DataFrame, least: float = 0.5, text_col: str = "text", label_co
     Only the text goes to Python.  Texts without letters have score 0.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out(id_col)), text_col, label_col, id_col))
+    model = fit(docs.filter(~held_out(id_col)), text_col, label_col, id_col)
+    if model.n_blocks > 1:
+        packed = docs.select(F.struct(*docs.columns).alias("all"), F.col(text_col).alias("text"))
+        return predict_in_blocks(packed, model, "text", ("all",)).filter(F.col("score") >= least).select("all.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model.block(0))
 
     @F.pandas_udf("double")
     def certainty(texts: pd.Series) -> pd.Series:
