@@ -6,13 +6,13 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import protocol
-from ..operators import profiles, quantiles, trajectories, units
-from ..sources import files
+from ..functions import protocol, sql
+from ..operators import profiles, quantiles, trajectories, units, vectors
+from ..sources import files, flat, retriever
 from ..sources.shared import fresh_path
 from ..streaming import ordered, reconstruction, streams
 from . import composites, reports
-from .catalog import SQL, pilot_units, query, results, rounded, t
+from .catalog import NORM, SQL, pilot_units, query, results, rounded, t
 
 EPOCH = "timestamp_micros(1704067200000000L)"
 
@@ -169,3 +169,60 @@ def event_files_in_splits(spark: SparkSession, d: str) -> DataFrame:
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(rows.schema).parquet(out)
+
+
+@query(SQL["text_normalize"])
+def sql_normalize(spark: SparkSession, d: str) -> DataFrame:
+    """The registered function from ``spark.sql``, on whole documents."""
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, qa_normalize(text) AS norm FROM {docs}", docs=t(spark, d, "documents"))
+
+
+_PAIR = [NORM.format(f"coalesce({c}, '')") for c in "pg"]
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, text AS p, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations), w AS (SELECT conv_id, turn, {_PAIR[0]} AS pw, {_PAIR[1]} AS gw FROM p WHERE g IS NOT NULL),
+pt AS (SELECT conv_id, turn, x, count(*) AS c FROM (SELECT conv_id, turn, unnest(pw) AS x FROM w) GROUP BY ALL), gt AS (SELECT conv_id, turn, x, count(*) AS c FROM (SELECT conv_id, turn, unnest(gw) AS x FROM w) GROUP BY ALL),
+o AS (SELECT conv_id, turn, sum(least(pt.c, gt.c))::DOUBLE AS n FROM pt JOIN gt USING (conv_id, turn, x) GROUP BY ALL)
+SELECT conv_id, turn, (array_to_string(pw, ' ') = array_to_string(gw, ' '))::INT::DOUBLE AS em, round(CASE WHEN len(pw) = 0 AND len(gw) = 0 THEN 1.0 WHEN n IS NULL THEN 0.0 ELSE 2 * (n / len(pw)) * (n / len(gw)) / (n / len(pw) + n / len(gw)) END, 6)::DOUBLE AS f1 FROM w LEFT JOIN o USING (conv_id, turn)""")
+def sql_answer_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Turns scored against the turn after them by registered functions."""
+    sql.register(spark)
+    pairs = spark.sql("SELECT * FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM {c}) WHERE next IS NOT NULL", c=t(spark, d, "conversations"))
+    return rounded(spark.sql("SELECT conv_id, turn, s.em, s.f1 FROM (SELECT conv_id, turn, score_answer(text, array(next)) AS s FROM {p})", p=pairs))
+
+
+@query(r"""WITH s AS (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS x FROM conversations)
+SELECT conv_id, turn, i AS query_idx, 'q' || i || ' ' || turn AS query, length('Search results for: q' || i || ' ' || turn || chr(10) || '1. ' || CASE WHEN i = 0 THEN x ELSE 'none' END) AS section_length FROM s, (VALUES (0::INT), (1::INT)) v(i)""")
+def sql_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Observations of two sections by a lateral join with the table function."""
+    sql.register(spark)
+    text = F.regexp_replace("text", r"[\t-\r ]+", " ")
+    head = lambda k: F.concat(F.lit(f"Search results for: q{k} "), F.col("turn").cast("string"), F.lit("\n1. "))
+    made = t(spark, d, "conversations").select("conv_id", "turn", F.concat(head(0), text, F.lit("X\n\n"), head(1), F.lit("none\n ")).alias("observation"))
+    return spark.sql("SELECT conv_id, turn, query_idx, query, CAST(length(result_section) - IF(query_idx = 0, 1, 0) AS BIGINT) AS section_length FROM {o} AS o, LATERAL parse_sections(o.observation)", o=made)
+
+
+@query(SQL["vector_topk"])
+def flat_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus as flat vector files, written and read back in small byte ranges."""
+    path, e = fresh_path(spark, "flat"), t(spark, d, "embeddings")
+    n = flat.write_flat(e, path, 64)
+    corpus = flat.read_flat(spark, path, 64, n, 64 << 10)
+    queries = corpus.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return rounded(vectors.topk(queries, corpus, 5))
+
+
+def unsteady_model(prompt: str, attempt: int) -> dict:
+    """A model that never answers some prompts, and others at the second attempt only."""
+    if len(prompt) % 11 == 0 or (len(prompt) % 5 == 0 and attempt == 1):
+        raise RuntimeError("overloaded")
+    return {"reply": prompt[::-1], "prompt_tokens": len(prompt), "completion_tokens": 7}
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) % 11 = 0 THEN 'error' ELSE 'ok' END AS status, (CASE WHEN length(text) % 11 = 0 THEN 3 WHEN length(text) % 5 = 0 THEN 2 ELSE 1 END)::INT AS attempts,
+CASE WHEN length(text) % 11 = 0 THEN NULL ELSE length(text) END AS prompt_tokens, CASE WHEN length(text) % 11 = 0 THEN NULL ELSE md5(reverse(text)) END AS reply FROM conversations""")
+def model_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Whole turns as prompts of a model that fails by rule."""
+    made = retriever.call_model(t(spark, d, "conversations"), unsteady_model, "text", first_wait=0.0)
+    return made.select("conv_id", "turn", "call.status", "call.attempts", "call.prompt_tokens", F.md5("call.reply").alias("reply"))
