@@ -295,3 +295,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 def labels(classes: DataFrame, joined: DataFrame) -> DataFrame:
     """``hi, label`` of the classes; a class without links is its own label."""
     return classes.select("hi", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("hi", F.coalesce("label", "cid").alias("label"))
+
+
+#: The exact rule by all shared shingles and a transitive closure, for shingles of four words at 0.8.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s FROM words),
+held AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n FROM held a JOIN held b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * n >= 80 * (na + nb - n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS id, doc_id AS c FROM documents WHERE doc_id IS NOT NULL UNION SELECT ways.b, reached.c FROM reached JOIN ways ON ways.a = reached.id),
+lowest AS (SELECT id, min(c) AS c FROM reached GROUP BY id)
+SELECT doc_id, len(s) AS n_shingles, c AS component_id, coalesce(doc_id = c, true) AS kept FROM sets LEFT JOIN lowest ON id = doc_id"""

@@ -69,4 +69,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_quality": quality.SQL, "op10_vectors": vectors.SQL, "op11_manifest": manifest.SQL, "op13_mix": mix.SQL}
+    return {"op4_minhash": minhash.SQL, "op8_quality": quality.SQL, "op10_vectors": vectors.SQL, "op11_manifest": manifest.SQL, "op13_mix": mix.SQL}
