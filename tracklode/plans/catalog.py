@@ -532,7 +532,16 @@ def step_redundancy(spark, d):
     return trajectories.step_redundancy(candidates(spark, d))[1]
 
 
-@query()
+_CHAT = r"""x AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), f AS (SELECT conv_id, arg_min(text, turn) AS question FROM conversations GROUP BY 1),
+a AS (SELECT conv_id, turn, nxt, array_to_string(list_slice(string_split_regex(text, '[ \n]+'), 1, 4), ' ') AS q FROM x WHERE role = 'assistant' AND nxt IS NOT NULL),
+b AS (SELECT conv_id, turn, nxt, q, q || ' ' || (['origin', 'year', 'place'])[turn % 3 + 1] AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM a),
+s AS (SELECT conv_id, k, '<think>' || chr(10) || 'look it up' || chr(10) || '</think>' || chr(10) || '<tool_call>' || chr(10) || '{"arguments":{"query":' || to_json([q, r]) || '},"name":"search"}' || chr(10) || '</tool_call>' AS said,
+  '<tool_response>' || chr(10) || replace('Search results for: ' || q || chr(10) || '1. ' || nxt || chr(10) || chr(10) || 'Search results for: ' || r || chr(10) || '1. ' || nxt, chr(10) || chr(10) || chr(10), chr(10)) || chr(10) || '</tool_response>' AS found FROM b),
+g AS (SELECT conv_id, count(*) AS n, flatten(list([{'role': 'assistant', 'content': said}, {'role': 'user', 'content': found}] ORDER BY k)) AS turns, string_agg(said || chr(10) || found, chr(10) ORDER BY k) FILTER (WHERE k <= 2) AS prefix FROM s GROUP BY 1)"""
+
+
+@query(f"""WITH {_CHAT} SELECT 't' || conv_id AS trajectory_id, (2 + 2 * coalesce(n, 0))::INT AS n_messages, coalesce(length(prefix), 0)::INT AS prefix_chars,
+sha256(to_json([{{'role': 'user', 'content': question}}] || coalesce(turns, []) || [{{'role': 'assistant', 'content': '<think>' || chr(10) || CASE WHEN n > 0 THEN 'look it up' ELSE '' END || chr(10) || '</think>' || chr(10) || '<answer>' || question || '</answer>'}}])) AS messages_sha256 FROM f LEFT JOIN g USING (conv_id)""")
 def training_messages(spark, d):
     c = candidates(spark, d).filter("structural_valid")
     return c.select("trajectory_id", F.size(trajectories.messages()).alias("n_messages"), F.sha2(F.to_json(trajectories.messages()), 256).alias("messages_sha256"), F.length(trajectories.prefix_text(2)).alias("prefix_chars"))
@@ -552,7 +561,9 @@ def unit_strata(spark, d):
     return pilot_units(spark, d).drop("_siblings", "_future_steps", "golden_answers", "history")
 
 
-@query()
+@query(f"""WITH {_CHAT}, u AS (SELECT conv_id, k, contains('look it up', lower(r)) AS first, q <> '' AND contains('look it up', lower(q)) AS second FROM b), v AS (SELECT conv_id, k, first AS leaks FROM u UNION ALL SELECT conv_id, k, second FROM u)
+SELECT count(*) AS units, count(*) AS unique_unit_ids, count(DISTINCT conv_id) AS unique_trajectories, count(DISTINCT (conv_id, k)) AS unique_actions, 0::BIGINT AS sibling_result_leakage, count(*) FILTER (WHERE leaks) AS sibling_query_literal_in_reasoning,
+0::BIGINT AS current_result_boundary_mismatch, 0::BIGINT AS current_query_or_result_missing, 0::BIGINT AS future_observation_leakage, 0::BIGINT AS raw_textual_action_present, 0::BIGINT AS teacher_final_answer_field_present, coalesce(bool_and(NOT leaks), true) AS all_pass FROM v""")
 def leakage_summary(spark, d):
     return units.audit_summary(units.leakage_audit(pilot_units(spark, d)))
 
