@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import protocol, sql
-from ..operators import profiles, quantiles, trajectories, units, vectors
+from ..operators import chat_tokens, profiles, quantiles, trajectories, units, vectors
 from ..sources import files, flat, retriever
 from ..sources.shared import fresh_path
 from ..streaming import ordered, reconstruction, streams
@@ -226,3 +226,19 @@ def model_calls(spark: SparkSession, d: str) -> DataFrame:
     """Whole turns as prompts of a model that fails by rule."""
     made = retriever.call_model(t(spark, d, "conversations"), unsteady_model, "text", first_wait=0.0)
     return made.select("conv_id", "turn", "call.status", "call.attempts", "call.prompt_tokens", F.md5("call.reply").alias("reply"))
+
+
+def chats(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as messages, in order."""
+    turns = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))  # one conversation's turns
+    return turns.select("conv_id", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, role, len(regexp_extract_all(coalesce(text, ''), '[^ \n]+|[ \n]')) AS n, 3 + len(regexp_extract_all(coalesce(text, '') || '<|im_end|>', '[^ \n]+|[ \n]')) AS whole FROM conversations)
+SELECT conv_id, sum(whole)::INT AS original_length, sum(whole) > 200 AS truncated, coalesce(sum(n) FILTER (WHERE role = 'assistant'), 0)::INT AS supervised_tokens, least(sum(whole), 200)::INT AS effective_length FROM m GROUP BY 1""")
+def supervised_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of assistants' turns in whole conversations, and what a cutoff of 200 tokens leaves."""
+    c = chats(spark, d).withColumns({"tokens": chat_tokens.split_tokens(chat_tokens.chat_text("messages")), "spans": chat_tokens.message_spans("messages")})
+    mask = chat_tokens.supervised("tokens", "spans")
+    c = c.select("conv_id", chat_tokens.labelled("tokens", mask, 1 << 30, strict=False).alias("whole"), chat_tokens.labelled("tokens", mask, 200, strict=False).alias("cut"))
+    return c.select("conv_id", "whole.original_length", "cut.truncated", "whole.supervised_tokens", "cut.effective_length")
