@@ -40,6 +40,12 @@ def coverage(df: DataFrame, length, limits: tuple[int, ...] = TOKEN_LIMITS) -> D
     return counts.select("all", each).select("x.bucket", "x.n", ratio_or_zero(F.col("x.n"), F.col("all")).alias("rate"))
 
 
+def with_percentage(profile: DataFrame, n: str = "n", out: str = "percentage") -> DataFrame:
+    """A profile's rows with their share of all rows counted in it, in percent; 0.0 where nothing is counted."""
+    whole = profile.agg(F.coalesce(F.sum(n), F.lit(0)).alias("__all"))  # one row
+    return profile.crossJoin(F.broadcast(whole)).withColumn(out, 100 * ratio_or_zero(F.col(n), F.col("__all"))).drop("__all")
+
+
 def range_bucket(x, buckets=ROUND_BUCKETS) -> Column:
     """Name of the bucket that holds the value; null if none does (0 rounds)."""
     v, out = _c(x), F.lit(None).cast("string")

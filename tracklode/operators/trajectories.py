@@ -215,3 +215,15 @@ def event_integrity(events: DataFrame, results: DataFrame) -> DataFrame:
     joined = results.select("trajectory_id", "rounds", "search_actions").join(counts, "trajectory_id", "left").fillna(0)
     ok = (F.col("finishes") == 1) & (F.col("round_requests") == zero("rounds")) & (F.col("search_starts") == zero("search_actions")) & (F.col("search_finishes") == F.col("search_starts")) & (F.col("observations") == F.col("search_starts"))
     return joined.withColumn("ok", ok)
+
+
+def log_faults(lines: DataFrame, expected: Column, fields: tuple[str, ...] = ("trajectory_id",)) -> DataFrame:
+    """Of each log file its lines, those that are no JSON objects, and those whose trajectory is not the file's.
+
+    ``lines`` has ``path, line`` without blank lines; ``expected`` is the id that
+    a line's path stands for.  A line without an id counts as another one's.
+    """
+    ok = F.ltrim("line").startswith("{") & F.try_parse_json("line").isNotNull()
+    own = F.coalesce(*(F.get_json_object("line", f"$.{c}") for c in fields), F.lit(""))
+    read = lines.select("path", expected.alias("expected"), F.coalesce(ok, F.lit(False)).alias("ok"), own.alias("own"))
+    return read.groupBy("path", "expected").agg(F.count("*").alias("lines"), F.count_if(~F.col("ok")).alias("bad_lines"), F.count_if(F.col("ok") & (F.col("own") != F.col("expected"))).alias("wrong_ids"))
