@@ -2,6 +2,8 @@
 
 import json
 import os
+import subprocess
+import sys
 import time
 from collections import Counter
 
@@ -275,3 +277,12 @@ def test_streamed_steps_equal_the_batch_operator(spark, tmp_path):
     found = streams.drain(reconstruction.reconstructing(durable.replayed(timed, batch, "ts", "trajectory_id"), late="2 hours"), str(tmp_path), store=ordered.STORE)
     key = lambda df: Counter(map(str, df.select(sorted(df.columns)).collect()))
     assert key(reconstruction.candidates(found, results)) == key(trajectories.reconstruct(events, results))
+
+
+# Entry ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("hidden", ["xxhash", "public_tokenizers", "corpus_pipeline", "tracklode.llm"])
+def test_entry_stands_without_what_is_optional(hidden):
+    code = f"import sys; sys.modules[{hidden!r}] = None; import __spark_entry__ as e; q = e.queries(); assert 'op1_pii' not in q and 'pipeline' not in q and 'stream_reconstruct' in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -101,7 +101,7 @@ def test_judge_uses_cache(spark, reconstructed):
 
     first = units.judge(audited, client)
     assert {r["process_score"] for r in first.collect()} == {1}
-    keys = audited.select(F.explode(F.array(F.lit("intent"), F.lit("retrieval"))).alias("c"), "unit_id", "judge_prompt").select(units.ledger_key(F.lit("v3"), "c", "unit_id", F.sha2("judge_prompt", 256)).alias("cache_key"), F.lit("broken").alias("reply"))
+    keys = units.channel_requests(audited).select("cache_key", F.lit("broken").alias("reply"))
     assert {r["process_score"] for r in units.judge(audited, client, keys).collect()} == {None}
 
 

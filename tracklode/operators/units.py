@@ -145,14 +145,14 @@ def judge(units: DataFrame, client, cache: DataFrame | None = None, version: str
 
     ``client(channel, prompts)`` takes a list of prompts and returns replies;
     it is made on the executors and is the only thing that talks to a model.
-    ``cache`` has ``cache_key, reply``; what it holds is not asked again.
+    ``cache`` has ``cache_key, reply``; what it holds is not asked again.  New
+    replies are not kept: ``judge_through`` writes them before it uses them.
     Returns ``unit_id, trajectory_id, action_idx, query_idx``, a struct for
     each channel and ``process_score`` (null where a reply cannot be read).
     """
     import pandas as pd
 
-    asked = units.select("unit_id", "trajectory_id", "action_idx", "query_idx", F.explode(F.array(F.lit("intent"), F.lit("retrieval"))).alias("channel"), F.col("judge_prompt").alias("prompt"))
-    asked = asked.withColumn("cache_key", ledger_key(F.lit(version), "channel", "unit_id", F.sha2("prompt", 256)))
+    asked = channel_requests(units, version)
     if cache is None:
         cache = units.sparkSession.createDataFrame([], "cache_key string, reply string")
     hits = asked.join(cache.select("cache_key", "reply"), "cache_key")
