@@ -31,7 +31,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(file.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("path", "block", (before - F.col("first") + 1).alias("shift"), F.sum("n").over(file).alias("last"), (F.sum("bytes").over(file) == F.col("size") + 1).alias("open"))
     numbered = rows.drop("size").join(splits, ["path", "block"]).withColumn("number", F.col("id") + F.col("shift"))
-    return numbered.select("line", "path", "number", (F.col("open") & (F.col("number") == F.col("last"))).alias("cut_off"))
+    found = numbered.select("line", "path", "number", (F.col("open") & (F.col("number") == F.col("last"))).alias("cut_off"))
+    return found.sortWithinPartitions("path", "number")  # the lines of a split stay in order
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
