@@ -60,11 +60,46 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_logs(rows: DataFrame, path: str, log: str, *order: str) -> None:
+    """Lines of many logs packed into text files: the log's name, a tab, and the line.
+
+    ``rows`` has the name ``log``, the ``line`` and the columns in whose order a
+    log's lines stand.  A log lies in one file; how many files there are follows
+    the bytes, not the number of logs, as each new file costs a file system
+    milliseconds.  A name with a tab or line end, or a line with a line end,
+    raises; a null name counts as an empty one.
+    """
+    name, line = F.coalesce(F.col(log).cast("string"), F.lit("")), F.coalesce("line", F.lit(""))
+    bad = name.rlike("[\t\n]") | line.contains("\n")
+    packed = F.when(bad, F.raise_error(F.concat(F.lit("not one line of a log: "), name)).cast("string")).otherwise(F.concat(name, F.lit("\t"), line))
+    rows.repartition(log).sortWithinPartitions(log, *order).select(packed.alias("value")).write.option("lineSep", "\n").text(path)
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """``path, block, id, log, line`` of packed logs: ``block`` and ``id`` order the lines of a file, of any number of splits."""
+    value, at = F.col("value"), F.instr("value", "\t")
+    rows = spark.read.option("lineSep", "\n").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.nullif(F.left(value, at - 1), F.lit("")).alias("log"), F.substr(value, at + 1).alias("line"))
+
+
+EVENT_FIELDS = ("event_type", "trajectory_id", "question_id", "payload")
+
+
+def event_fields() -> list[Column]:
+    return [*(F.get_json_object("line", f"$.{c}").alias(c) for c in EVENT_FIELDS), F.get_json_object("line", "$.timestamp").try_cast("double").alias("timestamp")]
+
+
 def read_event_files(spark: SparkSession, path: str) -> DataFrame:
     """All event files at once: ``file, seq`` and the event's fields; ``seq`` is the place in the file, from 0."""
     lines = numbered_lines(spark, path).filter(F.trim("line") != "")
-    fields = ("event_type", "trajectory_id", "question_id", "payload")
-    return lines.select(F.col("path").alias("file"), (F.col("number") - 1).alias("seq"), *(F.get_json_object("line", f"$.{c}").alias(c) for c in fields), F.get_json_object("line", "$.timestamp").try_cast("double").alias("timestamp"))
+    return lines.select(F.col("path").alias("file"), (F.col("number") - 1).alias("seq"), *event_fields())
+
+
+def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
+    """All events of packed logs: ``file, log, seq`` and the event's fields; ``seq`` is the place in the log, from 0.  The files are read once."""
+    place = F.row_number().over(W.partitionBy("path", "log").orderBy("block", "id"))
+    lines = read_logs(spark, path).withColumn("seq", place - 1).filter(F.trim("line") != "")
+    return lines.select(F.col("path").alias("file"), "log", "seq", *event_fields())
 
 
 def config(text: str, env: dict[str, str] | None = None) -> dict:
