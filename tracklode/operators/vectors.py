@@ -12,6 +12,8 @@ from ..functions.text import passage_snippet, passage_title
 
 #: Components of the queries that one pass over the corpus holds; more queries take more passes.
 BLOCK_VALUES = 4_000_000
+#: Corpus rows and scores that are held at a time, whatever the sizes of a batch and of the block of queries.
+TILE_ROWS, TILE_SCORES = 1_024, 1 << 18
 
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -50,23 +52,45 @@ def blocks(q: DataFrame, query_id: str, vector: str, size: int):
         yield np.array(ids, np.int64), np.array(rows, np.float64)
 
 
+def keep_best(scores: np.ndarray, own: np.ndarray, top_s: np.ndarray, top_i: np.ndarray, held: np.ndarray) -> None:
+    """Put the scores (queries x rows) of the rows ``own`` into the queries' lists of the k best, in place; ties by id, NaN last."""
+    k = top_s.shape[1]
+    last = np.where(held == k, top_s[:, -1], -np.inf)
+    q, r = np.nonzero(~(scores < last[:, None]))  # the others are behind a full list
+    if not len(q):
+        return
+    some = np.unique(q)
+    old_q, old_k = np.nonzero(np.arange(k) < held[some, None])
+    old_q = some[old_q]
+    all_q, all_s, all_i = np.r_[old_q, q], np.r_[top_s[old_q, old_k], scores[q, r]], np.r_[top_i[old_q, old_k], own[r]]
+    order = np.lexsort((all_i, -all_s, all_q))
+    all_q, all_s, all_i = all_q[order], all_s[order], all_i[order]
+    place = np.arange(len(all_q)) - np.searchsorted(all_q, all_q)
+    best = place < k
+    top_s[all_q[best], place[best]], top_i[all_q[best], place[best]] = all_s[best], all_i[best]
+    held[some] = np.minimum(k, np.bincount(all_q, minlength=len(held))[some])
+
+
 def one_pass(shared, corpus: DataFrame, k: int, vec_id: str, vector: str, dim: int) -> DataFrame:
     schema = pa.schema([("__q", pa.int64()), (vec_id, pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         ids, matrix = shared.value
-        top_s = np.full((len(ids), 0), 0.0)
-        top_i = np.full((len(ids), 0), 0, np.int64)
+        top_s = np.full((len(ids), k), -np.inf)
+        top_i = np.zeros((len(ids), k), np.int64)
+        held = np.zeros(len(ids), np.int64)  # how many of a query's places are taken
         for batch in batches:
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(v):
-                continue
-            s = np.concatenate([top_s, matrix @ v.T], 1)
-            i = np.concatenate([top_i, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), len(v)))], 1)
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        if top_s.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top_s.shape[1])), pa.array(top_i.ravel()), pa.array(top_s.ravel())], schema=schema)
+            for at in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(at, TILE_ROWS)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                own = part.column(0).to_numpy()
+                step = max(1, TILE_SCORES // len(own))
+                for low in range(0, len(ids), step):
+                    keep_best(matrix[low : low + step] @ v.T, own, top_s[low : low + step], top_i[low : low + step], held[low : low + step])
+        for low in range(0, len(ids), TILE_ROWS):
+            some = np.arange(k) < held[low : low + TILE_ROWS, None]
+            which = np.repeat(ids[low : low + TILE_ROWS], held[low : low + TILE_ROWS])
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(top_i[low : low + TILE_ROWS][some]), pa.array(top_s[low : low + TILE_ROWS][some])], schema=schema)
 
     rows = corpus.filter(F.col(vector).isNotNull() & (F.size(vector) == dim)).select(F.col(vec_id).cast("bigint").alias(vec_id), vector)
     return rows.mapInArrow(run, f"__q long, {vec_id} long, score double")
