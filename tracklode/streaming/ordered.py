@@ -21,6 +21,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 INPUT = "key string, seq bigint, us bigint, body string, ts timestamp"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Shared states of a stream's keys; fixed for the life of its checkpoint.
+BUCKETS = 2_048
 
 
 def milliseconds(us: int) -> int:
@@ -76,12 +78,27 @@ class Ordered(StatefulProcessor):
         """Everything up to the watermark."""
         if not self.memory.exists() and not self.waiting.exists():
             return []  # ended by an earlier timer of the same batch
-        machine = self.machine
-        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else machine.fresh()
+        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else self.machine.fresh()
         rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        made, rest, memory, wake = self.step(key, memory, rows, now)
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if memory is None:
+            self.memory.clear()
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            return made
+        self.memory.update((json.dumps(memory, ensure_ascii=False),))
+        self.handle.registerTimer(wake)
+        return made
+
+    def step(self, key: str, memory: dict, rows: list[tuple], now: int) -> tuple[list[dict], list[tuple], dict | None, int | None]:
+        """Results of a key up to the watermark, the rows that still wait, its memory (None: it has ended) and when to wake it."""
+        machine, made = self.machine, []
         due = [r for r in rows if milliseconds(r[0]) <= now]
         rest = rows[len(due) :]
-        made = []
         for us, seq, body in due:
             limit = machine.deadline(memory)
             if limit is not None and us > limit * 1000:
@@ -95,18 +112,61 @@ class Ordered(StatefulProcessor):
         silent = memory["last_ms"] + self.silent_ms if "last_ms" in memory else None
         if not rest and silent is not None and now >= silent:
             made += machine.end(key, memory)
-            self.waiting.clear()
-            self.memory.clear()
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            return made
-        if rest:
-            self.waiting.put(rest)
+            return made, [], None, None
+        return made, rest, memory, min(t for t in (milliseconds(rest[0][0]) if rest else None, limit, silent) if t is not None and t > now)
+
+
+class Bucketed(Ordered):
+    """Many keys that share one state and one timer.
+
+    Each call to the state store is a message to the JVM and back, so a state
+    for each key costs a batch dozens of them a key.  A bucket's keys are taken
+    one after the other, each by its own rows and memory, as if it were alone.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "key string, us bigint, seq bigint, body string")
+        self.memory = handle.getValueState("memory", "text string")
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(k, int(u), int(s), b) for r in rows for k, u, s, b in zip(r["key"], r["us"], r["seq"], r["body"], strict=True)]
+        self.waiting.appendList(new)
+        at = max(milliseconds(min(r[1] for r in new)), timerValues.getCurrentWatermarkInMs() + 1)
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is None or at < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+        return iter(())
+
+    def advance(self, bucket, now: int) -> list[dict]:
+        memories = json.loads(self.memory.get()[0]) if self.memory.exists() else []
+        memories = {k: m for k, m in memories}  # pairs, as a key may be null
+        waiting: dict[str | None, list[tuple]] = {k: [] for k in memories}
+        for k, *row in self.waiting.get() if self.waiting.exists() else ():
+            waiting.setdefault(k, []).append(tuple(row))
+        made, left, kept, wakes = [], [], [], []
+        for k, rows in waiting.items():
+            found, rest, memory, wake = self.step(k, memories.get(k) or self.machine.fresh(), sorted(rows), now)
+            made += found
+            left += [(k, *r) for r in rest]
+            if memory is not None:
+                kept.append((k, memory))
+                wakes.append(wake)
+        if left:
+            self.waiting.put(left)
         else:
             self.waiting.clear()
-        self.memory.update((json.dumps(memory, ensure_ascii=False),))
-        wake = [t for t in (milliseconds(rest[0][0]) if rest else None, limit, silent) if t is not None and t > now]
-        self.handle.registerTimer(min(wake))
+        if kept:
+            self.memory.update((json.dumps(kept, ensure_ascii=False),))
+            self.handle.registerTimer(min(wakes))
+            self.timer.update((min(wakes),))
+        else:
+            self.memory.clear()
+            self.timer.clear()
         return made
 
 
@@ -117,9 +177,10 @@ def ordered_rows(stream: DataFrame, key: Column, seq: Column, ts: Column, body:
     return rows.withWatermark("ts", late)
 
 
-def run(rows: DataFrame, machine: Machine, silent_ms: int = 30 * DAY_MS) -> DataFrame:
+def run(rows: DataFrame, machine: Machine, silent_ms: int = 30 * DAY_MS, buckets: int = BUCKETS) -> DataFrame:
     """Results of a machine over ``ordered_rows``; the session's state store must be RocksDB (``STORE``)."""
-    return rows.groupBy("key").transformWithStateInPandas(Ordered(machine, silent_ms), machine.output, "append", "eventTime")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(Bucketed(machine, silent_ms), machine.output, "append", "eventTime")
 
 
 class Budget(Machine):
