@@ -15,15 +15,17 @@ def bucket_pairs(keys: DataFrame, pivots: int, keep=None, rest: bool = True) ->
 
     ``keys`` has ``key, hi`` and maybe further bigint columns.  A bucket of n
     gives at most pivots * n pairs and one of up to pivots + 1 members all of
-    them; ``large`` marks pairs whose second member stands beyond the pivots.
-    ``keep(x, y)`` gets the further columns of both sides and says which pairs
-    are likely; others are given only if they are large, as later steps look
-    at them, and not at all without ``rest``.
+    them; in larger buckets ``large`` marks the pairs of the first member, so
+    that each member beside it is named once for the bucket.
+    ``keep(x, y)`` gets the further columns of both sides and says how likely
+    pairs are (0: not); the greatest value is given.  Unlikely pairs are given
+    only if they are large, as later steps look at them, and not at all without
+    ``rest``.
 
     Rows arrive sorted by key, so a bucket is one run.  Only its first members
     are held, however long it is.
     """
-    schema = struct(("a", "bigint"), ("b", "bigint"), ("large", "boolean"), ("likely", "boolean"))
+    schema = struct(("a", "bigint"), ("b", "bigint"), ("large", "boolean"), ("likely", "int"))
     out = arrow_schema(schema)
 
     def run(batches):
@@ -44,17 +46,21 @@ def bucket_pairs(keys: DataFrame, pivots: int, keep=None, rest: bool = True) ->
             skip = np.zeros(len(edges), np.int64)
             skip[0] = ahead
             total = sizes + skip
+            long = total > pivots
+            long[0] |= total[0] + gap > pivots
             for p in range(pivots):
-                first = np.maximum(p + 1, skip)  # every new member after place p pairs with the member at place p
+                # Every new member after place p pairs with the member at place p.  The first member's pairs with
+                # other pivots held from before come again: the bucket may be a large one only by now.
+                first = np.maximum(p + 1, skip * (p > 0))
                 n = np.maximum(total - first, 0)
                 which = np.repeat(np.arange(len(edges)), n)
                 if not len(which):
                     continue
                 place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
                 a, b = rows[starts[which] + p], rows[starts[which] + place]
-                large = place + np.where(which == 0, gap, 0) >= pivots
-                likely = keep(a[:, 2:], b[:, 2:]) if keep else np.ones(len(a), bool)
-                some = likely | large if rest else likely
+                large = long[which] if p == 0 else np.zeros(len(which), bool)
+                likely = (keep(a[:, 2:], b[:, 2:]) if keep else np.ones(len(a))).astype(np.int32)
+                some = (likely > 0) | large if rest else likely > 0
                 yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a[:, 1], b[:, 1], large, likely)], schema=out)
             last = int(total[-1])
             before = last + (gap if len(edges) == 1 else 0)

@@ -14,8 +14,8 @@ full shingle sets.
    full sets.
 4. Classes of larger buckets that did not all end up in one component are
    compared exactly, block by block, only across components: what stands
-   outside the main component around a pivot meets all that stands around it,
-   and nothing but links leaves a pair of blocks.
+   outside the main component around a bucket's first class meets all that
+   stands around it, and nothing but links leaves a pair of blocks.
 5. Components of confirmed links.
 
 A text without words, a null text or a null id is linked with nothing; its
@@ -133,7 +133,7 @@ def table_keys(classes: DataFrame) -> DataFrame:
 
 
 def likely(share: tuple[int, int]):
-    """Whether two sketches may belong to sets that reach the similarity."""
+    """In how many half-keys two sketches agree, or 0 if they can hardly belong to sets that reach the similarity."""
     steps = math.floor(math.log(share[1] / share[0]) / math.log(SIZE_BASE)) + 1
     bits = 2 * SIDE * FIELD
 
@@ -144,7 +144,7 @@ def likely(share: tuple[int, int]):
         agree = np.zeros(len(x), np.int64)
         for k in range(2 * SIDE):
             agree += (differ >> np.uint64(k * FIELD)) & np.uint64((1 << FIELD) - 1) == 0
-        return size & (agree >= AGREE)
+        return np.where(size & (agree >= AGREE), agree, 0)
 
     return keep
 
@@ -179,40 +179,41 @@ def needed_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int,
 
 
 def outsiders(large: DataFrame, label: DataFrame) -> DataFrame:
-    """``a, hi, label, minor`` of the classes around each pivot ``a`` of large buckets, where they lie in more than one component.
+    """``a, hi, label, minor, left, right`` of the classes around each pivot ``a`` of large buckets, where they lie in more than one component.
 
-    A pivot stands for its buckets.  ``minor`` marks what lies outside the most
-    frequent component around a pivot: of two classes that were not compared,
-    and are still apart, at least one is so marked.
+    A pivot stands for the buckets it is the first member of.  ``minor`` marks
+    what lies outside the most frequent component around a pivot: of two
+    classes that were not compared, and are still apart, at least one is so
+    marked.  ``left`` and ``right`` say into how many blocks of about BLOCK
+    classes and BLOCK_SHINGLES shingles the minor classes and all of them go.
     """
-    side = lambda x: label.select(F.col("hi").alias(x), F.col("label").alias(f"l{x}"))
-    around = materialize(large.select("a", "b").join(side("b"), "b").unionByName(large.select("a").distinct().join(side("a"), "a").select(F.col("a").alias("b"), "a", F.col("la").alias("lb"))), "around")
-    main = around.groupBy("a", "lb").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "lb")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-    mixed = around.join(main.select("a", F.col("main.lb").alias("main")), "a")
-    return mixed.select("a", F.col("b").alias("hi"), F.col("lb").alias("label"), (F.col("lb") != F.col("main")).alias("minor"))
+    side = lambda x: label.select(F.col("hi").alias(x), "n", F.col("label").alias("lb"))
+    around = large.select("a", "b").join(side("b"), "b").unionByName(large.select("a").distinct().join(side("a"), "a").withColumn("b", F.col("a")))
+    around = materialize(around, "around")
+    blocks = lambda rows, weight: F.greatest(F.ceil(rows / BLOCK), F.ceil(weight / BLOCK_SHINGLES), F.lit(1))
+    each = around.groupBy("a", "lb").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    main = each.groupBy("a").agg(F.max(F.struct("k", "lb", "n")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
+    main = main.select("a", "main.lb", blocks(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("left"), blocks(F.col("k"), F.col("n")).alias("right"))
+    mixed = around.withColumnRenamed("lb", "label").join(main, "a")
+    return mixed.select("a", F.col("b").alias("hi"), "label", (F.col("label") != F.col("lb")).alias("minor"), "left", "right")
 
 
 def block_links(own: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """``a, b`` (digests): confirmed links between components around each pivot, by pairs of blocks.
 
     The minor classes around a pivot meet all classes around it.  Both sides
-    are dealt into blocks of about BLOCK classes and BLOCK_SHINGLES shingles,
-    so a pivot with very many classes is spread over tasks; a pair of blocks is
-    compared through the sorted shingles of one side, and only links come out,
-    one for a minor class and a component.
+    are dealt into blocks, so a pivot with very many classes is spread over
+    tasks; a pair of blocks is compared through the sorted shingles of one
+    side, and only links come out, one for a minor class and a component.
     """
-    each = own.join(sets, "hi").select("a", "hi", "label", "minor", "cid", "members")
-    each = materialize(each, "around_sets")
-    blocks = lambda rows, weight: F.greatest(F.ceil(rows / BLOCK), F.ceil(weight / BLOCK_SHINGLES), F.lit(1))
-    n = F.size("members")
-    only = lambda c: F.sum(F.when(F.col("minor"), c).otherwise(0))
-    sizes = each.groupBy("a").agg(blocks(only(F.lit(1)), only(n)).alias("left"), blocks(F.count("*"), F.sum(n)).alias("right"))
-    each = each.join(sizes, "a")
-    place = lambda c: F.pmod(F.xxhash64("hi"), F.col(c)).alias("own")
-    other = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)).alias("other")
-    columns = ["a", "hi", "label", "minor", "cid", "members"]
-    left = each.filter("minor").select(*columns, place("left"), other("right")).select(*columns, F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("is_left"))
-    right = each.select(*columns, place("right"), other("left")).select(*columns, F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("is_left"))
+    # A class is a row of the right side in each block of the left, and if it is minor also the other way round.
+    place = lambda c: F.pmod(F.xxhash64("hi"), F.col(c))
+    upto = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
+    at = lambda i, j, is_left: F.struct(i.alias("i"), j.alias("j"), F.lit(is_left).alias("is_left"))
+    right = F.transform(upto("left"), lambda i: at(i, place("right"), False))
+    left = F.filter(F.transform(upto("right"), lambda j: at(place("left"), j, True)), lambda _: F.col("minor"))
+    each = own.join(sets, "hi").withColumn("at", F.explode(F.concat(right, left)))
+    each = each.select("a", "hi", "label", "minor", "cid", "members", "at.*")
     schema = struct(("a", "binary"), ("b", "binary"))
     out = arrow_schema(schema)
     num, den = share
@@ -245,7 +246,7 @@ def block_links(own: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
                     found.append((x_cid[k], y_cid[y]))
         return pa.Table.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], schema=out)
 
-    return left.unionByName(right).groupBy("a", "i", "j").applyInArrow(compare, schema)
+    return each.groupBy("a", "i", "j").applyInArrow(compare, schema)
 
 
 def flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,12 +265,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 
     found = materialize(bucket_pairs(table_keys(classes), PIVOTS, likely(share)), "candidates")
 
-    close = found.filter("likely")
+    close = found.filter("likely > 0")
     ids = close.select(F.explode(F.array("a", "b")).alias("hi")).distinct()
     sets = materialize(needed_sets(docs, classes, ids, width, text_col, id_col), "sets")
 
-    # First each class with its first partner; then the pairs that are still apart.
-    star = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    # First each class with its likeliest partner; then the pairs that are still apart.
+    star = close.groupBy("b").agg(F.max(F.struct("likely", "a")).alias("a")).select("a.a", "b")
     links = materialize(confirm(star, sets, share), "confirmed")
     label = materialize(labels(classes, components(links)), "labels")
     links = materialize(links.unionByName(confirm(apart(close, label), sets, share)), "confirmed")
@@ -293,8 +294,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 
 
 def labels(classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """``hi, label`` of the classes; a class without links is its own label."""
-    return classes.select("hi", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("hi", F.coalesce("label", "cid").alias("label"))
+    """``hi, n, label`` of the classes; a class without links is its own label."""
+    return classes.select("hi", "n", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("hi", "n", F.coalesce("label", "cid").alias("label"))
 
 
 #: The exact rule by all shared shingles and a transitive closure, for shingles of four words at 0.8.
